@@ -73,20 +73,25 @@ def resize(values: np.ndarray, height: int, width: int, kind: str) -> np.ndarray
 
 
 def _sliding(mask: np.ndarray, size: int, fold, outside: bool) -> np.ndarray:
+    """``fold`` over a square window, by doubling the span already covered."""
     reach = size // 2
-    for axis in (0, 1):
-        edges = [(reach, reach) if a == axis else (0, 0) for a in (0, 1)]
-        padded = np.pad(mask, edges, constant_values=outside)
-        mask = fold(np.lib.stride_tricks.sliding_window_view(padded, size, axis=axis), axis=-1)
-    return mask
+    wide = np.full((mask.shape[0] + 2 * reach, mask.shape[1] + 2 * reach), outside)
+    wide[reach : reach + mask.shape[0], reach : reach + mask.shape[1]] = mask
+    span = 1
+    while span < size:
+        step = min(span, size - span)
+        wide = fold(wide[:-step], wide[step:])
+        wide = fold(wide[:, :-step], wide[:, step:])
+        span += step
+    return wide
 
 
 def dilate(mask: np.ndarray, size: int) -> np.ndarray:
-    return _sliding(mask, size, np.any, False)
+    return _sliding(mask, size, np.logical_or, False)
 
 
 def erode(mask: np.ndarray, size: int) -> np.ndarray:
-    return _sliding(mask, size, np.all, True)
+    return _sliding(mask, size, np.logical_and, True)
 
 
 def opened(mask: np.ndarray, size: int) -> np.ndarray:
@@ -98,25 +103,24 @@ def closed(mask: np.ndarray, size: int, times: int = 1) -> np.ndarray:
     return erode(dilate(mask, wide), wide)
 
 
+def _weighted(values: np.ndarray, weights: np.ndarray, edge: str) -> np.ndarray:
+    """Sum over a square window with separable weights."""
+    height, width = values.shape
+    padded = np.pad(values, len(weights) // 2, mode=edge)
+    rows = sum(w * padded[i : i + height] for i, w in enumerate(weights))
+    return sum(w * rows[:, i : i + width] for i, w in enumerate(weights))
+
+
 def majority(mask: np.ndarray, size: int) -> np.ndarray:
     """Median of a binary mask; edges are repeated outwards."""
-    padded = np.pad(mask, size // 2, mode="edge").astype(np.int32)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, (size, size))
-    return windows.sum(axis=(2, 3)) * 2 > size * size
+    return 2 * _weighted(mask.astype(np.int32), np.ones(size, np.int32), "edge") > size * size
 
 
 def blur(values: np.ndarray, size: int = 21, sigma: float | None = None) -> np.ndarray:
     """Gaussian blur of a gray image, mirrored at the edges without repeating them."""
     sigma = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    offsets = np.arange(size) - size // 2
-    weights = np.exp(-(offsets**2) / (2 * sigma**2))
-    weights /= weights.sum()
-    result = values.astype(np.float64)
-    for axis in (0, 1):
-        edges = [(size // 2, size // 2) if a == axis else (0, 0) for a in (0, 1)]
-        padded = np.pad(result, edges, mode="reflect")
-        result = np.lib.stride_tricks.sliding_window_view(padded, size, axis=axis) @ weights
-    return np.rint(result).astype(np.uint8)
+    weights = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
+    return np.rint(_weighted(values.astype(np.float64), weights / weights.sum(), "reflect")).astype(np.uint8)
 
 
 def label(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, int]:

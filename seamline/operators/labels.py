@@ -129,14 +129,28 @@ def error_preview(errors: DataFrame, shown: int = 50) -> DataFrame:
     return errors.orderBy(*order).limit(shown).select(*order, more)
 
 
-def format_lines(boxes: DataFrame) -> DataFrame:
-    """Label line of each box (split, stem, class_id, xc, yc, w, h) with six decimals.
+def six_decimals(value: Column) -> Column:
+    """Text of a non-negative number with six decimals, rounded on its exact binary value.
 
-    Formatting alone would round ties up; they go to the even digit.
+    Spark rounds the shortest decimal form instead, which differs in the last digit near ties. The
+    value is scaled by 2 million = 128 * 15625 without loss: ``value * 128`` is exact, and the
+    product of its fraction with 15625 keeps far more digits than are needed.
     """
-    sides = [F.bround(c, 6) for c in ("xc", "yc", "w", "h")]
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", F.col("class_id"), *sides)
-    return boxes.select(*KEY, line.alias("line"))
+    scaled = value * 128
+    whole = F.floor(scaled)
+    fine = (scaled - whole) * 15625
+    halves = whole * 15625 + F.floor(fine)
+    beyond = fine > F.floor(fine)
+    lower = F.floor(halves / 2)
+    up = (halves % 2 == 1) & (beyond | (lower % 2 == 1))
+    units = lower + F.when(up, 1).otherwise(0)
+    return F.format_string("%d.%06d", F.floor(units / 1_000_000), units % 1_000_000)
+
+
+def format_lines(boxes: DataFrame) -> DataFrame:
+    """Label line of each box (split, stem, class_id, xc, yc, w, h) with six decimals."""
+    sides = [six_decimals(F.col(c)) for c in ("xc", "yc", "w", "h")]
+    return boxes.select(*KEY, F.concat_ws(" ", F.col("class_id"), *sides).alias("line"))
 
 
 def label_classes(spark: SparkSession) -> DataFrame:

@@ -65,12 +65,14 @@ def region_candidates(
     min_area: int = MIN_AREA,
     percentile: float = REGION_PERCENTILE,
     floor: float = REGION_FLOOR,
+    keep: list[str] = (),
 ) -> DataFrame:
-    """Threshold and candidate regions of each anomaly map: image_id, threshold, parts.
+    """Threshold and candidate regions of each anomaly map: image_id, kept columns, threshold, parts.
 
-    ``maps``: image_id, height, width, map. ``masks``: image_id, mask_height, mask_width and packed
-    bits, as ``garment_masks`` gives them; the map is resized to its mask. Without a mask the whole
-    map counts. Only packed masks and maps are joined, never pictures.
+    ``maps``: image_id, height, width, map; a null map gives threshold 0 and no parts. ``masks``:
+    image_id, mask_height, mask_width and packed bits, as ``garment_masks`` gives them; the map is
+    resized to its mask. Without a mask the whole map counts. Only packed masks and maps are joined,
+    never pictures.
     """
     if masks is not None:
         joined = maps.join(masks.select("image_id", "mask_height", "mask_width", "mask"), "image_id", "left")
@@ -79,10 +81,13 @@ def region_candidates(
         joined = maps.withColumns(
             {"mask_height": empty.cast("int"), "mask_width": empty.cast("int"), "mask": empty.cast("binary")}
         )
-    columns = ["image_id", "height", "width", "map", "mask_height", "mask_width", "mask"]
+    kept = ["image_id", *keep]
+    kept_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in maps.select(*kept).schema)
 
     def one(row) -> tuple:
-        values = np.asarray(row.map, np.float32).reshape(row.height, row.width)
+        if row.map is None:
+            return 0.0, []
+        values = np.asarray(row.map, np.float32).reshape(int(row.height), int(row.width))
         if row.mask is None:
             mask = np.ones(values.shape, bool)
         else:
@@ -93,16 +98,19 @@ def region_candidates(
                 values = raster.resize(values.astype(np.float64), *shape, "linear").astype(np.float32)
         inside = values[mask]
         if not len(inside):
-            return row.image_id, floor, []
+            return floor, []
         threshold = max(floor, float(np.percentile(inside, percentile)), float(inside.max()) * REGION_MAX_SHARE)
-        return row.image_id, threshold, find_parts(values, mask, threshold, min_area)
+        return threshold, find_parts(values, mask, threshold, min_area)
 
     def scan(batches):
         for batch in batches:
-            rows = [one(row) for row in batch.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["image_id", "threshold", "parts"])
+            found = [one(row) for row in batch.itertuples(index=False)]
+            done = pd.DataFrame(found, columns=["threshold", "parts"], index=batch.index)
+            yield pd.concat([batch[kept], done], axis=1)
 
-    return joined.select(*columns).mapInPandas(scan, f"image_id long, threshold double, parts array<{PART}>")
+    columns = [*kept, "height", "width", "map", "mask_height", "mask_width", "mask"]
+    schema = f"{kept_schema}, threshold double, parts array<{PART}>"
+    return joined.select(*columns).mapInPandas(scan, schema)
 
 
 def _scored(part: Column) -> Column:
@@ -132,21 +140,16 @@ def localize(
 ) -> DataFrame:
     """Score gate, then the ``max_regions`` strongest regions of each anomalous image.
 
-    ``predictions``: image_id, height, width, map, pred_score (array). Images below the gate skip the
-    pixel work and keep a row without regions. Ranking uses the rounded score; ties keep the order in
+    ``predictions``: image_id, height, width, map, pred_score (array). Images below the gate keep a
+    row without regions; their maps are not even sent to Python. Ranking uses the rounded score; ties keep the order in
     which the regions appear.
     """
     gated = score_gate(predictions, image_threshold)
-    found = region_candidates(gated.filter("has_anomaly"), masks, min_area, percentile, floor)
+    gated = gated.withColumn("map", F.when(F.col("has_anomaly"), F.col("map")))
+    keep = ["pred_score", "has_anomaly"]
+    found = region_candidates(gated, masks, min_area, percentile, floor, keep)
     ranked = F.array_sort(F.transform("parts", _scored))
-    chosen = found.select("image_id", "threshold", F.slice(ranked, 1, max_regions).alias("regions"))
-    clear = gated.filter(~F.col("has_anomaly")).select(
-        "image_id",
-        F.lit(0.0).alias("threshold"),
-        F.array().cast(chosen.schema["regions"].dataType).alias("regions"),
-    )
-    scores = gated.select("image_id", "pred_score", "has_anomaly")
-    return scores.join(chosen.unionByName(clear), "image_id")
+    return found.select("image_id", *keep, "threshold", F.slice(ranked, 1, max_regions).alias("regions"))
 
 
 def report(localised: DataFrame, image: Column | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ MODELS = ["blusa_modelo_01", "Blusa", "Top corto"]
 EVENT_CLASSES = {"click": 0, "view": 1, "purchase": 2, "error": 3}
 MAP_W, MAP_H, MAP_SCALE = 64, 36, 20
 PICTURE_W, PICTURE_H, PICTURE_SCALE = 160, 90, 8
+CAPTURE_PARTS = [f"{letter}{number}" for number in range(4) for letter in "cx"]
 UNIT = 256  # pixels of a small map derived from events
 
 
@@ -27,7 +28,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def image_of(event_id="event_id", rows: int = 4):
-    return F.floor(F.col(event_id) / rows).cast("long")
+    return F.expr(f"{event_id} div {rows}")
 
 
 def captures(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,7 +185,7 @@ def gallery_queries(spark: SparkSession, folder: str) -> DataFrame:
 def patches(spark: SparkSession, folder: str) -> DataFrame:
     """Eight vectors are the patches of one image."""
     return table(spark, folder, "embeddings").select(
-        F.floor(F.col("vec_id") / 8).cast("long").alias("image_id"),
+        F.expr("vec_id div 8").alias("image_id"),
         (F.col("vec_id") % 8).cast("int").alias("patch_no"),
         F.col("vec_id").alias("patch_id"),
         "embedding",
@@ -239,34 +240,44 @@ def _capture_boxes(spark: SparkSession, folder: str) -> DataFrame:
     wide = found.groupBy("image_id").agg(*sides)
     joined = captures(spark, folder).join(wide, "image_id", "left")
     # narrow here, wide once drawn: spread by number and not by the bytes seen so far
-    return joined.repartition(shuffle_partitions(spark), "image_id")
+    return joined.repartition(shuffle_partitions(spark), F.xxhash64("image_id"))
 
 
-def anomaly_maps(spark: SparkSession, folder: str) -> DataFrame:
-    """A map per capture with a disc of the box's confidence around each box."""
-
-    def pixel(i):
-        x, y = i % MAP_W, F.floor(i / MAP_W)
-        level = F.lit(0.05)
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _disc_map(
+    c0: pd.Series, x0: pd.Series, c1: pd.Series, x1: pd.Series,
+    c2: pd.Series, x2: pd.Series, c3: pd.Series, x3: pd.Series,
+) -> pd.Series:
+    ys, xs = np.mgrid[0:MAP_H, 0:MAP_W]
+    out = []
+    for row in np.stack([c0, x0, c1, x1, c2, x2, c3, x3], axis=1).astype(float):
+        level = np.full((MAP_H, MAP_W), 0.05)
         for number in range(4):
-            dx = x - F.floor(F.col(f"x{number}") / MAP_SCALE)
-            dy = y - (8 + 6 * number)
-            inside = dx * dx + dy * dy <= 20
-            level = F.greatest(level, F.when(inside, F.col(f"c{number}")))
-        return level.cast("float")
+            conf, center = row[2 * number], row[2 * number + 1]
+            if not np.isnan(conf):
+                disc = (xs - center // MAP_SCALE) ** 2 + (ys - 8 - 6 * number) ** 2 <= 20
+                level[disc] = np.maximum(level[disc], conf)
+        out.append(level.astype(np.float32).ravel())
+    return pd.Series(out)
+
 
+def anomaly_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """A map per capture with a disc of the box's confidence around each box."""
     best = F.greatest(*[F.coalesce(f"c{n}", F.lit(0.0)) for n in range(4)])
     return _capture_boxes(spark, folder).select(
         "image_id",
         F.lit(MAP_H).alias("height"),
         F.lit(MAP_W).alias("width"),
-        F.transform(F.sequence(F.lit(0), F.lit(MAP_W * MAP_H - 1)), pixel).alias("map"),
+        _disc_map(*CAPTURE_PARTS).alias("map"),
         F.array(best).alias("pred_score"),
     )
 
 
 @F.pandas_udf(T.BinaryType())
-def _picture(c0: pd.Series, x0: pd.Series, c1: pd.Series, x1: pd.Series, c2: pd.Series, x2: pd.Series, c3: pd.Series, x3: pd.Series) -> pd.Series:
+def _picture(
+    c0: pd.Series, x0: pd.Series, c1: pd.Series, x1: pd.Series,
+    c2: pd.Series, x2: pd.Series, c3: pd.Series, x3: pd.Series,
+) -> pd.Series:
     ys, xs = np.mgrid[0:PICTURE_H, 0:PICTURE_W]
     garment = (xs >= 8) & (xs < PICTURE_W - 8) & (ys >= 4) & (ys < PICTURE_H - 4)
     out = []
@@ -287,8 +298,6 @@ def _picture(c0: pd.Series, x0: pd.Series, c1: pd.Series, x1: pd.Series, c2: pd.
 
 def pictures(spark: SparkSession, folder: str) -> DataFrame:
     """A BGRA picture per capture: a gray garment with a dark disc per box."""
-    parts = [f"{letter}{number}" for number in range(4) for letter in "cx"]
-    drawn = _picture(*parts)
     return _capture_boxes(spark, folder).select(
         "image_id",
         "station_id",
@@ -296,5 +305,5 @@ def pictures(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(PICTURE_H).alias("height"),
         F.lit(PICTURE_W).alias("width"),
         F.lit(4).alias("nChannels"),
-        drawn.alias("data"),
+        _picture(*CAPTURE_PARTS).alias("data"),
     )
