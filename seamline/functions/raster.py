@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -37,6 +39,7 @@ def saturation(rgb: np.ndarray) -> np.ndarray:
     return np.rint(np.divide(255 * spread, high, out=np.zeros_like(high), where=high > 0)).astype(np.uint8)
 
 
+@lru_cache(maxsize=256)
 def resize_weights(size: int, target: int, kind: str) -> np.ndarray:
     """Weights [target, size] of one axis: ``linear`` and ``cubic`` sample, ``area`` averages,
     ``smooth`` is linear widened by the shrink factor."""
@@ -193,13 +196,16 @@ def garment_mask(rgb: np.ndarray, background: int = CANVAS_GRAY, tolerance: int
 
 
 def edge_distance(mask: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Exact distance of the given pixels to the nearest pixel outside the mask."""
+    """Exact distance of the given pixels to the nearest pixel outside the mask.
+
+    Where the mask leaves nothing out, every distance is height + width.
+    """
     height, width = mask.shape
     rows = np.arange(height)[:, None]
     far = height + width
     above = np.maximum.accumulate(np.where(mask, -far, rows), axis=0)
     below = np.minimum.accumulate(np.where(mask, height + far, rows)[::-1], axis=0)[::-1]
-    vertical = np.minimum(rows - above, below - rows).astype(np.int64)
+    vertical = np.minimum(np.minimum(rows - above, below - rows), far).astype(np.int64)
     squares = (xs[:, None] - np.arange(width)) ** 2 + vertical[ys] ** 2
     return np.sqrt(squares.min(axis=1))
 

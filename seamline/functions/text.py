@@ -21,7 +21,7 @@ def slug(name: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Remove leading and trailing white space of every kind, line ends included."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
 
 
 def inspection_code(captured_at: Column, capture_key: Column) -> Column:

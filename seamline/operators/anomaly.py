@@ -10,6 +10,7 @@ from seamline.functions.scores import IMAGE_THRESHOLD, first_score, has_anomaly
 from seamline.functions.vectors import euclidean
 from seamline.operators.nearest import EUCLIDEAN, nearest
 from seamline.operators.ordered import block_count
+from seamline.session import spread
 
 # --- fixed values -----------------------------------------------------------------------------
 BANK_RATIO = 0.10
@@ -36,7 +37,7 @@ def _thin(bank: DataFrame, share: float, blocks: int, seed: int) -> DataFrame:
         return rows.iloc[np.sort(_spread_out(vectors, wanted))][["item_id", "embedding"]]
 
     block = F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(blocks)).alias("block")
-    grouped = bank.select("item_id", "embedding", block).groupBy("block")
+    grouped = spread(bank.select("item_id", "embedding", block), "block").groupBy("block")
     return grouped.applyInPandas(pick, "item_id long, embedding array<float>")
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seamline.operators.ordered import RUN, lag_row, ordered_runs, running_sum
-from seamline.session import cut_lineage
+from seamline.session import cut_lineage, spread
 
 # --- fixed values -----------------------------------------------------------------------------
 COOLDOWN_US, STABILISATION_US = 4_000_000, 600_000
@@ -94,23 +94,27 @@ def auto_captures(
         )
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        out, at_ts, at_position = [], None, None
-        for run, part in rows.sort_values([RUN, "entry_position"]).groupby(RUN, sort=True):
-            out.append((rows[station].iloc[0], run, at_ts, at_position))
-            row = 0
-            if at_ts is not None:
-                ts, position = part["entry_ts"].to_numpy(), part["entry_position"].to_numpy()
-                row = int(_following(ts, position, at_ts, at_position, cooldown_us))
-            if row < len(part):
-                at_ts, at_position = (int(part[c].iloc[row]) for c in ("leave_ts", "leave_position"))
+        rows = rows.sort_values([RUN, "entry_position"], ignore_index=True)
+        run, ts, position = (rows[c].to_numpy() for c in (RUN, "entry_ts", "entry_position"))
+        borders = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1), len(rows)]
+        out, at = [], None
+        for start, end in zip(borders, borders[1:]):
+            out.append((rows[station].iloc[0], run[start], *(at or (None, None))))
+            row = start
+            if at is not None:
+                row += int(_following(ts[start:end], position[start:end], *at, cooldown_us))
+            if row < end:
+                at = (int(rows["leave_ts"].iloc[row]), int(rows["leave_position"].iloc[row]))
         linked = pd.DataFrame(out, columns=[station, RUN, "at_ts", "at_position"])
         return linked.astype({"at_ts": "Int64", "at_position": "Int64"})
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("position", ignore_index=True)
         ts, position = rows[ts_us].to_numpy(), rows["position"].to_numpy()
-        at_ts, at_position = rows["at_ts"].iloc[0], rows["at_position"].iloc[0]
-        row = 0 if pd.isna(at_ts) else int(_following(ts, position, at_ts, at_position, cooldown_us))
+        row = 0
+        if len(before) and not pd.isna(before["at_ts"].iloc[0]):
+            at = (int(before["at_ts"].iloc[0]), int(before["at_position"].iloc[0]))
+            row = int(_following(ts, position, *at, cooldown_us))
         taken = []
         while row < len(rows):
             taken.append(row)
@@ -119,11 +123,15 @@ def auto_captures(
 
     key = f"{station} {dtype[station]}"
     entry_schema = f"{key}, {RUN} int, entry_ts long, entry_position long, leave_ts long, leave_position long"
-    borders = moving.groupBy(station, RUN).applyInPandas(entries, entry_schema)
+    pieces = spread(moving, station, RUN)
+    # a station within one run needs no linking
+    several = moving.groupBy(station).agg(F.count_distinct(RUN).alias("_runs")).filter("_runs > 1")
+    split = spread(moving.join(several.select(station), station, "left_semi"), station, RUN)
+    borders = split.groupBy(station, RUN).applyInPandas(entries, entry_schema)
     linked = borders.groupBy(station).applyInPandas(link, f"{key}, {RUN} int, at_ts long, at_position long")
-    started = moving.join(linked, [station, RUN], "left")
+    started = spread(linked, station, RUN).groupBy(station, RUN)
     result = f"{key}, {ts_us} long, {unique} {dtype[unique]}"
-    return started.groupBy(station, RUN).applyInPandas(walk, result)
+    return pieces.groupBy(station, RUN).cogroup(started).applyInPandas(walk, result)
 
 
 def station_status(events: DataFrame, station: str, order: list[str], columns: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from seamline.functions import raster
 from seamline.functions.geometry import DEFAULT_ROI, roi_bounds, zone
 from seamline.functions.scores import heuristic_confidence, heuristic_min_area
 from seamline.functions.vectors import l2_normalise
+from seamline.session import bound_batches
 
 # --- fixed values -----------------------------------------------------------------------------
 DARK, SATURATED = 65, 120
@@ -23,6 +24,7 @@ PIXELS = ["height", "width", "nChannels", "data"]
 
 def _per_image(df: DataFrame, keys: list[str], work, fields: str, extra: list[str] = ()) -> DataFrame:
     """Apply ``work(pixels, row) -> dict`` to each image; a failing image gives a row with ``error``."""
+    bound_batches(df.sparkSession)
     columns = [*keys, *PIXELS, *extra]
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     schema = f"{key_schema}, error string, {fields}"
@@ -54,7 +56,8 @@ def prepare_images(
     """Crop to the object, lay on the canvas colour and fit into a square.
 
     ``images``: the key columns and the fields of Spark's image struct, optionally ``orientation``.
-    Results are BGR bytes again; failures keep their row, with ``status`` ``failed``.
+    Results are BGR bytes again, with their mean level; failures keep their row, with ``status``
+    ``failed``.
     """
     turned = "orientation" in images.columns
 
@@ -63,10 +66,16 @@ def prepare_images(
             pixels = raster.upright(pixels, int(row.orientation))
         flat = raster.composite(raster.crop_to_alpha(pixels), background)
         boxed = raster.letterbox(flat, size, background)
-        return {"height": size, "width": size, "nChannels": 3, "data": boxed[:, :, ::-1].tobytes()}
+        return {
+            "height": size,
+            "width": size,
+            "nChannels": 3,
+            "data": boxed[:, :, ::-1].tobytes(),
+            "mean_level": float(boxed.mean()),
+        }
 
     source = images.select(*keys, *[F.col(c).alias(c) for c in PIXELS], *(["orientation"] if turned else []))
-    fields = "height int, width int, nChannels int, data binary"
+    fields = "height int, width int, nChannels int, data binary, mean_level double"
     done = _per_image(source, keys, work, fields, ["orientation"] if turned else [])
     return done.withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("failed"))
 
@@ -197,13 +206,3 @@ def embed_images(
     )
     tensors = model_inputs(images, keys, side).filter(F.col("error").isNull())
     return tensors.select(*keys, l2_normalise(predict("tensor")).alias("embedding"))
-
-
-def mean_level(data: Column) -> Column:
-    """Average byte of an image, for quick comparison of results."""
-    return _mean_level(data)
-
-
-@F.pandas_udf(T.DoubleType())
-def _mean_level(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else float(np.frombuffer(b, np.uint8).mean()))

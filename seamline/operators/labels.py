@@ -27,12 +27,17 @@ def label_lines(files: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Typed columns of label lines; null where a token is missing or not a number."""
-    tokens = F.split(strip(F.col("line")), r"\s+")
-    size = F.when(strip(F.col("line")) == "", 0).otherwise(F.size(tokens))
-    typed = lines.withColumn("tokens", size).withColumn("class_id", label_int(F.get(tokens, F.lit(0))))
-    for position, field in enumerate(FIELDS, start=1):
-        typed = typed.withColumn(field, label_float(F.get(tokens, F.lit(position))))
-    return typed
+    # a column of its own, so that the line is split once and not once per token
+    split = lines.withColumn("_tokens", F.split(strip(F.col("line")), r"\s+"))
+    found = F.col("_tokens")
+    blank = F.get(found, F.lit(0)) == ""
+    fields = [label_float(F.get(found, F.lit(i))).alias(f) for i, f in enumerate(FIELDS, start=1)]
+    return split.select(
+        *lines.columns,
+        F.when(blank, 0).otherwise(F.size(found)).alias("tokens"),
+        label_int(F.get(found, F.lit(0))).alias("class_id"),
+        *fields,
+    )
 
 
 def line_errors(lines: DataFrame, classes: list[int] | None = None) -> DataFrame:
@@ -45,21 +50,24 @@ def line_errors(lines: DataFrame, classes: list[int] | None = None) -> DataFrame
     parsed = parse_lines(lines)
     numeric = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("class_id", *FIELDS)])
 
+    none = F.array().cast("array<struct<rule:string,field:string>>")
+
     def error(broken: Column, rule: str, field: str = "") -> Column:
-        return F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(field).alias("field")))
+        found = F.array(F.struct(F.lit(rule).alias("rule"), F.lit(field).alias("field")))
+        return F.when(broken, found).otherwise(none)
 
     ranged = [
         error(~((F.col(f) >= 0) & (F.col(f) <= 1) & ~F.isnan(f)), "range", f) for f in FIELDS
     ]
-    values = F.array(
+    values = F.concat(
         error(~F.col("class_id").isin(classes), "class"),
         *ranged,
         error((F.col("width") <= 0) | (F.col("height") <= 0), "size"),
     )
     errors = (
-        F.when(F.col("tokens") != 5, F.array(error(F.lit(True), "tokens")))
-        .when(~numeric, F.array(error(F.lit(True), "numeric")))
-        .otherwise(F.array_compact(values))
+        F.when(F.col("tokens") != 5, error(F.lit(True), "tokens"))
+        .when(~numeric, error(F.lit(True), "numeric"))
+        .otherwise(values)
     )
     exploded = parsed.select(*lines.columns, F.explode(errors).alias("e"))
     return exploded.select("split", "stem", "line_no", "e.rule", "e.field")

@@ -17,6 +17,7 @@ from seamline.functions.scores import (
 )
 from seamline.operators.anomaly import score_gate
 from seamline.operators.ordered import exact_percentile
+from seamline.session import bound_batches
 
 # --- fixed values -----------------------------------------------------------------------------
 MIN_AREA, MAX_REGIONS = 20, 1
@@ -81,6 +82,7 @@ def region_candidates(
         joined = maps.withColumns(
             {"mask_height": empty.cast("int"), "mask_width": empty.cast("int"), "mask": empty.cast("binary")}
         )
+    bound_batches(maps.sparkSession)
     kept = ["image_id", *keep]
     kept_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in maps.select(*kept).schema)
 

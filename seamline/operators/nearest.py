@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seamline.operators.ordered import block_count
-from seamline.session import shuffle_partitions
+from seamline.session import bound_batches, spread
 
 COSINE, EUCLIDEAN = "cosine", "euclidean"
 BROADCAST_BYTES = 64 << 20
@@ -132,6 +132,7 @@ def nearest(
 
 def _against_broadcast(queries: DataFrame, items: DataFrame, args) -> DataFrame:
     spark = queries.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(items.toArrow())
 
     def scan(batches):
@@ -140,8 +141,7 @@ def _against_broadcast(queries: DataFrame, items: DataFrame, args) -> DataFrame:
             table = pa.Table.from_batches([batch])
             yield from _neighbours(table, prepared, *args).to_batches()
 
-    spread = queries.repartition(shuffle_partitions(spark), "query_id")
-    return spread.mapInArrow(scan, RESULT)
+    return spread(queries, "query_id").mapInArrow(scan, RESULT)
 
 
 def _hash_block(column: str, blocks: Column) -> Column:
@@ -181,6 +181,6 @@ def _against_blocks(queries, items, item_count: int, block_rows: int, args) -> D
         return _neighbours(left_table, _Items(right_table), *args)
 
     columns = list(dict.fromkeys([*key, "grp", "embedding"]))
-    left_groups = left.select("query_id", *columns).groupBy(*key)
-    right_groups = right.select("item_id", *columns).groupBy(*key)
+    left_groups = spread(left.select("query_id", *columns), *key).groupBy(*key)
+    right_groups = spread(right.select("item_id", *columns), *key).groupBy(*key)
     return left_groups.cogroup(right_groups).applyInArrow(meet, RESULT)

@@ -273,37 +273,32 @@ def anomaly_maps(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.BinaryType())
-def _picture(
-    c0: pd.Series, x0: pd.Series, c1: pd.Series, x1: pd.Series,
-    c2: pd.Series, x2: pd.Series, c3: pd.Series, x3: pd.Series,
-) -> pd.Series:
-    ys, xs = np.mgrid[0:PICTURE_H, 0:PICTURE_W]
-    garment = (xs >= 8) & (xs < PICTURE_W - 8) & (ys >= 4) & (ys < PICTURE_H - 4)
-    out = []
-    for row in np.stack([c0, x0, c1, x1, c2, x2, c3, x3], axis=1).astype(float):
-        image = np.full((PICTURE_H, PICTURE_W, 4), 205, np.uint8)
-        image[..., 3] = np.where(garment, 255, 0)
-        image[garment, :3] = 150
+def _draw(batches):
+    """Pictures of capture rows, some at a time: they are far larger than the rows they come from."""
+
+    def picture(row) -> bytes:
+        side = row.station_id % 16 + 8
+        image = np.full((PICTURE_H, PICTURE_W, 4), (205, 205, 205, 0), np.uint8)
+        garment = image[4 : PICTURE_H - 4, side : PICTURE_W - side]
+        garment[:] = (150, 150, 150, 255)
         for number in range(4):
-            conf, center = row[2 * number], row[2 * number + 1]
-            if np.isnan(conf):
-                continue
-            reach = 4 + 12 * conf
-            disc = (xs - center / PICTURE_SCALE) ** 2 + (ys - 15 - 20 * number) ** 2 <= reach**2
-            image[disc & garment, :3] = (20, 30, 40 + 10 * number)
-        out.append(image.tobytes())
-    return pd.Series(out)
+            conf, center = getattr(row, f"c{number}"), getattr(row, f"x{number}")
+            if not pd.isna(conf):
+                dx = np.arange(side, PICTURE_W - side) - center / PICTURE_SCALE
+                dy = np.arange(4, PICTURE_H - 4)[:, None] - 15 - 20 * number
+                garment[dx**2 + dy**2 <= (4 + 12 * conf) ** 2, :3] = (20, 30, 40 + 10 * number)
+        return image.tobytes()
+
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.iloc[at : at + 64]
+            drawn = [picture(row) for row in part.itertuples(index=False)]
+            yield part[["image_id", "station_id", "captured_at"]].assign(data=drawn)
 
 
 def pictures(spark: SparkSession, folder: str) -> DataFrame:
-    """A BGRA picture per capture: a gray garment with a dark disc per box."""
-    return _capture_boxes(spark, folder).select(
-        "image_id",
-        "station_id",
-        "captured_at",
-        F.lit(PICTURE_H).alias("height"),
-        F.lit(PICTURE_W).alias("width"),
-        F.lit(4).alias("nChannels"),
-        _picture(*CAPTURE_PARTS).alias("data"),
-    )
+    """A BGRA picture per capture: a gray garment, as wide as its station has it, with a dark disc per box."""
+    rows = _capture_boxes(spark, folder)
+    drawn = rows.mapInPandas(_draw, "image_id long, station_id long, captured_at timestamp_ntz, data binary")
+    size = {"height": PICTURE_H, "width": PICTURE_W, "nChannels": 4}
+    return drawn.withColumns({name: F.lit(value) for name, value in size.items()})

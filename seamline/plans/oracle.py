@@ -271,6 +271,85 @@ average AS (
 )"""
 TEN = ", ".join(f"{0.5 + 0.05 * i:.2f}" for i in range(10))
 
+NEAR = "abs({a}.x - {b}.x) <= 1 AND abs({a}.y - {b}.y) <= 1"
+
+
+def morph(name: str, source: str, dilate: bool) -> str:
+    """One 3 x 3 step; pixels beyond the border neither set nor clear anything."""
+    if dilate:
+        body = f"""SELECT DISTINCT image_id, x + dx AS x, y + dy AS y
+  FROM {source}, (VALUES (-1), (0), (1)) h(dx), (VALUES (-1), (0), (1)) v(dy)
+  WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 35"""
+    else:
+        body = f"""SELECT image_id, x, y FROM (
+    SELECT image_id, x + dx AS x, y + dy AS y
+    FROM {source}, (VALUES (-1), (0), (1)) h(dx), (VALUES (-1), (0), (1)) v(dy)
+    WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 35)
+  GROUP BY ALL
+  HAVING count(*) = (1 + CAST(x > 0 AS INT) + CAST(x < 63 AS INT)) * (1 + CAST(y > 0 AS INT) + CAST(y < 35 AS INT))"""
+    return f"{name} AS (\n  {body}\n)"
+
+
+# Discs of a map in SQL. Neighbouring discs form chains, so their union has no holes to fill.
+REGIONS = f"""WITH RECURSIVE {CAPTURES},{BOXES},
+discs AS (
+  SELECT image_id, max(conf) AS conf, floor(max((x1 + x2) / 2) / 20) AS cx, 8 + 6 * box_no AS cy, box_no
+  FROM boxes GROUP BY image_id, box_no
+),
+painted AS (
+  SELECT image_id, x, y, max(conf)::FLOAT AS v
+  FROM discs, range(64) h(x), range(36) r(y)
+  WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 20 GROUP BY ALL
+),
+pixels AS (
+  SELECT c.image_id, h.x, r.y, greatest(0.05::FLOAT, coalesce(v, 0::FLOAT)) AS v
+  FROM captures c, range(64) h(x), range(36) r(y)
+  LEFT JOIN painted p ON p.image_id = c.image_id AND p.x = h.x AND p.y = r.y
+),
+gate AS (
+  SELECT image_id, coalesce(max(conf), 0) AS pred_score FROM captures LEFT JOIN boxes USING (image_id) GROUP BY 1
+),
+levels AS (
+  SELECT image_id, greatest(0.2::DOUBLE, quantile_cont(v, 0.995)::DOUBLE, max(v)::DOUBLE * 0.84::DOUBLE) AS threshold
+  FROM pixels JOIN gate USING (image_id) WHERE pred_score >= 0.5 GROUP BY 1
+),
+candidate AS (
+  SELECT image_id, x, y FROM pixels JOIN levels USING (image_id) WHERE v >= threshold::FLOAT
+),
+{morph('e1', 'candidate', False)},
+{morph('o1', 'e1', True)},
+{morph('d2', 'o1', True)},
+{morph('part', 'd2', False)},
+reach AS (
+  SELECT image_id, x, y, y * 64 + x AS first FROM part
+  UNION
+  SELECT r.image_id, p.x, p.y, r.first FROM reach r JOIN part p
+    ON p.image_id = r.image_id AND {NEAR.format(a='p', b='r')} WHERE r.first < p.y * 64 + p.x
+),
+labelled AS (SELECT image_id, x, y, min(first) AS first FROM reach GROUP BY ALL),
+areas AS (
+  SELECT image_id, first, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END) AS area FROM (
+    SELECT image_id, first, x - dx AS wx, y - dy AS wy, count(*) AS n
+    FROM labelled, (VALUES (0), (1)) h(dx), (VALUES (0), (1)) v(dy) GROUP BY ALL)
+  GROUP BY ALL
+),
+numbered AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first) AS INTEGER) AS component_no FROM areas
+),
+stats AS (
+  SELECT image_id, component_no, CAST(min(x) AS INTEGER) AS x, CAST(min(y) AS INTEGER) AS y,
+         CAST(max(x) - min(x) + 1 AS INTEGER) AS width, CAST(max(y) - min(y) + 1 AS INTEGER) AS height,
+         CAST(round_even(any_value(area), 0) AS INTEGER) AS area, avg(v::DOUBLE) AS mean_score, max(v::DOUBLE) AS max_score,
+         100.0::DOUBLE AS median_edge_distance,
+         round(max_score * 0.55::DOUBLE + mean_score * 0.35::DOUBLE + 0.10::DOUBLE, 6) AS ranking_score
+  FROM labelled JOIN numbered USING (image_id, first) JOIN pixels USING (image_id, x, y) GROUP BY 1, 2
+),
+ranked AS (
+  SELECT * REPLACE (round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score),
+         row_number() OVER (PARTITION BY image_id ORDER BY ranking_score DESC, component_no) AS rank
+  FROM stats WHERE area >= 20
+)"""
+
 SQL: dict[str, str] = {
     "verdict_from_boxes": f"WITH {CAPTURES},{BOXES},{VERDICTS} SELECT * FROM verdicts",
     "inspections": f"""{RECORDS} SELECT {SHOWN}, human_validation, confidence_kind, identity_identified,
@@ -381,6 +460,30 @@ FROM around a JOIN patches p USING (patch_id) JOIN bank s ON s.item_id = a.suppo
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY ranking_score DESC, component_no)
                    AS INTEGER) AS rank FROM regions)
         SELECT image_id, rank, component_no, ranking_score FROM ranked WHERE rank <= 3""",
+    "localize_maps": f"{REGIONS} SELECT * EXCLUDE (rank) FROM ranked WHERE rank <= 2",
+    "localization_report": f"""{REGIONS}
+        SELECT g.image_id::VARCHAR AS image, round(pred_score, 6) AS pred_score, pred_score >= 0.5 AS has_anomaly,
+          round(coalesce(threshold, 0), 6) AS threshold_used, CAST(rank IS NOT NULL AS INTEGER) AS region_count,
+          CASE WHEN rank IS NULL THEN '[]' ELSE to_json([{{'x': x, 'y': y, 'width': width, 'height': height,
+            'area': area, 'mean_score': mean_score, 'max_score': max_score,
+            'median_edge_distance': median_edge_distance, 'ranking_score': ranking_score}}])::VARCHAR END AS regions
+        FROM gate g LEFT JOIN levels USING (image_id) LEFT JOIN ranked r ON r.image_id = g.image_id AND rank = 1""",
+    "coreset": """WITH RECURSIVE bank AS (
+          SELECT vec_id AS item_id, embedding::DOUBLE[] AS e, round_even(0.1 * count(*) OVER (), 0) AS wanted
+          FROM embeddings WHERE label < 8
+        ),
+        fold AS (
+          SELECT 1 AS step, b.item_id, b.e, list_distance(b.e, f.e) AS gap, f.item_id AS picked, wanted
+          FROM bank b, (SELECT item_id, e FROM bank ORDER BY item_id LIMIT 1) f
+          UNION ALL
+          SELECT step + 1, item_id, e, least(gap, list_distance(e, far_e)), far_id, wanted
+          FROM (SELECT *, arg_max(item_id, gap) OVER () AS far_id, arg_max(e, gap) OVER () AS far_e FROM fold)
+          WHERE step < wanted
+        )
+        SELECT DISTINCT picked AS item_id FROM fold""",
+    # four rows above and below the garment are closed up to the border
+    "garment_mask": f"""WITH {CAPTURES} SELECT image_id, NULL::VARCHAR AS error, 90 AS mask_height, 160 AS mask_width,
+        CAST((160 - 2 * (station_id % 16 + 8)) * 90 AS BIGINT) AS pixels FROM captures""",
     "motion_candidates": f"""{SHOTS} SELECT event_id, station_id, position, previous, value FROM shots
         WHERE abs(value - previous) > 40""",
     "auto_capture": f"""{SHOTS},

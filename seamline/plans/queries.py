@@ -328,7 +328,7 @@ def localization_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def prepare_images(spark: SparkSession, folder: str) -> DataFrame:
     done = images.prepare_images(X.pictures(spark, folder), ["image_id"], size=128)
-    level = F.round(images.mean_level(F.col("data")), 4)
+    level = F.round("mean_level", 4)
     return done.select("image_id", "status", "height", "width", level.alias("mean_level"))
 
 

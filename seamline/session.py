@@ -44,5 +44,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Bound the Arrow batches of this session by bytes, unless they already are that small.
+
+    The default bounds them by rows, which with one image per row would fill the memory of a task.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = spark.conf.get(name, None) or "-1"
+    current = int(text.rstrip("bB")) if text.rstrip("bB").lstrip("-").isdigit() else -1
+    if current <= 0 or current > limit:
+        spark.conf.set(name, str(limit))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into all shuffle partitions.
+
+    For input of Python work, whose cost is far above its bytes: adaptive execution merges small
+    partitions by size, but leaves a partition count that was asked for.
+    """
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
