@@ -181,6 +181,8 @@ def _against_blocks(queries, items, item_count: int, block_rows: int, args) -> D
         return _neighbours(left_table, _Items(right_table), *args)
 
     columns = list(dict.fromkeys([*key, "grp", "embedding"]))
-    left_groups = spread(left.select("query_id", *columns), *key).groupBy(*key)
+    # queries and items may come from one table: new columns keep the two sides apart
+    own = [F.col(c).alias(c) for c in ("query_id", *columns)]
+    left_groups = spread(left.select(*own), *key).groupBy(*key)
     right_groups = spread(right.select("item_id", *columns), *key).groupBy(*key)
     return left_groups.cogroup(right_groups).applyInArrow(meet, RESULT)
