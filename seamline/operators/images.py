@@ -205,4 +205,5 @@ def embed_images(
         input_tensor_shapes=[[3, side, side]],
     )
     tensors = model_inputs(images, keys, side).filter(F.col("error").isNull())
-    return tensors.select(*keys, l2_normalise(predict("tensor")).alias("embedding"))
+    scored = tensors.select(*keys, predict("tensor").alias("output"))
+    return scored.select(*keys, l2_normalise(F.col("output")).alias("embedding"))

@@ -140,15 +140,19 @@ def error_preview(errors: DataFrame, shown: int = 50) -> DataFrame:
 def six_decimals(value: Column) -> Column:
     """Text of a non-negative number with six decimals, rounded on its exact binary value.
 
-    Spark rounds the shortest decimal form instead, which differs in the last digit near ties. The
-    value is scaled by 2 million = 128 * 15625 without loss: ``value * 128`` is exact, and the
-    product of its fraction with 15625 keeps far more digits than are needed.
+    Spark rounds the shortest decimal form instead, which differs in the last digit near ties. Two
+    million times the value is ``value * 128 * 15625``; scaling by 128 is exact, and so is each half
+    of the fraction times 15625 when the fraction is cut after 26 bits.
     """
     scaled = value * 128
     whole = F.floor(scaled)
-    fine = (scaled - whole) * 15625
-    halves = whole * 15625 + F.floor(fine)
-    beyond = fine > F.floor(fine)
+    fraction = scaled - whole
+    coarse = F.floor(fraction * (1 << 26)) / (1 << 26)
+    high, low = coarse * 15625, (fraction - coarse) * 15625
+    rest = high - F.floor(high)
+    carry = low >= 1 - rest
+    halves = whole * 15625 + F.floor(high) + F.when(carry, 1).otherwise(0)
+    beyond = F.when(carry, low > 1 - rest).otherwise((rest > 0) | (low > 0))
     lower = F.floor(halves / 2)
     up = (halves % 2 == 1) & (beyond | (lower % 2 == 1))
     units = lower + F.when(up, 1).otherwise(0)

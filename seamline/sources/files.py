@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline import schema as S
 from seamline.functions.text import path_split, path_stem
+from seamline.session import shuffle_partitions
 
 
 def _suffix_glob(extensions: list[str]) -> str:
@@ -59,12 +60,14 @@ def relative_path(path, folder: str):
     return F.substring_index(path, prefix, -1)
 
 
-def read_label_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per label file: split, stem and whole content."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _suffix_glob(["txt"]))
-    files = reader.text(folder, wholetext=True)
-    path = F.col("_metadata.file_path")
-    found = files.select(path.alias("path"), F.col("value").alias("content"))
+def read_label_files(spark: SparkSession, folder: str, pattern: str = "*/*.txt") -> DataFrame:
+    """One row per label file below a folder: split, stem and whole content.
+
+    The file sources of DataFrames leave out empty files, and an empty label file means a clean image;
+    reading whole text files keeps them. For large sets, keep labels as rows (``read_label_rows``).
+    """
+    files = spark.sparkContext.wholeTextFiles(f"{folder.rstrip('/')}/{pattern}", shuffle_partitions(spark))
+    found = spark.createDataFrame(files, "path string, content string")
     return found.select(
         path_split(F.col("path")).alias("split"), path_stem(F.col("path")).alias("stem"), "content"
     )
