@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seamline.operators.ordered import RUN, lag_row, ordered_runs, running_sum
+from seamline.operators.ordered import RUN, ordered_runs, with_history
 from seamline.session import cut_lineage, spread
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -38,8 +38,7 @@ def motion_candidates(
     """
     keys, order = [station], [ts_us, unique]
     ordered = ordered_runs(frames.withColumn("_one", F.lit(1)), keys, order, runs)
-    placed = running_sum(ordered, keys, order, {"_one": "position"})
-    lagged = lag_row(placed, keys, order, [signal], "_before")
+    lagged = with_history(ordered, keys, order, [signal], "_before", {"_one": "position"})
     before = F.col("_before")
     changed = before.isNotNull() & moved(before[signal], F.col(signal))
     return lagged.filter(changed).withColumn("previous", before[signal]).drop("_before", "_one")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seamline.functions.hashing import hash_split
 from seamline.functions.text import parse_capture_name, path_stem, prepared_target
-from seamline.operators.ordered import lag_row, ordered_runs, running_sum
+from seamline.operators.ordered import RUN, ordered_runs, session_numbers
 
 
 def sessions(
@@ -15,11 +15,7 @@ def sessions(
     """Number the sessions of each key: a pause longer than ``gap_us`` starts a new one (from 1)."""
     order = [ts_us, unique]
     ordered = ordered_runs(df, keys, order, runs)
-    lagged = lag_row(ordered, keys, order, [ts_us], "_previous")
-    pause = F.col(ts_us) - F.col("_previous")[ts_us]
-    starts = lagged.withColumn("_start", F.when(pause <= gap_us, 0).otherwise(1).cast("long"))
-    numbered = running_sum(starts, keys, order, {"_start": "session"})
-    return numbered.drop("_previous", "_start", "_run")
+    return session_numbers(ordered, keys, order, gap_us).drop(RUN)
 
 
 def sequence_split(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from seamline import schema as S
 from seamline.functions.geometry import box_iou, zone
 from seamline.functions.scores import BOX_FLOOR, CLEAN_CONFIDENCE, DEFECT_PERCENT, percent, status_of
-from seamline.operators.ordered import ordered_runs, running_sum
+from seamline.operators.ordered import ordered_runs, with_history
 
 IOU_THRESHOLDS = [0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95]
 
@@ -44,14 +44,19 @@ def verdict_from_boxes(
     names: dict[int, str] | None = None,
     floor: float = BOX_FLOOR,
     defect_percent: float = DEFECT_PERCENT,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One verdict per image; images without a box at or above the floor are approved."""
+    """One verdict per image; images without a box at or above the floor are approved.
+
+    ``keep`` carries further image columns along, so that registration needs no second join.
+    """
     best = best_box(boxes, floor)
-    joined = images.select("image_id").join(best, "image_id", "left")
+    joined = images.select("image_id", *keep).join(best, "image_id", "left")
     clean = F.col("conf").isNull()
     center = (F.col("x1") + F.col("x2")) / 2
     return joined.select(
         "image_id",
+        *keep,
         F.when(clean, S.APPROVED).otherwise(status_of(F.col("conf"), defect_percent)).alias("status"),
         F.when(clean, S.NO_DEFECT)
         .otherwise(class_name(F.col("class_id"), names))
@@ -131,7 +136,8 @@ def pr_curve(
         "iou", "class_id", (-F.col("conf")).alias("order"), "conf", "n", F.coalesce("tp", F.lit(0)).alias("tp")
     )
     runs = ordered_runs(steps, ["iou", "class_id"], ["order"])
-    summed = running_sum(runs, ["iou", "class_id"], ["order"], {"tp": "cum_tp", "n": "cum_n"})
+    sums = {"tp": "cum_tp", "n": "cum_n"}
+    summed = with_history(runs, ["iou", "class_id"], ["order"], totals=sums)
     wanted = truth.groupBy("class_id").agg(F.count("*").alias("positives"))
     joined = summed.join(wanted, "class_id", "left").na.fill(0, ["positives"])
     return joined.select(

@@ -89,7 +89,8 @@ def split_summary(images: DataFrame, files: DataFrame) -> DataFrame:
     ``files`` has one row per label file with ``content``. Images without a label count in
     ``images`` only.
     """
-    state = files.select(*KEY, (strip(F.col("content")) != "").alias("marked"))
+    marked = F.max(strip(F.col("content")) != "").alias("marked")
+    state = files.groupBy(*KEY).agg(marked)
     return summarise(images.select(*KEY).join(state, KEY, "left"))
 
 

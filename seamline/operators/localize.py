@@ -39,6 +39,18 @@ def pixel_thresholds(pixels: DataFrame, unique: str, percentile: float = REGION_
     return joined.select("image_id", F.coalesce("n", F.lit(0)).alias("pixels"), threshold.alias("threshold"))
 
 
+def region_stats(pixels: DataFrame, unique: str) -> DataFrame:
+    """Figures of each component from one row per pixel (image_id, component, v, edge_distance)."""
+    key = ["image_id", "component"]
+    median = exact_percentile(pixels, key, "edge_distance", unique, 0.5, "median_edge_distance")
+    scores = pixels.groupBy(*key).agg(
+        F.count("*").alias("pixels"), F.avg("v").alias("mean_score"), F.max("v").alias("max_score")
+    )
+    joined = scores.join(median.select(*key, "median_edge_distance"), key)
+    ranking = ranking_score(F.col("max_score"), F.col("mean_score"), F.col("median_edge_distance"))
+    return joined.withColumn("ranking_score", ranking)
+
+
 def find_parts(values: np.ndarray, mask: np.ndarray, threshold: float, min_area: int) -> list[tuple]:
     """Candidate regions of one map at or above ``threshold``, numbered in raster order."""
     candidate = (values >= threshold) & mask

@@ -35,38 +35,60 @@ def _across_runs(keys) -> Window:
     return Window.partitionBy(*keys).orderBy(RUN)
 
 
-def lag_row(runs: DataFrame, keys, order, columns: Sequence[str], name: str) -> DataFrame:
-    """Add ``name``: the struct of ``columns`` in the previous row of the key, null in the first."""
-    position = F.struct(*order)
-    value = F.struct(*columns)
-    tails = runs.groupBy(*keys, RUN).agg(F.max_by(value, position).alias("_tail"))
-    carried = tails.select(*keys, RUN, F.lag("_tail").over(_across_runs(keys)).alias("_carried"))
-    local = runs.withColumn("_local", F.lag(value).over(_in_run(keys, order)))
-    joined = local.join(carried, [*keys, RUN], "left")
-    return joined.withColumn(name, F.coalesce("_local", "_carried")).drop("_local", "_carried")
-
-
-def running_sum(runs: DataFrame, keys, order, columns: dict[str, str]) -> DataFrame:
-    """Add inclusive running totals of ``columns`` (input name to output name) within each key.
-
-    Rows that tie on ``order`` inside a run are summed one after the other, so ``order`` should be
-    total.
+def with_history(
+    runs: DataFrame,
+    keys,
+    order,
+    previous: Sequence[str] = (),
+    name: str = "previous",
+    totals: dict[str, str] | None = None,
+) -> DataFrame:
+    """Add ``name``, the struct of ``previous`` columns in the row before (null in the first row of a
+    key), and inclusive running totals (input column to output column).
+
+    The rows are shuffled once, by (key, run); what a run needs from earlier ones comes from its
+    summary row, in one join.
     """
-    totals = runs.groupBy(*keys, RUN).agg(*[F.sum(c).alias("_sum_" + c) for c in columns])
+    totals = totals or {}
+    inside, value = _in_run(keys, order), F.struct(*previous)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = _across_runs(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        RUN,
-        *[F.coalesce(F.sum("_sum_" + c).over(before), F.lit(0)).alias("_off_" + c) for c in columns],
-    )
-    inside = _in_run(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = runs.select("*", *[F.sum(c).over(inside).alias("_loc_" + c) for c in columns])
-    joined = local.join(offsets, [*keys, RUN], "left")
-    result = joined.select(
-        *runs.columns,
-        *[(F.col("_loc_" + c) + F.col("_off_" + c)).alias(out) for c, out in columns.items()],
+    local = [F.sum(c).over(so_far).alias("_local_" + c) for c in totals]
+    summary = [F.sum(c).alias("_sum_" + c) for c in totals]
+    offsets = [F.coalesce(F.sum("_sum_" + c).over(before), F.lit(0)).alias("_offset_" + c) for c in totals]
+    columns = [(F.col("_local_" + c) + F.col("_offset_" + c)).alias(out) for c, out in totals.items()]
+    if previous:
+        local.append(F.lag(value).over(inside).alias("_before"))
+        summary.append(F.max_by(value, F.struct(*order)).alias("_tail"))
+        offsets.append(F.lag("_tail").over(_across_runs(keys)).alias("_carried"))
+        columns.append(F.coalesce("_before", "_carried").alias(name))
+    carried = runs.groupBy(*keys, RUN).agg(*summary).select(*keys, RUN, *offsets)
+    joined = runs.select("*", *local).join(carried, [*keys, RUN], "left")
+    return joined.select(*runs.columns, *columns)
+
+
+def session_numbers(runs: DataFrame, keys, order, gap, name: str = "session") -> DataFrame:
+    """Number the sessions of each key from 1; a step of more than ``gap`` in the first order column
+    starts a new one.
+
+    Inside a run sessions count from 0; a run's summary tells how many came before it and whether its
+    first row starts one.
+    """
+    at, inside = order[0], _in_run(keys, order)
+    step = F.col(at) - F.lag(at).over(inside)
+    local = runs.withColumn("_new", F.when(step > gap, 1).otherwise(0).cast("long"))
+    local = local.withColumn("_inner", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = local.groupBy(*keys, RUN).agg(
+        F.min(at).alias("_head"), F.max(at).alias("_tail"), F.max("_inner").alias("_inside")
     )
-    return result
+    across = _across_runs(keys)
+    jump = F.col("_head") - F.lag("_tail").over(across)
+    opened = summary.withColumn("_opens", F.when(jump <= gap, 0).otherwise(1).cast("long"))
+    through = across.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = F.sum(F.col("_opens") + F.col("_inside")).over(through) - F.col("_inside")
+    offsets = opened.select(*keys, RUN, earlier.alias("_earlier"))
+    joined = local.join(offsets, [*keys, RUN])
+    return joined.select(*runs.columns, (F.col("_earlier") + F.col("_inner")).alias(name))
 
 
 def exact_percentile(

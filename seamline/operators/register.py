@@ -11,9 +11,17 @@ from seamline.functions.text import inspection_code, station_image_path
 STATION, AUTOMATIC, FORM = "station", "automatic", "form"
 
 
+IDENTITY = {
+    "identified": "identity_identified",
+    "model_name": "model_name",
+    "similarity": "identity_similarity",
+    "threshold": "identity_threshold",
+}
+
+
 def register(
     captures: DataFrame,
-    verdicts: DataFrame,
+    verdicts: DataFrame | None = None,
     identity: DataFrame | None = None,
     mode: str = AUTOMATIC,
     notes: str | None = None,
@@ -21,32 +29,24 @@ def register(
     """One inspection row per capture that has an image.
 
     ``captures``: image_id, captured_at and optionally ``image_original``, ``has_image``;
-    ``verdicts``: what ``verdict_from_boxes`` or ``heuristic_verdict`` return;
-    ``identity``: image_id, identified, model_name, similarity, threshold — used in station mode only,
-    where an unidentified garment goes to review whatever the detector said.
+    ``verdicts``: what ``verdict_from_boxes`` or ``heuristic_verdict`` return, or None when captures
+    already carry those columns; ``identity``: image_id, identified, model_name, similarity, threshold,
+    or None when captures carry them — used in station mode only, where an unidentified garment goes to
+    review whatever the detector said.
     """
-    if mode == STATION and identity is None:
-        raise ValueError("station mode needs identity results")
-    shown = captures.filter("has_image") if "has_image" in captures.columns else captures
-    joined = shown.join(verdicts, "image_id", "left")
+    joined = captures.filter("has_image") if "has_image" in captures.columns else captures
+    if verdicts is not None:
+        joined = joined.join(verdicts, "image_id", "left")
     if mode == STATION:
-        names = identity.select(
-            "image_id",
-            F.col("identified").alias("identity_identified"),
-            "model_name",
-            F.col("similarity").alias("identity_similarity"),
-            F.col("threshold").alias("identity_threshold"),
-        )
-        joined = joined.join(names, "image_id", "left")
+        if identity is not None:
+            joined = joined.join(identity.select("image_id", *IDENTITY), "image_id", "left")
+        elif not set(IDENTITY) <= set(captures.columns):
+            raise ValueError("station mode needs identity results")
+        joined = joined.withColumnsRenamed(IDENTITY)
         known = F.coalesce("identity_identified", F.lit(False))
     else:
-        joined = joined.select(
-            "*",
-            F.lit(None).cast("boolean").alias("identity_identified"),
-            F.lit(None).cast("string").alias("model_name"),
-            F.lit(None).cast("double").alias("identity_similarity"),
-            F.lit(None).cast("double").alias("identity_threshold"),
-        )
+        kinds = {"identity_identified": "boolean", "identity_similarity": "double", "identity_threshold": "double"}
+        joined = joined.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()})
         known = F.lit(True)
     garment = F.coalesce("model_name", F.lit(S.INSPECTED_GARMENT)) if mode == STATION else F.lit(S.INSPECTED_GARMENT)
     original = (

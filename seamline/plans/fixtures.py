@@ -80,13 +80,15 @@ def labelled_boxes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def identity(spark: SparkSession, folder: str) -> DataFrame:
-    """Identity result of each capture; the model goes with the station."""
+def identified_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures with their identity result; the model goes with the station."""
     similarity = F.least(F.lit(0.5) + F.col("first_value") / 100, F.lit(0.99))
     model = F.get(F.array(*[F.lit(m) for m in MODELS]), (F.col("station_id") % 3).cast("int"))
     identified = similarity >= 0.72
     return captures(spark, folder).select(
         "image_id",
+        "captured_at",
+        "station_id",
         identified.alias("identified"),
         F.when(identified, model).alias("model_name"),
         similarity.alias("similarity"),
@@ -99,9 +101,9 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inspections(spark: SparkSession, folder: str) -> DataFrame:
-    return register(
-        captures(spark, folder), verdicts(spark, folder), identity(spark, folder), mode=STATION
-    )
+    shots = identified_captures(spark, folder)
+    keep = ("captured_at", "identified", "model_name", "similarity", "threshold")
+    return register(verdict_from_boxes(shots, boxes(spark, folder), keep=keep), mode=STATION)
 
 
 def validations(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,3 +304,14 @@ def pictures(spark: SparkSession, folder: str) -> DataFrame:
     drawn = rows.mapInPandas(_draw, "image_id long, station_id long, captured_at timestamp_ntz, data binary")
     size = {"height": PICTURE_H, "width": PICTURE_W, "nChannels": 4}
     return drawn.withColumns({name: F.lit(value) for name, value in size.items()})
+
+
+def component_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of the components of a map, with their distance to the edge of the mask."""
+    return table(spark, folder, "events").select(
+        image_of(rows=UNIT).alias("image_id"),
+        "event_id",
+        F.col("event_type").alias("component"),
+        (F.col("value") / 500).alias("v"),
+        F.get_json_object("props", "$.k").cast("double").alias("edge_distance"),
+    )

@@ -412,6 +412,9 @@ SQL: dict[str, str] = {
         max(base || suffix) AS last_source FROM files GROUP BY 1 HAVING count(*) > 1""",
     "slugs": f"SELECT p_partkey, {slug(chr(39) + '  ' + chr(39) + ' || p_name || ' + chr(39) + ' — ' + chr(39) + ' || p_brand || ' + chr(39) + '!' + chr(39))} AS slug FROM part",
     "hash_splits": f"SELECT o_orderkey, {split('o_orderkey::VARCHAR')} AS split FROM orders",
+    "holdout_splits": """WITH images AS (SELECT DISTINCT vec_id // 8 AS image_id FROM embeddings),
+        placed AS (SELECT image_id, ('0x' || substr(md5('42:' || image_id), 1, 8))::ubigint % 10000 AS b FROM images)
+        SELECT image_id, CASE WHEN b < 1000 THEN 'val' WHEN b < 2000 THEN 'test' ELSE 'train' END AS split FROM placed""",
     "sequence_split": f"""{SEQUENCES} SELECT event_id, station_id, session, sequence, {split('sequence')} AS split
         FROM sequences""",
     "split_leak_check": f"""{SEQUENCES}, torn AS (SELECT sequence, {split('event_id::VARCHAR')} AS split FROM sequences)
@@ -460,6 +463,13 @@ FROM around a JOIN patches p USING (patch_id) JOIN bank s ON s.item_id = a.suppo
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY ranking_score DESC, component_no)
                    AS INTEGER) AS rank FROM regions)
         SELECT image_id, rank, component_no, ranking_score FROM ranked WHERE rank <= 3""",
+    "region_stats": f"""WITH stats AS (
+          SELECT event_id // 256 AS image_id, event_type AS component, count(*) AS pixels, avg(value / 500) AS mean_score,
+                 max(value / 500) AS max_score, quantile_cont({K}, 0.5) AS median_edge_distance
+          FROM events GROUP BY 1, 2)
+        SELECT image_id, component, pixels, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score,
+          median_edge_distance, round(0.55::DOUBLE * max_score + 0.35::DOUBLE * mean_score
+            + 0.10::DOUBLE * least(median_edge_distance / 18.0::DOUBLE, 1.0::DOUBLE), 6) AS ranking_score FROM stats""",
     "localize_maps": f"{REGIONS} SELECT * EXCLUDE (rank) FROM ranked WHERE rank <= 2",
     "localization_report": f"""{REGIONS}
         SELECT g.image_id::VARCHAR AS image, round(pred_score, 6) AS pred_score, pred_score >= 0.5 AS has_anomaly,

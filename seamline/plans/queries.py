@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.functions.geometry import normalised_box
-from seamline.functions.hashing import hash_split
+from seamline.functions.hashing import hash_split, holdout_split
 from seamline.functions.scores import normalised_score
 from seamline.functions.text import slug
 from seamline.operators import (
@@ -203,6 +203,11 @@ def hash_splits(spark: SparkSession, folder: str) -> DataFrame:
     return X.table(spark, folder, "orders").select("o_orderkey", hash_split(F.col("o_orderkey")).alias("split"))
 
 
+def holdout_splits(spark: SparkSession, folder: str) -> DataFrame:
+    images = X.patches(spark, folder).select("image_id").distinct()
+    return images.withColumn("split", holdout_split(F.col("image_id")))
+
+
 def _sequences(spark: SparkSession, folder: str) -> DataFrame:
     return dataset.sequence_split(X.shots(spark, folder), ["station_id"], "ts_us", "event_id", GAP_US)
 
@@ -310,6 +315,10 @@ def region_rank_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(top.select("image_id", "rank", "component_no", "ranking_score"))
 
 
+def region_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(localize.region_stats(X.component_pixels(spark, folder), "event_id"))
+
+
 def localize_maps(spark: SparkSession, folder: str) -> DataFrame:
     found = localize.localize(X.anomaly_maps(spark, folder), max_regions=2)
     return localize.region_rows(found)
@@ -346,7 +355,7 @@ def frame_motion(spark: SparkSession, folder: str) -> DataFrame:
     signals = images.frame_signals(frames, keys).filter(F.col("error").isNull()).drop("error")
     order = ["ts_us", "image_id"]
     runs = ordered.ordered_runs(signals, ["station_id"], order)
-    lagged = ordered.lag_row(runs, ["station_id"], order, ["signal"], "before")
+    lagged = ordered.with_history(runs, ["station_id"], order, ["signal"], "before")
     changed = images.motion_pixels(F.col("before.signal"), F.col("signal"))
     return lagged.select("image_id", "station_id", changed.alias("changed_pixels"))
 
@@ -370,7 +379,8 @@ def auto_capture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def station_status(spark: SparkSession, folder: str) -> DataFrame:
-    rows = X.captures(spark, folder).join(X.verdicts(spark, folder), "image_id")
+    keep = ("captured_at", "station_id")
+    rows = detections.verdict_from_boxes(X.captures(spark, folder), X.boxes(spark, folder), keep=keep)
     order = ["captured_at", "image_id"]
     return capture.station_status(rows, "station_id", order, ["image_id", "status", "defect_type", "zone"])
 
@@ -414,10 +424,11 @@ QUERIES = {
         garment_vocab_gap, vocabulary_violations, inspection_json, records_display,
         label_errors, label_error_preview, label_split_summary, missing_labels, orphan_labels,
         yolo_boxes, capture_name_parse, dataset_cube, duplicate_targets, slugs, hash_splits,
+        holdout_splits,
         sequence_split, split_leak_check, top3_similarity, profile_stats, loo_threshold,
         loo_threshold_open, identify, identify_open, identify_pairs_open, patch_knn,
         image_anomaly_score, patch_map, coreset, score_gate, score_scale, dynamic_threshold,
-        region_rank_topk, localize_maps, localization_report, prepare_images, garment_mask,
+        region_rank_topk, region_stats, localize_maps, localization_report, prepare_images, garment_mask,
         heuristic_detect, frame_motion, motion_candidates, auto_capture, station_status,
         live_kpis, capture_sessions, detection_pr_curve, detection_map, detection_map_summary,
     )

@@ -35,14 +35,18 @@ def build_session(app: str = "seamline", master: str | None = None, **conf: str)
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from the written copy.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is set
-    only when nothing is configured (single-machine tests).
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; without one, a temporary
+    folder is used in local mode, and a cluster is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seamline-checkpoint-"))
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="seamline-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -8,8 +8,9 @@ from seamline.operators.register import with_defaults
 
 
 def append_inspections(rows: DataFrame, path: str) -> None:
-    """Append rows in the full schema, by day of creation."""
+    """Append rows in the full schema, by day of creation; a day with very many rows is split."""
     full = with_defaults(rows).withColumn("created_day", F.to_date("created_at"))
+    full = full.hint("rebalance", "created_day")
     full.write.mode("append").partitionBy("created_day").parquet(path)
 
 
@@ -25,9 +26,8 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_profiles(gallery: DataFrame, profile: DataFrame, path: str) -> None:
-    gallery.select("model_name", "image_name", "embedding").write.mode("overwrite").partitionBy(
-        "model_name"
-    ).parquet(f"{path}/gallery")
+    rows = gallery.select("model_name", "image_name", "embedding").hint("rebalance", "model_name")
+    rows.write.mode("overwrite").partitionBy("model_name").parquet(f"{path}/gallery")
     profile.select("model_name", "n", "min_sim", "mean_sim", "threshold").write.mode("overwrite").parquet(
         f"{path}/profile"
     )

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from seamline.operators import dataset
-from seamline.operators.ordered import exact_percentile, lag_row, ordered_runs, running_sum
+from seamline.operators.ordered import exact_percentile, ordered_runs, with_history
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +17,7 @@ def rows():
 @pytest.mark.parametrize("runs", [1, 5, 40])
 def test_lag_and_running_sum(spark, rows, runs):
     ordered = ordered_runs(spark.createDataFrame(rows), ["key"], ["ts", "id"], runs)
-    lagged = lag_row(ordered, ["key"], ["ts", "id"], ["v"], "before")
-    summed = running_sum(lagged, ["key"], ["ts", "id"], {"v": "total"})
+    summed = with_history(ordered, ["key"], ["ts", "id"], ["v"], "before", {"v": "total"})
     found = summed.select("id", "before.v", "total").toPandas().sort_values("id")
     expected = rows.sort_values(["key", "ts", "id"])
     expected = expected.assign(
