@@ -195,18 +195,21 @@ def garment_mask(rgb: np.ndarray, background: int = CANVAS_GRAY, tolerance: int
     return labels == areas.argmax() + 1 if len(areas) else np.ones(difference.shape, bool)
 
 
-def edge_distance(mask: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Exact distance of the given pixels to the nearest pixel outside the mask.
-
-    Where the mask leaves nothing out, every distance is height + width.
-    """
+def column_gaps(mask: np.ndarray) -> np.ndarray:
+    """Distance of each pixel to the nearest one of its column outside the mask; at most height + width."""
     height, width = mask.shape
-    rows = np.arange(height)[:, None]
-    far = height + width
+    far, rows = height + width, np.arange(height)[:, None]
     above = np.maximum.accumulate(np.where(mask, -far, rows), axis=0)
     below = np.minimum.accumulate(np.where(mask, height + far, rows)[::-1], axis=0)[::-1]
-    vertical = np.minimum(np.minimum(rows - above, below - rows), far).astype(np.int64)
-    squares = (xs[:, None] - np.arange(width)) ** 2 + vertical[ys] ** 2
+    return np.minimum(np.minimum(rows - above, below - rows), far)
+
+
+def edge_distance(gaps: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Exact distance of the given pixels to the nearest pixel outside the mask with these gaps.
+
+    Where the mask leaves nothing out, every distance is height + width.
+    """
+    squares = (xs[:, None] - np.arange(gaps.shape[1])) ** 2 + gaps[ys] ** 2
     return np.sqrt(squares.min(axis=1))
 
 

@@ -11,7 +11,8 @@ from seamline.functions import raster
 from seamline.functions.geometry import DEFAULT_ROI, roi_bounds, zone
 from seamline.functions.scores import heuristic_confidence, heuristic_min_area
 from seamline.functions.vectors import l2_normalise
-from seamline.session import bound_batches
+from seamline.operators.ordered import ordered_runs, with_history
+from seamline.session import bound_batches, cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------
 DARK, SATURATED = 65, 120
@@ -32,7 +33,7 @@ def _per_image(df: DataFrame, keys: list[str], work, fields: str, extra: list[st
 
     def one(row) -> dict:
         try:
-            if row.height is None or row.height <= 0 or row.data is None:
+            if row.height <= 0 or row.data is None:
                 raise ValueError("image could not be read")
             return {"error": None, **work(raster.decode(row.data, row.height, row.width, row.nChannels), row)}
         except ValueError as problem:
@@ -47,7 +48,9 @@ def _per_image(df: DataFrame, keys: list[str], work, fields: str, extra: list[st
                 done = pd.DataFrame(results, columns=["error", *names], dtype=object)
                 yield pd.concat([part[keys], done], axis=1)
 
-    return df.select(*columns).mapInPandas(scan, schema)
+    # nulls would turn whole columns of numbers into floats
+    whole = {c: F.coalesce(c, F.lit(-1)) for c in ("height", "width", "nChannels")}
+    return df.select(*columns).withColumns(whole).mapInPandas(scan, schema)
 
 
 def prepare_images(
@@ -74,7 +77,7 @@ def prepare_images(
             "mean_level": float(boxed.mean()),
         }
 
-    source = images.select(*keys, *[F.col(c).alias(c) for c in PIXELS], *(["orientation"] if turned else []))
+    source = images.withColumn("orientation", F.coalesce("orientation", F.lit(1))) if turned else images
     fields = "height int, width int, nChannels int, data binary, mean_level double"
     done = _per_image(source, keys, work, fields, ["orientation"] if turned else [])
     return done.withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("failed"))
@@ -100,15 +103,26 @@ def garment_masks(images: DataFrame, background: int = raster.CANVAS_GRAY, toler
     return _per_image(images, ["image_id"], work, fields)
 
 
+ROI_COLUMNS = ["roi_x1", "roi_y1", "roi_x2", "roi_y2"]
+
+
+def _with_roi(images: DataFrame, roi) -> DataFrame:
+    """Bounds of the region of interest as plain columns, all 0 where it is empty."""
+    bounds = roi_bounds(F.col("width"), F.col("height"), roi)
+    return images.withColumns({c: F.coalesce(bounds[c[4:]], F.lit(0)) for c in ROI_COLUMNS})
+
+
+def _inside(pixels: np.ndarray, row) -> np.ndarray:
+    if row.roi_x2 <= row.roi_x1:
+        raise ValueError("the region of interest is empty")
+    return pixels[row.roi_y1 : row.roi_y2, row.roi_x1 : row.roi_x2, :3]
+
+
 def heuristic_parts(images: DataFrame, roi=DEFAULT_ROI) -> DataFrame:
     """Largest dark or saturated part inside the region of interest: area and box, or null."""
-    bounds = roi_bounds(F.col("width"), F.col("height"), roi).alias("roi")
 
     def work(pixels, row):
-        if row.roi is None:
-            raise ValueError("the region of interest is empty")
-        x1, y1 = row.roi["x1"], row.roi["y1"]
-        inner = pixels[y1 : row.roi["y2"], x1 : row.roi["x2"], :3]
+        inner = _inside(pixels, row)
         mask = (raster.gray(inner) <= DARK) | (raster.saturation(inner) >= SATURATED)
         mask = raster.dilate(raster.opened(raster.majority(mask, 5), 5), 5)
         labels, areas = raster.outlines(mask)
@@ -116,12 +130,13 @@ def heuristic_parts(images: DataFrame, roi=DEFAULT_ROI) -> DataFrame:
         if len(areas):
             best = int(areas.argmax())
             ys, xs = np.nonzero(labels == best + 1)
-            box = (xs.min() + x1, ys.min() + y1, xs.max() - xs.min() + 1, ys.max() - ys.min() + 1)
+            left, top = xs.min() + row.roi_x1, ys.min() + row.roi_y1
+            box = (left, top, xs.max() - xs.min() + 1, ys.max() - ys.min() + 1)
             found = {**dict(zip("xywh", map(int, box))), "area": float(areas[best])}
         return {"img_w": row.width, "img_h": row.height, **found}
 
     fields = "img_w int, img_h int, x int, y int, w int, h int, area double"
-    return _per_image(images.select("*", bounds), ["image_id"], work, fields, ["roi"])
+    return _per_image(_with_roi(images, roi), ["image_id"], work, fields, ROI_COLUMNS)
 
 
 def heuristic_verdict(images: DataFrame, roi=DEFAULT_ROI) -> DataFrame:
@@ -148,15 +163,11 @@ def heuristic_verdict(images: DataFrame, roi=DEFAULT_ROI) -> DataFrame:
 
 def frame_signals(frames: DataFrame, keys: list[str], roi=DEFAULT_ROI, blur: int = 21) -> DataFrame:
     """Blurred gray region of interest of each frame, the input of motion detection."""
-    bounds = roi_bounds(F.col("width"), F.col("height"), roi).alias("roi")
 
     def work(pixels, row):
-        if row.roi is None:
-            raise ValueError("the region of interest is empty")
-        inner = pixels[row.roi["y1"] : row.roi["y2"], row.roi["x1"] : row.roi["x2"], :3]
-        return {"signal": raster.blur(raster.gray(inner), blur).tobytes()}
+        return {"signal": raster.blur(raster.gray(_inside(pixels, row)), blur).tobytes()}
 
-    return _per_image(frames.select("*", bounds), keys, work, "signal binary", ["roi"])
+    return _per_image(_with_roi(frames, roi), keys, work, "signal binary", ROI_COLUMNS)
 
 
 def changed_pixels(before: bytes | None, after: bytes, change: int = PIXEL_CHANGE) -> int:
@@ -176,6 +187,22 @@ def motion_pixels(before: pd.Series, after: pd.Series) -> pd.Series:
     )
 
 
+def frame_motion(
+    frames: DataFrame, station: str, ts_us: str, unique: str, roi=DEFAULT_ROI, runs: int | None = None
+) -> DataFrame:
+    """Pixels changed since the frame before at the same station; null for a station's first frame.
+
+    Unreadable frames are skipped. Only the blurred regions are shuffled, and they are written out
+    first: range partitioning looks at its input twice, which must not repeat the pixel work.
+    """
+    keys, order = [station], [ts_us, unique]
+    signals = frame_signals(frames, [station, *order], roi).filter(F.col("error").isNull()).drop("error")
+    ordered = ordered_runs(cut_lineage(signals), keys, order, runs)
+    lagged = with_history(ordered, keys, order, ["signal"], "before")
+    changed = motion_pixels(F.col("before.signal"), F.col("signal"))
+    return lagged.select(station, *order, changed.alias("changed_pixels"))
+
+
 def model_inputs(images: DataFrame, keys: list[str], side: int = 224) -> DataFrame:
     """Square, scaled, normalised channel-first tensors for an embedding model."""
 

@@ -54,19 +54,27 @@ def region_stats(pixels: DataFrame, unique: str) -> DataFrame:
 def find_parts(values: np.ndarray, mask: np.ndarray, threshold: float, min_area: int) -> list[tuple]:
     """Candidate regions of one map at or above ``threshold``, numbered in raster order."""
     candidate = (values >= threshold) & mask
-    labels, areas = raster.outlines(raster.closed(raster.opened(candidate, 3), 3))
+    ys, xs = np.nonzero(candidate)
+    if not len(ys):
+        return []
+    # the few candidates with a rim that stays empty: the rest of the map changes nothing
+    top, left = max(0, ys.min() - 3), max(0, xs.min() - 3)
+    window = candidate[top : ys.max() + 4, left : xs.max() + 4]
+    labels, areas = raster.outlines(raster.closed(raster.opened(window, 3), 3))
+    gaps = raster.column_gaps(mask) if len(areas) else None
     parts = []
     for number, polygon in enumerate(areas, start=1):
         area = round(float(polygon))
         if area < min_area:
             continue
         ys, xs = np.nonzero(labels == number)
+        ys, xs = ys + top, xs + left
         scores = values[ys, xs]
         edges = np.flatnonzero(np.r_[True, (np.diff(ys) != 0) | (np.diff(xs) != 1)])
         lengths = np.diff(np.r_[edges, len(ys)])
         runs = np.stack([ys[edges], xs[edges], lengths], axis=1).ravel()
         box = (xs.min(), ys.min(), xs.max() - xs.min() + 1, ys.max() - ys.min() + 1)
-        edge = float(np.median(raster.edge_distance(mask, ys, xs)))
+        edge = float(np.median(raster.edge_distance(gaps, ys, xs)))
         stats = (float(scores.mean(dtype=np.float64)), float(scores.max()), edge)
         parts.append((number, *map(int, box), area, *stats, runs.tolist()))
     return parts

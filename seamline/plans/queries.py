@@ -17,7 +17,6 @@ from seamline.operators import (
     images,
     labels,
     localize,
-    ordered,
     records,
 )
 from seamline.operators.nearest import EUCLIDEAN, nearest
@@ -351,13 +350,8 @@ def heuristic_detect(spark: SparkSession, folder: str) -> DataFrame:
 
 def frame_motion(spark: SparkSession, folder: str) -> DataFrame:
     frames = X.pictures(spark, folder).withColumn("ts_us", F.unix_micros(F.col("captured_at").cast("timestamp")))
-    keys = ["station_id", "ts_us", "image_id"]
-    signals = images.frame_signals(frames, keys).filter(F.col("error").isNull()).drop("error")
-    order = ["ts_us", "image_id"]
-    runs = ordered.ordered_runs(signals, ["station_id"], order)
-    lagged = ordered.with_history(runs, ["station_id"], order, ["signal"], "before")
-    changed = images.motion_pixels(F.col("before.signal"), F.col("signal"))
-    return lagged.select("image_id", "station_id", changed.alias("changed_pixels"))
+    found = images.frame_motion(frames, "station_id", "ts_us", "image_id")
+    return found.select("image_id", "station_id", "changed_pixels")
 
 
 # --- capture and live figures -----------------------------------------------------------------

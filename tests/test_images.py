@@ -105,6 +105,12 @@ def test_heuristic_verdict(spark):
     assert (found[99].defect_type, found[99].zone) == ("Imagen no válida", "No definida")
 
 
+def test_empty_region_of_interest_is_an_error_row(spark):
+    plain = np.full((20, 30, 3), 180, np.uint8)
+    found = images.frame_signals(picture(spark, plain), ["image_id"], roi=(0.9, 0.1, 0.2, 0.9))
+    assert {r.image_id: r.error for r in found.collect()}[0] == "the region of interest is empty"
+
+
 def test_masks_of_unreadable_images_are_null(spark):
     image = np.full((40, 40, 3), 205, np.uint8)
     image[10:30, 10:30] = 0
@@ -125,6 +131,27 @@ def test_frame_signal_and_motion(spark):
         images.changed_pixels(b"ab", b"abc")
 
 
+@pytest.mark.parametrize("runs", [1, 4])
+def test_frame_motion(spark, runs):
+    rng = np.random.default_rng(8)
+    frames = [rng.integers(0, 255, (40, 50, 3)).astype(np.uint8) // 64 * 64 for _ in range(12)]
+    frames = [np.kron(f[:4, :5], np.ones((10, 10, 1))).astype(np.uint8) for f in frames]
+    rows = [(i % 3 == 0, i, i, *f.shape, f[:, :, ::-1].tobytes()) for i, f in enumerate(frames)]
+    rows[7] = (*rows[7][:3], -1, -1, -1, None)
+    table = spark.createDataFrame(rows, "hot boolean, ts_us long, n long, height int, width int, nChannels int, data binary")
+    found = {r.n: r.changed_pixels for r in images.frame_motion(table, "hot", "ts_us", "n", runs=runs).collect()}
+
+    def signal(f):
+        return raster.blur(raster.gray(f[4:36, 5:45])).astype(int)
+
+    for hot in (True, False):
+        own = [r[1] for r in rows if r[0] == hot and r[6] is not None]
+        assert found[own[0]] is None
+        for a, b in zip(own, own[1:]):
+            assert found[b] == (np.abs(signal(frames[a]) - signal(frames[b])) > 25).sum()
+    assert 7 not in found
+
+
 def test_embedding_through_a_user_model(spark, folder):
     def load():
         import numpy as np

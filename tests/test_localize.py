@@ -88,6 +88,27 @@ def test_masks(spark):
     assert second.threshold == 0.2 and second.regions == []
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_window_of_candidates_gives_what_the_whole_map_gives(seed):
+    from seamline.functions import raster
+
+    rng = np.random.default_rng(seed)
+    values = raster.blur(rng.integers(0, 255, (40, 50)).astype(np.uint8), 5).astype(np.float32) / 255
+    values[rng.integers(0, 40, 30), rng.integers(0, 50, 30)] += 0.4
+    mask = np.ones((40, 50), bool)
+    mask[:, :5] = False
+    threshold = float(np.percentile(values, 60 + 6 * seed))
+    whole = raster.closed(raster.opened((values >= threshold) & mask, 3), 3)
+    labels, areas = raster.outlines(whole)
+    parts = localize.find_parts(values, mask, threshold, 1)
+    expected = [i + 1 for i, a in enumerate(areas) if round(float(a)) >= 1]
+    assert len(parts) == len(expected)
+    for part, number in zip(parts, expected):
+        ys, xs = np.nonzero(labels == number)
+        assert part[1:5] == (xs.min(), ys.min(), xs.max() - xs.min() + 1, ys.max() - ys.min() + 1)
+        assert part[6] == pytest.approx(values[ys, xs].mean())
+
+
 def test_report_example(spark, tmp_path):
     """Ranking of the one published example region, and the shape of the report."""
     part = spark.createDataFrame(

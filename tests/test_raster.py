@@ -96,11 +96,11 @@ def test_edge_distance_matches_brute_force():
     ys, xs = np.nonzero(mask)
     oy, ox = np.nonzero(~mask)
     expected = np.sqrt(((ys[:, None] - oy) ** 2 + (xs[:, None] - ox) ** 2).min(axis=1))
-    assert np.allclose(raster.edge_distance(mask, ys, xs), expected)
+    assert np.allclose(raster.edge_distance(raster.column_gaps(mask), ys, xs), expected)
 
 
 def test_edge_distance_without_edge():
-    assert list(raster.edge_distance(np.ones((4, 5), bool), np.array([1]), np.array([2]))) == [9.0]
+    assert list(raster.edge_distance(raster.column_gaps(np.ones((4, 5), bool)), np.array([1]), np.array([2]))) == [9.0]
 
 
 def test_resizers():

@@ -88,7 +88,7 @@ def test_frame_stream_signals(spark, tmp_path):
     from seamline.operators.images import frame_signals
 
     pixels = bytes(10 * 10 * 3)
-    rows = [(1, i, START + dt.timedelta(seconds=i), i != 1, 10, 10, 3, pixels if i != 1 else None) for i in range(3)]
+    rows = [(1, i, START + dt.timedelta(seconds=i), i != 1, *((10, 10, 3, pixels) if i != 1 else (None,) * 4)) for i in range(3)]
     spark.createDataFrame(rows, S.FRAMES).write.parquet(str(tmp_path / "in"))
     stream = frame_stream(spark, str(tmp_path / "in"), 1)
     drain(frame_signals(stream, ["station_id", "frame_seq", "ts", "readable"]), "signals", "append", tmp_path / "c")
