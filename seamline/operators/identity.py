@@ -12,8 +12,10 @@ from seamline.functions.scores import (
     IDENTITY_PERCENTILE,
     identity_threshold,
 )
+from seamline.operators.images import embed_images
 from seamline.operators.nearest import nearest
 from seamline.operators.ordered import exact_percentile
+from seamline.session import cut_lineage
 
 TOP_K = 3
 MIN_IMAGES = 10
@@ -60,6 +62,17 @@ def profiles(
     )
 
 
+def build_profiles(images: DataFrame, make_predict_fn, side: int = 224, **options) -> tuple[DataFrame, DataFrame]:
+    """(gallery, profile) of reference images: model_name, image_name and the image fields.
+
+    Unreadable images are left out; a model needs enough readable ones. The embeddings are written out
+    once, as both results use them.
+    """
+    embedded = embed_images(images, ["model_name", "image_name"], make_predict_fn, side)
+    gallery = cut_lineage(embedded.withColumn("item_id", F.xxhash64("model_name", "image_name")))
+    return gallery, profiles(gallery, **options)
+
+
 def compare(similarities: DataFrame, profile: DataFrame) -> DataFrame:
     """Each (query, model) pair with the model's threshold and whether it is reached."""
     known = profile.select("model_name", "threshold")

@@ -17,8 +17,8 @@ from seamline.operators.ordered import block_count
 from seamline.session import bound_batches, spread
 
 COSINE, EUCLIDEAN = "cosine", "euclidean"
-BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 65_536
+BROADCAST_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
 SLICE_CELLS = 4 << 20
 
 
@@ -59,7 +59,8 @@ def _neighbours(queries: pa.Table, items: _Items, k: int, metric: str, same_grou
     ids, vectors = queries["query_id"].to_numpy(), _matrix(queries["embedding"])
     own = np.asarray(queries["grp"].to_pylist(), dtype=object) if same_group else None
     out: dict[str, list] = {"query_id": [], "grp": [], "item_id": [], "score": []}
-    for name, (start, end) in items.ranges.items():
+    names = list(items.ranges)
+    for code, (name, (start, end)) in enumerate(items.ranges.items()):
         rows = np.arange(len(ids)) if own is None else np.flatnonzero(own == name)
         item_ids, block = items.ids[start:end], items.vectors[start:end]
         step = max(1, SLICE_CELLS // len(item_ids))
@@ -79,12 +80,13 @@ def _neighbours(queries: pa.Table, items: _Items, k: int, metric: str, same_grou
             out["query_id"].append(np.repeat(ids[part], picked.shape[1])[kept.ravel()])
             out["item_id"].append(item_ids[picked][kept])
             out["score"].append(values[kept])
-            out["grp"].extend([name] * int(kept.sum()))
-    joined = {c: np.concatenate(v) if v else np.array([]) for c, v in out.items() if c != "grp"}
+            out["grp"].append(np.full(int(kept.sum()), code))
+    joined = {c: np.concatenate(v) if v else np.array([], np.int64) for c, v in out.items()}
+    groups = pa.DictionaryArray.from_arrays(pa.array(joined["grp"], pa.int32()), pa.array(names, pa.string()))
     return pa.table(
         {
             "query_id": pa.array(joined["query_id"], pa.int64()),
-            "grp": pa.array(out["grp"], pa.string()),
+            "grp": groups.cast(pa.string()),
             "item_id": pa.array(joined["item_id"], pa.int64()),
             "score": pa.array(joined["score"], pa.float64()),
         }
@@ -103,14 +105,15 @@ def nearest(
     same_group: bool = False,
     skip_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The ``k`` best items of every query, per ``group`` of items when one is named.
 
     ``queries``: query_id, embedding (and the group column with ``same_group``); ``items``: item_id,
     embedding and the group column. Cosine scores are dot products (unit vectors are expected, larger
     is better); Euclidean scores are distances (smaller is better). ``skip_self`` leaves out the item
-    with the id of the query. Among equal scores the smaller item id wins.
+    with the id of the query. Among equal scores the smaller item id wins. Blocks hold 64 MB of numbers
+    unless ``block_rows`` is given.
     """
     grp = F.col(group) if group else F.lit("")
     item_rows = items.select("item_id", grp.alias("grp"), "embedding")
@@ -118,8 +121,9 @@ def nearest(
         "query_id", (grp if same_group else F.lit("")).alias("grp"), "embedding"
     )
     size = item_rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    args = (k, metric, same_group, skip_self)
-    if size["n"] * (size["d"] or 0) * 4 <= broadcast_bytes:
+    args, width = (k, metric, same_group, skip_self), size["d"] or 1
+    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * width))
+    if size["n"] * width * 4 <= broadcast_bytes:
         found = _against_broadcast(query_rows, item_rows, args)
     else:
         found = _against_blocks(query_rows, item_rows, size["n"], block_rows, args)
