@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.functions.hashing import hash_split
-from seamline.functions.text import parse_capture_name, path_stem, prepared_target
+from seamline.functions.text import parse_capture_name, prepared_target
 from seamline.operators.ordered import RUN, ordered_runs, session_numbers
 
 
@@ -61,10 +61,6 @@ def duplicate_targets(files: DataFrame, relative: str = "relative_path") -> Data
     return grouped.filter(F.col("sources") > 1)
 
 
-def with_stem(files: DataFrame, path: str = "path") -> DataFrame:
-    return files.withColumn("stem", path_stem(F.col(path)))
-
-
 def require_min_rows(df: DataFrame, minimum: int = 10, what: str = "rows") -> DataFrame:
     """``df``, or an error when it has fewer than ``minimum`` rows (stops counting there)."""
     found = df.limit(minimum).count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline import schema as S
 from seamline.functions.hashing import hash_split
@@ -18,7 +18,6 @@ MODELS = ["blusa_modelo_01", "Blusa", "Top corto"]
 EVENT_CLASSES = {"click": 0, "view": 1, "purchase": 2, "error": 3}
 MAP_W, MAP_H, MAP_SCALE = 64, 36, 20
 PICTURE_W, PICTURE_H, PICTURE_SCALE = 160, 90, 8
-CAPTURE_PARTS = [f"{letter}{number}" for number in range(4) for letter in "cx"]
 UNIT = 256  # pixels of a small map derived from events
 
 
@@ -146,8 +145,9 @@ def label_images(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_files(spark: SparkSession, folder: str) -> DataFrame:
     """Label files by stem: orders with lines, and clean files for finished orders without any."""
-    lines = label_lines(spark, folder)
-    marked = lines.groupBy("split", "stem").agg(F.lit("marked").alias("content"))
+    orders = table(spark, folder, "lineitem").select("l_orderkey").distinct()
+    stem = F.col("l_orderkey").cast("string")
+    marked = orders.select(hash_split(stem).alias("split"), stem.alias("stem"), F.lit("marked").alias("content"))
     bare = label_images(spark, folder).filter(F.col("o_orderstatus") == "F")
     clean = bare.join(marked, ["split", "stem"], "left_anti")
     return marked.unionByName(clean.select("split", "stem", F.lit("").alias("content")))
@@ -245,63 +245,68 @@ def _capture_boxes(spark: SparkSession, folder: str) -> DataFrame:
     return joined.repartition(shuffle_partitions(spark), F.xxhash64("image_id"))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _disc_map(
-    c0: pd.Series, x0: pd.Series, c1: pd.Series, x1: pd.Series,
-    c2: pd.Series, x2: pd.Series, c3: pd.Series, x3: pd.Series,
-) -> pd.Series:
+def _in_parts(batches, columns: list[str], draw, name: str):
+    """Add ``draw(row)`` to rows, some at a time: the results are far larger than the rows."""
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.iloc[at : at + 64]
+            yield part[columns].assign(**{name: [draw(row) for row in part.itertuples(index=False)]})
+
+
+def _boxes_of(row):
+    """Box number, confidence and horizontal centre of the boxes of a capture."""
+    for number in range(4):
+        conf, center = getattr(row, f"c{number}"), getattr(row, f"x{number}")
+        if not pd.isna(conf):
+            yield number, conf, center
+
+
+def _disc_maps(batches):
     ys, xs = np.mgrid[0:MAP_H, 0:MAP_W]
-    out = []
-    for row in np.stack([c0, x0, c1, x1, c2, x2, c3, x3], axis=1).astype(float):
+
+    def draw(row) -> np.ndarray:
         level = np.full((MAP_H, MAP_W), 0.05)
-        for number in range(4):
-            conf, center = row[2 * number], row[2 * number + 1]
-            if not np.isnan(conf):
-                disc = (xs - center // MAP_SCALE) ** 2 + (ys - 8 - 6 * number) ** 2 <= 20
-                level[disc] = np.maximum(level[disc], conf)
-        out.append(level.astype(np.float32).ravel())
-    return pd.Series(out)
+        for number, conf, center in _boxes_of(row):
+            disc = (xs - center // MAP_SCALE) ** 2 + (ys - 8 - 6 * number) ** 2 <= 20
+            level[disc] = np.maximum(level[disc], conf)
+        return level.astype(np.float32).ravel()
+
+    return _in_parts(batches, ["image_id", "best"], draw, "map")
 
 
 def anomaly_maps(spark: SparkSession, folder: str) -> DataFrame:
     """A map per capture with a disc of the box's confidence around each box."""
     best = F.greatest(*[F.coalesce(f"c{n}", F.lit(0.0)) for n in range(4)])
-    return _capture_boxes(spark, folder).select(
+    rows = _capture_boxes(spark, folder).withColumn("best", best)
+    drawn = rows.mapInPandas(_disc_maps, "image_id long, best double, map array<float>")
+    return drawn.select(
         "image_id",
         F.lit(MAP_H).alias("height"),
         F.lit(MAP_W).alias("width"),
-        _disc_map(*CAPTURE_PARTS).alias("map"),
-        F.array(best).alias("pred_score"),
+        "map",
+        F.array("best").alias("pred_score"),
     )
 
 
-def _draw(batches):
-    """Pictures of capture rows, some at a time: they are far larger than the rows they come from."""
-
-    def picture(row) -> bytes:
+def _pictures(batches):
+    def draw(row) -> bytes:
         side = row.station_id % 16 + 8
         image = np.full((PICTURE_H, PICTURE_W, 4), (205, 205, 205, 0), np.uint8)
         garment = image[4 : PICTURE_H - 4, side : PICTURE_W - side]
         garment[:] = (150, 150, 150, 255)
-        for number in range(4):
-            conf, center = getattr(row, f"c{number}"), getattr(row, f"x{number}")
-            if not pd.isna(conf):
-                dx = np.arange(side, PICTURE_W - side) - center / PICTURE_SCALE
-                dy = np.arange(4, PICTURE_H - 4)[:, None] - 15 - 20 * number
-                garment[dx**2 + dy**2 <= (4 + 12 * conf) ** 2, :3] = (20, 30, 40 + 10 * number)
+        for number, conf, center in _boxes_of(row):
+            dx = np.arange(side, PICTURE_W - side) - center / PICTURE_SCALE
+            dy = np.arange(4, PICTURE_H - 4)[:, None] - 15 - 20 * number
+            garment[dx**2 + dy**2 <= (4 + 12 * conf) ** 2, :3] = (20, 30, 40 + 10 * number)
         return image.tobytes()
 
-    for batch in batches:
-        for at in range(0, len(batch), 64):
-            part = batch.iloc[at : at + 64]
-            drawn = [picture(row) for row in part.itertuples(index=False)]
-            yield part[["image_id", "station_id", "captured_at"]].assign(data=drawn)
+    return _in_parts(batches, ["image_id", "station_id", "captured_at"], draw, "data")
 
 
 def pictures(spark: SparkSession, folder: str) -> DataFrame:
     """A BGRA picture per capture: a gray garment, as wide as its station has it, with a dark disc per box."""
     rows = _capture_boxes(spark, folder)
-    drawn = rows.mapInPandas(_draw, "image_id long, station_id long, captured_at timestamp_ntz, data binary")
+    drawn = rows.mapInPandas(_pictures, "image_id long, station_id long, captured_at timestamp_ntz, data binary")
     size = {"height": PICTURE_H, "width": PICTURE_W, "nChannels": 4}
     return drawn.withColumns({name: F.lit(value) for name, value in size.items()})
 
