@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seamline.llm import byte_bpe
 from seamline.llm.line_dedup import dedup_lines, digests
 from seamline.llm.ngram_join import ngram_components
+from seamline.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,14 +24,35 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    counted = count_tokens(table(spark, folder, "documents").select("doc_id", "text"), model)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return digests(kept, "text", "kept_sha256").select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(coded.drop("text"), ranks, public_tokenizers.PATTERN)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        byte_bpe.id_digest().alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_ngram_join": op2_ngram_join,
+    "op6_token_counts": op6_token_counts,
     "op8_line_dedup": op8_line_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

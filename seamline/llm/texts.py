@@ -175,3 +175,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id")
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions ``starts[k] .. starts[k] + sizes[k]`` of every run, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
