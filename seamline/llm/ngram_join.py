@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.llm.graph import components
+from seamline.llm.prefilter import maybe_in
 from seamline.llm.texts import pieces, shingles_of
 from seamline.session import cut_lineage
 
@@ -82,20 +83,26 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def choose_prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The prefix of a set in the global order, and the number ``l`` of shared shingles it asks for.
 
-    The estimated cost of ``l`` is the length of its prefix plus the candidates it lets through: the postings
-    above the usual load of a counter, divided by ``l`` squared, as chance partners rarely share several.
+    The estimated cost of ``l`` is the length of its prefix plus the candidates it lets through: the load above
+    the usual of its shingles' counters, divided by ``l`` squared, as chance partners rarely share several.
     """
     n = len(found)
     overlap = -(-percent * n // 100)
-    load = counts[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
-    order = np.lexsort((found, load))
-    most = min(MOST, overlap)
-    length = n - overlap
-    head = order[: length + most]
-    extra = np.cumsum(np.maximum(load[head] - counts.mean() * 2, 0))
-    costs = [length + k + extra[length + k - 1] / k**2 for k in range(1, most + 1)]
-    best = int(np.argmin(costs)) + 1
-    return found[head[: length + best]], best
+    length, most = n - overlap, min(MOST, overlap)
+    # counters below twice the usual load say nothing: those shingles count as rare and go by their hash
+    load = counts[(found & np.uint64(SKETCH - 1)).astype(np.int64)] - 2 * counts.mean()
+    frequent = load > 0
+    order = found[~frequent]
+    extra = np.zeros(most)
+    if len(order) < length + most:
+        hot, weight = found[frequent], load[frequent]
+        by = np.lexsort((hot, weight))
+        costs = np.cumsum(np.concatenate((np.zeros(len(order)), weight[by])))
+        order = np.concatenate((order, hot[by]))
+        extra = costs[length : length + most]
+    cost = length + np.arange(1, most + 1) + extra / np.arange(1, most + 1) ** 2
+    best = int(np.argmin(cost)) + 1
+    return order[: length + best], best
 
 
 def _postings(sketch, percent: int):
@@ -185,11 +192,14 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     sketch = spark.sparkContext.broadcast(counts.tobytes())
     postings = texts.mapInArrow(_postings(sketch, percent), "token long, node long, n int, need byte")
     # a shingle in the prefix of one set only leads nowhere
-    ends = postings.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
-    shared = cut_lineage(postings.join(ends.select("token", "lead"), "token").distinct())
+    token = Window.partitionBy("token")
+    shared = cut_lineage(
+        postings.withColumn("lead", F.min("node").over(token)).withColumn("last", F.max("node").over(token))
+        .where("lead <> last").drop("last").distinct()
+    )
     members = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     partners = shared.select("node").distinct().join(members, "node")
-    held = cut_lineage(texts.join(partners, "doc_id").select("node", "text"))
+    held = cut_lineage(maybe_in(texts, partners, "doc_id").join(partners, "doc_id").select("node", "text"))
     # one comparison per set: with the smallest member that it shares most prefix shingles with
     stars = (
         shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("times"))
