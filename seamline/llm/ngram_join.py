@@ -14,6 +14,7 @@ other components. Every link between different components is thus found, so the
 
 from __future__ import annotations
 
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -28,10 +29,10 @@ from seamline.llm.texts import pieces, shingles_of
 from seamline.session import cut_lineage
 
 #: Counters of the sketch of shingle frequencies, and the slices it is summed in.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 SLICES = 16
-#: Largest number of shared prefix shingles asked for.
-MOST = 4
+#: Candidates by chance that a set expects, as a share of its size: documents repeat passages of others.
+CHANCE = 1.35
 #: Sets a task remembers, so that copies of a document give its postings once.
 REMEMBERED = 20_000
 
@@ -66,7 +67,7 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = [None] * len(ids)
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(fingerprint, sets)), pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
     if counts.any():
-        slices = [part.tobytes() for part in counts.reshape(SLICES, -1)]
+        slices = [zlib.compress(part.tobytes(), 1) for part in counts.reshape(SLICES, -1)]
         none = [None] * SLICES
         yield pa.record_batch([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], schema=schema)
 
@@ -75,39 +76,39 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for key, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sums[key] = sums.get(key, 0) + np.frombuffer(counts.as_py(), np.int64)
+            sums[key] = sums.get(key, 0) + np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
     if sums:
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
 
-def choose_prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+def choose_prefix(found: np.ndarray, counts: np.ndarray, bar: float, percent: int) -> tuple[np.ndarray, int]:
     """The prefix of a set in the global order, and the number ``l`` of shared shingles it asks for.
 
-    The estimated cost of ``l`` is the length of its prefix plus the candidates it lets through: the load above
-    the usual of its shingles' counters, divided by ``l`` squared, as chance partners rarely share several.
+    The estimated cost of ``l`` is the length of its prefix plus the candidates it lets through: some by chance
+    and those of its frequent shingles, fewer the more shared shingles are asked for. Counters below ``bar``
+    (twice their mean) say nothing: their shingles count as rare and are ordered by hash, before the others.
     """
     n = len(found)
     overlap = -(-percent * n // 100)
-    length, most = n - overlap, min(MOST, overlap)
-    # counters below twice the usual load say nothing: those shingles count as rare and go by their hash
-    load = counts[(found & np.uint64(SKETCH - 1)).astype(np.int64)] - 2 * counts.mean()
-    frequent = load > 0
-    order = found[~frequent]
-    extra = np.zeros(most)
-    if len(order) < length + most:
-        hot, weight = found[frequent], load[frequent]
+    load = counts[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
+    frequent = load > bar
+    order, extra = found, np.zeros(1)
+    if frequent.any():
+        hot, weight = found[frequent], load[frequent] - bar
         by = np.lexsort((hot, weight))
-        costs = np.cumsum(np.concatenate((np.zeros(len(order)), weight[by])))
-        order = np.concatenate((order, hot[by]))
-        extra = costs[length : length + most]
-    cost = length + np.arange(1, most + 1) + extra / np.arange(1, most + 1) ** 2
-    best = int(np.argmin(cost)) + 1
-    return order[: length + best], best
+        order = np.concatenate((found[~frequent], hot[by]))
+        extra = np.concatenate((np.zeros(n - len(hot)), np.cumsum(weight[by])))
+    choices = np.unique(np.minimum(1 << np.arange(16), overlap))
+    ends = n - overlap + choices
+    cost = ends + (CHANCE * n + extra[np.minimum(ends, len(extra)) - 1]) / choices
+    best = int(np.argmin(cost))
+    return order[: ends[best]], int(choices[best])
 
 
 def _postings(sketch, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sketch.value, np.int64)
+        counts = sketch.value
+        bar = 2 * counts.mean(dtype=np.float64)
         seen: OrderedDict[int, None] = OrderedDict()
         for _, _, sets in _rows(batches, percent):
             tokens, nodes, sizes, needs = [], [], [], []
@@ -121,11 +122,11 @@ def _postings(sketch, percent: int):
                 seen[node] = None
                 if len(seen) > REMEMBERED:
                     seen.popitem(last=False)
-                prefix, need = choose_prefix(found, counts, percent)
+                prefix, need = choose_prefix(found, counts, bar, percent)
                 tokens.append(prefix)
                 nodes.append(np.full(len(prefix), node, np.int64))
                 sizes.append(np.full(len(prefix), len(found), np.int32))
-                needs.append(np.full(len(prefix), need, np.int8))
+                needs.append(np.full(len(prefix), need, np.int32))
             if tokens:
                 yield pa.record_batch(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(needs))],
@@ -183,14 +184,14 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     survey = cut_lineage(texts.mapInArrow(_surveyed, "doc_id long, n long, node long, slice int, counts binary"))
     named = survey.where("slice is null").select("doc_id", "n", "node")
-    # one fixed-size sketch (2 MB), whatever the number of documents
+    # one fixed-size sketch (8 MB), whatever the number of documents
     slices = survey.where("slice is not null").select("slice", "counts").mapInArrow(_summed, "slice int, counts binary")
     sums = slices.repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
     counts = np.zeros((SLICES, SKETCH // SLICES), np.int64)
     for row in sums:
-        counts[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    sketch = spark.sparkContext.broadcast(counts.tobytes())
-    postings = texts.mapInArrow(_postings(sketch, percent), "token long, node long, n int, need byte")
+        counts[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+    sketch = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32).ravel())
+    postings = texts.mapInArrow(_postings(sketch, percent), "token long, node long, n int, need int")
     # a shingle in the prefix of one set only leads nowhere
     token = Window.partitionBy("token")
     shared = cut_lineage(
@@ -201,8 +202,12 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     partners = shared.select("node").distinct().join(members, "node")
     held = cut_lineage(maybe_in(texts, partners, "doc_id").join(partners, "doc_id").select("node", "text"))
     # one comparison per set: with the smallest member that it shares most prefix shingles with
+    facts = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("need").alias("need"))
+    lead = facts.select(F.col("node").alias("lead"), F.col("n").alias("n_lead"), F.col("need").alias("need_lead"))
     stars = (
-        shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("times"))
+        shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("need").alias("need"))
+        .join(lead, "lead")
+        .where(f"times >= least(need, need_lead) and 100 * n_lead >= {percent} * n and 100 * n >= {percent} * n_lead")
         .groupBy("node").agg(F.max(F.struct("times", "lead")).alias("best"))
         .select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
     )
