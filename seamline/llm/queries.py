@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import byte_bpe
+from seamline.llm import byte_bpe, quality, sharding, tool_chat, toxicity
+from seamline.llm.decontaminate import benchmark_matches
+from seamline.llm.exact_dedup import exact_groups
 from seamline.llm.line_dedup import dedup_lines, digests
 from seamline.llm.ngram_join import ngram_components
+from seamline.llm.texts import held_out
 from seamline.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +23,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _classified(kind, spark: SparkSession, folder: str, least: float) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = kind.train(docs, table(spark, folder, "labels"))
+    predicted = (F.col("score") >= least).cast("int").alias("predicted")
+    return kind.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted)
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return _classified(quality, spark, folder, 0.3)
+
+
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents"))
 
 
+def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_groups(table(spark, folder, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return _classified(toxicity, spark, folder, 0.5)
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
@@ -31,11 +57,43 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+#: Shards of the registered placement.
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(table(spark, folder, "documents").select("doc_id", "source"), SHARDS)
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return digests(kept, "text", "kept_sha256").select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+#: What the registered chat query takes turns as: an answer is a call of this tool with these arguments.
+ANSWER = {"answer": {"role": ("string", True), "words": ("bigint", True), "text": ("string", True), "lead": ("string", False)}}
+
+
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """User and system turns are calls, which need the call two turns before; the next turn is the result."""
+    turns = table(spark, folder, "conversations")
+    name = F.format_string("%d:%d", "conv_id", "turn")
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    asked = turns.where("role <> 'assistant'").select(
+        "conv_id",
+        name.alias("call_id"),
+        F.col("turn").alias("position"),
+        F.lit("answer").alias("tool"),
+        F.to_json(F.struct(F.col("text"), F.col("role"), words.alias("words"))).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(F.format_string("%d:%d", "conv_id", F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    )
+    answers = turns.where("role = 'assistant'").select(
+        "conv_id", F.format_string("%d:%d", "conv_id", F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content")
+    )
+    formatted = tool_chat.format_calls(asked, answers, ANSWER)
+    return formatted.withColumn("problems", F.concat_ws(",", "problems"))
+
+
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     coded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -49,10 +107,11 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op2_ngram_join": op2_ngram_join,
-    "op6_token_counts": op6_token_counts,
-    "op8_line_dedup": op8_line_dedup,
-    "op10_byte_bpe": op10_byte_bpe,
+    query.__name__: query
+    for query in (
+        op1_quality, op2_ngram_join, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_token_counts,
+        op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe,
+    )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,6 +135,12 @@ WITH RECURSIVE words AS (
 )
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY d.doc_id""",
+    "op3_exact_dedup": """
+WITH plain AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM plain WINDOW w AS (PARTITION BY text_sha256)""",
     "op8_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

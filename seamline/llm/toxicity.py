@@ -19,10 +19,13 @@ from pyspark.sql import types as T
 from seamline.llm.texts import Words, blocks, labelled_sample, pieces
 from seamline.session import cut_lineage
 
+#: A clue counts as frequent from two on, if it is at least one word in so many.
+FREQUENT = 150
 #: Labelled documents that are fitted on at most, voters at most, and characters' bytes of the beginnings.
 SAMPLE_ROWS, VOTERS, BEGINNINGS = 16_384, 768, (3, 4, 5, 6, 7, 8)
-#: A voter must be seen in so many toxic documents, and so many times as often there as in others.
-LEAST_SEEN, LEAST_RATIO = 3, 6.0
+#: A voter must speak so many times as often in toxic documents as in others, and carry so much evidence (its
+#: toxic documents times the logarithm of that ratio): among millions of clues, weaker ones come up by chance.
+LEAST_RATIO, LEAST_EVIDENCE = 6.0, 30.0
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -30,7 +33,8 @@ _OUTSIDE[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 def clues(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(number of the text, clue), distinct and sorted: the words of the texts and their beginnings, hashed.
 
-    Words are runs of letters, lower-cased. With ``wanted`` (sorted hashes) only clues found there are given.
+    Words are runs of letters, lower-cased. A clue that is frequent in a text gives a second clue. With
+    ``wanted`` (sorted hashes) only clues found there are given, by their place in it.
     """
     parts = [text.lower().encode("utf-8", "surrogatepass") for text in texts]
     ends = np.cumsum([len(part) + 1 for part in parts])
@@ -39,9 +43,11 @@ def clues(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarra
         bits = np.zeros(1 << 18, bool)
         bits[(wanted & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
     at, owners, found = 0, [], []
+    total = np.zeros(len(texts), np.int64)
     for part in blocks(data, _OUTSIDE):
         words = Words(part, ~_OUTSIDE[part])
         owner = np.searchsorted(ends, words.starts + at, "right")
+        total += np.bincount(owner, minlength=len(texts))
         sizes = words.ends - words.starts
         for size in (None, *BEGINNINGS):
             which = slice(None) if size is None else np.flatnonzero(sizes > size)
@@ -55,14 +61,19 @@ def clues(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarra
             found.append(hashes)
         at += len(part)
     owner, hashes = np.concatenate(owners), np.concatenate(found)
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (hashes[1:] != hashes[:-1])]) if len(owner) else order
+    times = np.diff(np.r_[first, len(owner)])
+    owner, hashes = owner[first], hashes[first]
+    often = (times >= 2) & (times * FREQUENT >= total[owner])
+    owner, hashes = np.concatenate((owner, owner[often])), np.concatenate((hashes, hashes[often] ^ np.uint64(1 << 62)))
     if wanted is not None:
-        place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+        place = np.minimum(np.searchsorted(wanted, hashes), max(len(wanted) - 1, 0))
         keep = wanted[place] == hashes if len(wanted) else np.zeros(len(hashes), bool)
         owner, hashes = owner[keep], place[keep].astype(np.uint64)
     order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    new = np.r_[True, (np.diff(owner) != 0) | (hashes[1:] != hashes[:-1])] if len(owner) else np.zeros(0, bool)
-    return owner[new], hashes[new]
+    return owner[order], hashes[order]
 
 
 def _clue_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +104,13 @@ def _votes(voters: np.ndarray):
 class LabelModel:
     """Two hidden classes; each voter speaks at one rate in each, and its weight shrinks with its correlations.
 
-    A silent voter abstains. Only the silence of all voters counts, at one rate in each class.
+    A silent voter abstains. Only the silence of all voters counts, at one rate in each class. The labels the
+    sample has are one more voter, with a fixed accuracy, as labels err too.
     """
 
+    #: Log odds of a given label.
+    GIVEN = float(np.log(0.98 / 0.02))
+
     def __init__(self, votes: np.ndarray, first: np.ndarray, rounds: int = 12):
         posterior = np.clip(first.astype(float), 0.02, 0.98)
         self.heard = votes.any(axis=1)
@@ -106,22 +121,22 @@ class LabelModel:
             self.silence = ((~self.heard) @ posterior + 0.5) / (posterior.sum() + 1), ((~self.heard) @ (1 - posterior) + 0.5) / ((1 - posterior).sum() + 1)
             if k % 6 == 0:
                 self.share = self._shares(votes[self.heard], posterior[self.heard])
-            posterior = self.posterior(votes)
+            posterior = self.posterior(votes, first)
 
     def _shares(self, votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        """Of each vote, the part that correlated voters do not repeat: correlations are those within a class."""
+        """Of each vote, the part that other voters do not repeat: strong correlations within the toxic class."""
         weight = np.sqrt(posterior.astype(np.float32))[:, None]
         left = weight * (votes - (weight**2 * votes).sum(axis=0) / max(float((weight**2).sum()), 1.0))
         left /= np.maximum(np.sqrt((left**2).sum(axis=0)), 1e-6)
         alike = left.T @ left
-        return 1 / np.maximum(1, np.where(alike > 0.2, alike, 0).sum(axis=0))
+        return 1 / np.maximum(1, np.where(alike > 0.5, alike, 0).sum(axis=0))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
         odds = np.log(self.prior / (1 - self.prior)) + np.where(votes.any(axis=1), votes @ (self.share * np.log(self.rate / self.usual)), np.log(self.silence[0] / self.silence[1]))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(odds + self.GIVEN * (2 * given - 1), -30, 30)))
 
 
-def linear_classifier(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
+def linear_classifier(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by accelerated gradient steps."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     ridge = np.r_[np.full(x.shape[1] - 1, penalty), 0.0] / len(x)
@@ -168,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     counts = sample.mapInArrow(_clue_counts, "clue long, toxic long, other long").groupBy("clue").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     ratio = (F.col("toxic") / toxic) / ((F.col("other") + 0.5) / other)
     # the strongest voters, by the information their vote carries; a fixed number comes to the driver
-    best = counts.where((F.col("toxic") >= LEAST_SEEN) & (ratio >= LEAST_RATIO)).orderBy((F.col("toxic") * F.log(ratio)).desc(), "clue").limit(VOTERS)
+    evidence = F.col("toxic") * F.log(ratio)
+    best = counts.where((ratio >= LEAST_RATIO) & (evidence >= LEAST_EVIDENCE)).orderBy(evidence.desc(), "clue").limit(VOTERS)
     voters = np.sort(np.array([r["clue"] for r in best.collect()], np.int64).view(np.uint64))
     if not len(voters):
         return Model(plain, np.zeros(0), float(np.log(toxic / other)))
@@ -177,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     for row, r in zip(votes, found, strict=True):
         row[r["votes"]] = 1
     first = np.array([r["label"] for r in found])
-    posterior = LabelModel(votes, first).posterior(votes)
+    posterior = LabelModel(votes, first).posterior(votes, first)
     return Model(voters, *linear_classifier(votes, posterior))
 
 
