@@ -49,7 +49,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.xxhash64("plain").alias("check"),
         F.octet_length("plain").alias("length"),
     ).withColumns(
-        {"digest": F.unhex("text_sha256"), "run": F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(runs)).cast("int")}
+        {"digest": F.unhex("text_sha256"), "run": F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")}
     ).drop("text_sha256")
     merged = rows.groupBy(*KEY, "run").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     levels = [merged]
