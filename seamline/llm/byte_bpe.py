@@ -26,6 +26,8 @@ from seamline.llm.texts import encoded, pieces, ragged
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct pre-tokens a task remembers, and cells of the trees merged at once.
 REMEMBERED, CELLS = 200_000, 1 << 19
+#: Fewer sequences than this are merged one after the other: array steps would cost more than the work in them.
+FEW = 24
 _NEVER = np.int64(1) << np.int64(60)
 
 
@@ -72,7 +74,8 @@ class Ranks:
             rows = max(1, CELLS >> power)
             for start in range(0, len(of), rows):
                 part = of[start : start + rows]
-                flat, count = self._merged([words[k] for k in part.tolist()], 1 << power)
+                some = [words[k] for k in part.tolist()]
+                flat, count = self._merged(some, 1 << power) if len(some) >= FEW else self._one_by_one(some, 1 << power)
                 members.append(part)
                 flats.append(flat)
                 counts.append(count)
@@ -122,6 +125,50 @@ class Ranks:
         left = symbols[:, :width] >= 0
         return symbols[:, :width][left], left.sum(axis=1)
 
+    def _one_by_one(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same merges on a tree of plain numbers for each sequence."""
+        out, pairs, never = [], {}, int(_NEVER)
+
+        def joined(left: int, right: int) -> int:
+            if (left, right) not in pairs:
+                pairs[left, right] = self.ranks.get(self.strings[left] + self.strings[right], never)
+            return pairs[left, right]
+
+        for word in words:
+            size = len(word)
+            symbols = self._bytes[np.frombuffer(word, np.uint8)].tolist()
+            after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+            tree = [never] * (2 * width)
+
+            def put(place: int, rank: int, tree=tree) -> None:
+                node = width + place
+                tree[node] = rank * width + place if rank < never else never
+                while node > 1:
+                    node >>= 1
+                    best = min(tree[2 * node], tree[2 * node + 1])
+                    if tree[node] == best:
+                        break
+                    tree[node] = best
+
+            for place in range(size - 1):
+                rank = joined(symbols[place], symbols[place + 1])
+                tree[width + place] = rank * width + place if rank < never else never
+            for node in range(width - 1, 0, -1):
+                tree[node] = min(tree[2 * node], tree[2 * node + 1])
+            while tree[1] < never:
+                rank, first = divmod(tree[1], width)
+                second = after[first]
+                ahead = after[second]
+                symbols[first], symbols[second], after[first] = rank, None, ahead
+                put(second, never)
+                if ahead < size:
+                    before[ahead] = first
+                put(first, joined(rank, symbols[ahead]) if ahead < size else never)
+                if before[first] >= 0:
+                    put(before[first], joined(symbols[before[first]], rank))
+            out.append([s for s in symbols if s is not None])
+        return np.array([s for found in out for s in found], np.int64), np.array([len(found) for found in out], np.int64)
+
     @staticmethod
     def _update(tree: np.ndarray, width: int, rows: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
         node = width + place

@@ -4,7 +4,9 @@ Method: adaptive multi-match prefixes. All shingles have one global order, rare
 sizes p and q are similar enough, they share at least ``o = ceil(t * max(p, q))`` shingles, so for any
 ``l <= o`` their first ``p - o + l`` and ``q - o + l`` shingles share at least ``l``. Each document chooses its
 own ``l`` by estimated cost: a longer prefix costs more postings but asks candidates for more shared shingles.
-Two documents are compared when they share at least the smaller of their two ``l``.
+Two documents are compared when they share at least the smaller of their two ``l``, and enough that what lies
+behind the prefixes could still bring them to the limit: the set whose prefix ends first in the global order
+has shown all it shares up to there.
 
 Identical sets are one node. Within a posting list not all pairs are made: first every member is compared
 with the list's smallest member only; a list whose members are then one component is done, since more links
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.llm.graph import components
@@ -163,9 +165,12 @@ def _verified(percent: int):
     return run
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def _similar(pairs: DataFrame, texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough; only the texts of these nodes are shuffled."""
+    needed = members.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
+    held = cut_lineage(maybe_in(texts, needed, "doc_id").join(needed, "doc_id").select("node", "text"))
+    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.select("a", "b").join(right, "b").join(left, "a").sortWithinPartitions("a").mapInArrow(_verified(percent), "a long, b long").distinct()
 
 
@@ -199,8 +204,6 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .where("lead <> last").drop("last").distinct()
     )
     members = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    partners = shared.select("node").distinct().join(members, "node")
-    held = cut_lineage(maybe_in(texts, partners, "doc_id").join(partners, "doc_id").select("node", "text"))
     # one comparison per set: with the smallest member that it shares most prefix shingles with
     facts = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("need").alias("need"))
     lead = facts.select(F.col("node").alias("lead"), F.col("n").alias("n_lead"), F.col("need").alias("need_lead"))
@@ -211,7 +214,7 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .groupBy("node").agg(F.max(F.struct("times", "lead")).alias("best"))
         .select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
     )
-    links = cut_lineage(_similar(stars, held, percent))
+    links = cut_lineage(_similar(cut_lineage(stars), texts, members, percent))
     first = components(links)
     # what is left: pairs from different components that share enough
     placed = shared.drop("lead").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -223,14 +226,22 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     open_ = cut_lineage(placed.join(main, "token"))
     minor = open_.where("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("need").alias("need_a"), F.col("component").alias("c_a"))
     every = open_.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("component").alias("c_b"), (F.col("component") != F.col("main")).alias("minor_b"))
+
+    def unseen(n: str, need: str) -> Column:
+        # behind the prefix; of two sets, the one whose prefix ends first has shared no more than this unnoticed
+        return F.ceil(F.col(n) * percent / 100) - F.col(need)
+
     pairs = (
         minor.join(every, "token")
         .where(f"c_a <> c_b and (not minor_b or a < b) and 100 * n_b >= {percent} * n_a and 100 * n_a >= {percent} * n_b")
         .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .agg(F.count("*").alias("times"), F.min(F.least("need_a", "need_b")).alias("need"))
-        .where("times >= need")
+        .agg(
+            F.count("*").alias("times"), F.min(F.least("need_a", "need_b")).alias("need"), F.first(F.col("n_a") + F.col("n_b")).alias("n"),
+            F.first(F.greatest(unseen("n_a", "need_a"), unseen("n_b", "need_b"))).alias("unseen"),
+        )
+        .where(f"times >= need and (times + unseen) * {100 + percent} >= {percent} * n")
     )
-    more = _similar(pairs, held, percent)
+    more = _similar(cut_lineage(pairs), texts, members, percent)
     joined = components(links.unionByName(more))
     placed = named.where("n > 0").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

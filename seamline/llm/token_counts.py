@@ -7,6 +7,7 @@ The surviving symbols are counted; those outside the vocabulary count their byte
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -23,6 +24,8 @@ from seamline.llm.texts import encoded, pieces
 
 #: What the model writes for a space, and distinct pre-tokens a task remembers.
 MARK, REMEMBERED = "\N{LOWER ONE EIGHTH BLOCK}", 400_000
+#: Sequences of more symbols are merged one pair at a time, from a heap: a round over them costs their length.
+LONG = 1_000
 _NEVER = np.int64(1) << np.int64(60)
 
 
@@ -77,6 +80,36 @@ class PieceModel:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
+        return self._merged([w if len(w) <= LONG else "" for w in words]) + np.array([self._long(w) if len(w) > LONG else 0 for w in words], np.int64)
+
+    def _long(self, word: str) -> int:
+        symbols = [self.symbols.get(c, -len(encoded(c))) for c in word]
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        ranks, pieces_ = self._pair(np.array(symbols[:-1]), np.array(symbols[1:]))
+        heap = [(rank, at, symbols[at], symbols[at + 1], piece) for at, (rank, piece) in enumerate(zip(ranks.tolist(), pieces_.tolist(), strict=True)) if rank < _NEVER]
+        heapq.heapify(heap)
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        while heap:
+            _, at, left, right, piece = heapq.heappop(heap)
+            other = after[at]
+            if symbols[at] != left or other >= len(word) or symbols[other] != right:
+                continue
+            symbols[at], symbols[other] = piece, None
+            after[at] = after[other]
+            if after[at] < len(word):
+                before[after[at]] = at
+            for place in (before[at], at):
+                if place < 0 or after[place] >= len(word):
+                    continue
+                pair = symbols[place], symbols[after[place]]
+                if pair not in pairs:
+                    rank, joined = self._pair(np.array(pair[:1]), np.array(pair[1:]))
+                    pairs[pair] = int(rank[0]), int(joined[0])
+                if pairs[pair][0] < _NEVER:
+                    heapq.heappush(heap, (pairs[pair][0], place, *pair, pairs[pair][1]))
+        return sum(1 if s >= 0 else -s for s in symbols if s is not None)
+
+    def _merged(self, words: list[str]) -> np.ndarray:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         chars = "".join(words)
         points = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)
