@@ -213,41 +213,61 @@ def edge_distance(gaps: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarra
     return np.sqrt(squares.min(axis=1))
 
 
-def crop_to_alpha(rgba: np.ndarray, margin: float = 0.04) -> np.ndarray:
-    if rgba.shape[2] < 4:
-        return rgba
-    ys, xs = np.nonzero(rgba[:, :, 3] > 10)
-    if not len(ys):
-        raise ValueError("no visible object in the alpha channel")
-    top, bottom, left, right = ys.min(), ys.max() + 1, xs.min(), xs.max() + 1
-    extra = round(max(bottom - top, right - left) * margin)
-    return rgba[max(0, top - extra) : bottom + extra, max(0, left - extra) : right + extra]
-
-
-def composite(rgba: np.ndarray, background: int = CANVAS_GRAY) -> np.ndarray:
-    """Over a gray canvas; fractions are cut off."""
-    if rgba.shape[2] < 4:
-        return rgba
-    alpha = rgba[:, :, 3:].astype(np.float32) / np.float32(255)
-    mixed = rgba[:, :, :3] * alpha + np.float32(background) * (1 - alpha)
-    return np.clip(mixed, 0, 255).astype(np.uint8)
-
-
-def letterbox(rgb: np.ndarray, size: int, background: int = CANVAS_GRAY) -> np.ndarray:
-    height, width = rgb.shape[:2]
-    scale = min(size / width, size / height)
-    new_h, new_w = max(1, round(height * scale)), max(1, round(width * scale))
-    scaled = resize(rgb.astype(np.float64), new_h, new_w, "area" if scale < 1 else "cubic")
-    canvas = np.full((size, size, 3), background, np.uint8)
-    y, x = (size - new_h) // 2, (size - new_w) // 2
-    canvas[y : y + new_h, x : x + new_w] = np.clip(np.rint(scaled), 0, 255)
-    return canvas
-
-
-def square(rgb: np.ndarray, background: int = IDENTITY_GRAY) -> np.ndarray:
-    height, width = rgb.shape[:2]
-    side = max(height, width)
-    canvas = np.full((side, side, 3), background, np.uint8)
-    y, x = (side - height) // 2, (side - width) // 2
-    canvas[y : y + height, x : x + width] = rgb[:, :, :3]
-    return canvas
+VISIBLE = 10
+
+
+def extents(pixels: np.ndarray, margin: float = 0.0) -> list[tuple[int, int]]:
+    """Rows and columns (start, stop) that hold anything visible, widened by a share of the longer one.
+
+    Pictures without alpha are visible everywhere.
+    """
+    if pixels.shape[2] < 4:
+        return [(0, n) for n in pixels.shape[:2]]
+    shown = pixels[:, :, 3] > VISIBLE
+    hits = [np.flatnonzero(shown.any(axis=1 - axis)) for axis in (0, 1)]
+    if not len(hits[0]):
+        raise ValueError("nothing in the picture is visible")
+    more = round(max(int(h[-1] - h[0]) + 1 for h in hits) * margin)
+    return [(max(0, int(h[0]) - more), min(n, int(h[-1]) + 1 + more)) for h, n in zip(hits, pixels.shape, strict=False)]
+
+
+def axis_weights(size: int, part: tuple[int, int], target: int, canvas: int, kind: str) -> np.ndarray:
+    """Weights [canvas, size] that cut ``part`` out of an axis, scale it to ``target`` and lay it in the middle.
+
+    Canvas places that nothing is laid on have no weight.
+    """
+    weights = np.zeros((canvas, size))
+    at = (canvas - target) // 2
+    weights[at : at + target, part[0] : part[1]] = resize_weights(part[1] - part[0], target, kind)
+    return weights
+
+
+def lay(pixels: np.ndarray, rows: np.ndarray, columns: np.ndarray, background: int) -> np.ndarray:
+    """The picture on a gray canvas, through one weight matrix for each axis.
+
+    All is reckoned from the background: transparency and canvas places without weight leave it as it is.
+    Colours mixed by transparency lose their fractions before they are scaled.
+    """
+    ink = pixels[:, :, :3].astype(np.float32)
+    if pixels.shape[2] == 4:
+        cover = pixels[:, :, 3:].astype(np.float32) / np.float32(255)
+        ink = np.floor(ink * cover + np.float32(background) * (1 - cover))
+    raised = ink.astype(np.float64) - background
+    return np.einsum("yh,hwc,xw->yxc", rows, raised, columns, optimize=True) + background
+
+
+def boxed(pixels: np.ndarray, size: int, background: int = CANVAS_GRAY, margin: float = 0.04) -> np.ndarray:
+    """What is visible, as large as fits into a square canvas: averaged when it shrinks, cubic when it grows."""
+    parts = extents(pixels, margin)
+    scale = size / max(stop - start for start, stop in parts)
+    targets = [max(1, round((stop - start) * scale)) for start, stop in parts]
+    kind = "area" if scale < 1 else "cubic"
+    axes = [axis_weights(n, part, target, size, kind) for n, part, target in zip(pixels.shape, parts, targets, strict=False)]
+    return np.clip(np.rint(lay(pixels, *axes, background)), 0, 255).astype(np.uint8)
+
+
+def squared(pixels: np.ndarray, side: int, background: int = IDENTITY_GRAY) -> np.ndarray:
+    """The colours in the middle of a square, smoothly scaled to ``side``."""
+    whole = resize_weights(max(pixels.shape[:2]), side, "smooth")
+    axes = [whole[:, (whole.shape[1] - n) // 2 :][:, :n] for n in pixels.shape[:2]]
+    return lay(pixels[:, :, :3], *axes, background)

@@ -62,6 +62,10 @@ def has_anomaly(score: Column, threshold: float = IMAGE_THRESHOLD) -> Column:
 
 
 def normalised_score(score: Column, low: Column, high: Column, threshold: Column) -> Column:
-    """Scale to [0, 1] with ``threshold`` at one half, from bounds fitted on a validation set."""
-    scaled = (score - threshold) / (high - low) + 0.5
+    """Scale to [0, 1] with ``threshold`` at one half, from bounds fitted on a validation set.
+
+    Equal bounds tell only which side of the threshold a score is on: 0, one half or 1.
+    """
+    side = F.signum(score - threshold) / 2
+    scaled = F.when(high == low, side).otherwise(F.try_divide(score - threshold, high - low)) + 0.5
     return F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))

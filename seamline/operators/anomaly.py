@@ -111,16 +111,20 @@ def patch_maps(patches: DataFrame, distances: DataFrame, height: int, width: int
     """Patch distances laid out as one ``height`` x ``width`` map per image.
 
     ``patches``: image_id, patch_no, patch_id. The grid bounds the array of an image, whatever the
-    number of rows that share an image id; a cell given twice keeps the larger distance.
+    number of rows that share an image id; a cell given twice keeps the larger distance, and a cell that is
+    not given is null. A patch outside the grid is an error.
     """
     cells = height * width
-    placed = patches.filter(F.col("patch_no").between(0, cells - 1)).join(distances, "patch_id")
+    wrong = F.concat(F.lit(f"patch outside the grid of {height} x {width}: "), F.col("patch_id").cast("string"))
+    number = F.when(F.col("patch_no").between(0, cells - 1), F.col("patch_no")).otherwise(F.raise_error(wrong).cast(dict(patches.dtypes)["patch_no"]))
+    placed = patches.withColumn("patch_no", number).join(distances, "patch_id")
     per_cell = placed.groupBy("image_id", "patch_no").agg(F.max("distance").alias("distance"))
     cell = F.struct("patch_no", "distance")
     listed = per_cell.groupBy("image_id").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    key = dict(patches.dtypes)["patch_no"]
     filled = F.transform(
         F.sequence(F.lit(0), F.lit(cells - 1)),
-        lambda i: F.coalesce(F.col("cells")[i.cast("int")], F.lit(0.0)).cast("float"),
+        lambda i: F.try_element_at("cells", i.cast(key)).cast("float"),
     )
     return listed.select(
         "image_id", F.lit(height).alias("height"), F.lit(width).alias("width"), filled.alias("map")

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seamline.operators.ordered import RUN, ordered_runs, with_history
+from seamline.operators.ordered import RUN, join_on, ordered_runs, with_history
 from seamline.session import cut_lineage, spread
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -34,7 +34,7 @@ def motion_candidates(
 ) -> DataFrame:
     """Frames that differ from the frame before them at their station, with ``position`` from 1.
 
-    ``frames`` holds readable frames only, so an unreadable one leaves the comparison as it was.
+    A null station is a station of its own. ``frames`` holds readable frames only, so an unreadable one leaves the comparison as it was.
     """
     keys, order = [station], [ts_us, unique]
     ordered = ordered_runs(frames.withColumn("_one", F.lit(1)), keys, order, runs)
@@ -45,7 +45,7 @@ def motion_candidates(
 
 
 def _following(ts: np.ndarray, position: np.ndarray, at_ts, at_position, cooldown: int):
-    """First row a capture may follow at, after one at the given time and position."""
+    """First row a capture may follow at, after one at the given time and position: a later row."""
     return np.maximum(
         np.searchsorted(ts, np.asarray(at_ts) + cooldown), np.searchsorted(position, np.asarray(at_position) + 2)
     )
@@ -117,7 +117,7 @@ def auto_captures(
         taken = []
         while row < len(rows):
             taken.append(row)
-            row = int(_following(ts, position, ts[row], position[row], cooldown_us))
+            row = max(row + 1, int(_following(ts, position, ts[row], position[row], cooldown_us)))
         return rows.iloc[taken][[station, ts_us, unique]]
 
     key = f"{station} {dtype[station]}"
@@ -125,7 +125,7 @@ def auto_captures(
     pieces = spread(moving, station, RUN)
     # a station within one run needs no linking
     several = moving.groupBy(station).agg(F.count_distinct(RUN).alias("_runs")).filter("_runs > 1")
-    split = spread(moving.join(several.select(station), station, "left_semi"), station, RUN)
+    split = spread(join_on(moving, several.select(station), [station]), station, RUN)
     borders = split.groupBy(station, RUN).applyInPandas(entries, entry_schema)
     linked = borders.groupBy(station).applyInPandas(link, f"{key}, {RUN} int, at_ts long, at_position long")
     started = spread(linked, station, RUN).groupBy(station, RUN)

@@ -21,13 +21,19 @@ TOP_K = 3
 MIN_IMAGES = 10
 
 
+def _mean_of_best(score: str = "score") -> Column:
+    """Mean of the few best scores, added up from the smallest: the same value whatever order they arrive in."""
+    few = F.array_sort(F.collect_list(score))
+    return F.aggregate(few, F.lit(0.0), lambda total, x: total + x) / F.size(few)
+
+
 def similarity(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, **blocking) -> DataFrame:
     """Mean of the ``k`` best similarities of each query to each model.
 
     ``queries``: query_id, embedding; ``gallery``: item_id, model_name, embedding.
     """
     best = nearest(queries, gallery, k, group="model_name", **blocking)
-    return best.groupBy("query_id", "model_name").agg(F.avg("score").alias("similarity"))
+    return best.groupBy("query_id", "model_name").agg(_mean_of_best().alias("similarity"))
 
 
 def internal_scores(gallery: DataFrame, k: int = TOP_K, **blocking) -> DataFrame:
@@ -36,7 +42,7 @@ def internal_scores(gallery: DataFrame, k: int = TOP_K, **blocking) -> DataFrame
     best = nearest(
         queries, gallery, k, group="model_name", same_group=True, skip_self=True, **blocking
     )
-    scored = best.groupBy("model_name", "query_id").agg(F.avg("score").alias("score"))
+    scored = best.groupBy("model_name", "query_id").agg(_mean_of_best().alias("score"))
     return scored.withColumnRenamed("query_id", "item_id")
 
 
@@ -74,10 +80,13 @@ def build_profiles(images: DataFrame, make_predict_fn, side: int = 224, **option
 
 
 def compare(similarities: DataFrame, profile: DataFrame) -> DataFrame:
-    """Each (query, model) pair with the model's threshold and whether it is reached."""
+    """Each (query, model) pair with the model's threshold and whether it is reached.
+
+    A model without a profile has no threshold, and nothing reaches it.
+    """
     known = profile.select("model_name", "threshold")
-    joined = similarities.join(known, "model_name")
-    return joined.withColumn("identified", F.col("similarity") >= F.col("threshold"))
+    joined = similarities.join(known, "model_name", "left")
+    return joined.withColumn("identified", F.coalesce(F.col("similarity") >= F.col("threshold"), F.lit(False)))
 
 
 def identify(
@@ -85,12 +94,16 @@ def identify(
 ) -> DataFrame:
     """The best model that reaches its threshold, per query; otherwise unidentified.
 
-    Decided on unrounded values. An unidentified query reports its most similar model's figures.
+    Decided on unrounded values. An unidentified query reports the figures of its most similar model among
+    those with a profile, and no figures if there is none: every query has a row.
     """
-    pairs = compare(similarity(queries, gallery, k, **blocking), profile)
+    pairs = compare(similarity(queries, gallery, k, **blocking), profile).where("threshold is not null")
     rank = F.struct("identified", "similarity", "model_name")
     pair = F.struct("model_name", "similarity", "threshold", "identified")
-    best = pairs.groupBy("query_id").agg(F.max_by(pair, rank).alias("best")).select("query_id", "best.*")
+    found = pairs.groupBy("query_id").agg(F.max_by(pair, rank).alias("best"))
+    asked = queries.select("query_id").distinct()
+    best = asked.join(found, "query_id", "left").select("query_id", "best.*")
+    best = best.withColumn("identified", F.coalesce("identified", F.lit(False)))
 
     def when_known(value: Column) -> Column:
         return F.when(F.col("identified"), value)

@@ -36,8 +36,8 @@ def _per_image(df: DataFrame, keys: list[str], work, fields: str, extra: list[st
             if row.height <= 0 or row.data is None:
                 raise ValueError("image could not be read")
             return {"error": None, **work(raster.decode(row.data, row.height, row.width, row.nChannels), row)}
-        except ValueError as problem:
-            return {"error": str(problem), **dict.fromkeys(names)}
+        except Exception as problem:  # whatever is wrong with one picture is that picture's result
+            return {"error": str(problem) or type(problem).__name__, **dict.fromkeys(names)}
 
     def scan(batches):
         for batch in batches:
@@ -67,8 +67,7 @@ def prepare_images(
     def work(pixels, row):
         if turned:
             pixels = raster.upright(pixels, int(row.orientation))
-        flat = raster.composite(raster.crop_to_alpha(pixels), background)
-        boxed = raster.letterbox(flat, size, background)
+        boxed = raster.boxed(pixels, size, background)
         return {
             "height": size,
             "width": size,
@@ -207,7 +206,7 @@ def model_inputs(images: DataFrame, keys: list[str], side: int = 224) -> DataFra
     """Square, scaled, normalised channel-first tensors for an embedding model."""
 
     def work(pixels, row):
-        scaled = raster.resize(raster.square(pixels).astype(np.float64), side, side, "smooth")
+        scaled = raster.squared(pixels, side)
         tensor = (np.rint(scaled) / 255 - CHANNEL_MEAN) / CHANNEL_STD
         return {"tensor": np.moveaxis(tensor, 2, 0).astype(np.float32).ravel()}
 

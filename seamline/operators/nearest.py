@@ -28,6 +28,14 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
 
 
+def _checked(vectors: DataFrame, name: str, width: int) -> DataFrame:
+    """The rows, whose vectors must all have ``width`` finite numbers; the first other one ends the job."""
+    known = F.coalesce((F.size("embedding") == width) & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
+    wrong = F.concat(F.lit(f"not a vector of {width} finite numbers: {name} "), F.coalesce(F.col(name).cast("string"), F.lit("null")))
+    kind = dict(vectors.dtypes)["embedding"]
+    return vectors.withColumn("embedding", F.when(known, F.col("embedding")).otherwise(F.raise_error(wrong).cast(kind)))
+
+
 class _Items:
     """Item matrix sorted by group and id, with the row range of each group."""
 
@@ -77,6 +85,8 @@ def _neighbours(queries: pa.Table, items: _Items, k: int, metric: str, same_grou
             kept = np.isfinite(values)
             if metric == EUCLIDEAN:  # without the cancellation of the expanded square
                 values = np.linalg.norm(q[:, None, :] - block[picked], axis=2)
+            else:  # a product of whole blocks depends on their shape in the last digit
+                values = np.einsum("qd,qkd->qk", q, block[picked])
             out["query_id"].append(np.repeat(ids[part], picked.shape[1])[kept.ravel()])
             out["item_id"].append(item_ids[picked][kept])
             out["score"].append(values[kept])
@@ -111,7 +121,7 @@ def nearest(
 
     ``queries``: query_id, embedding (and the group column with ``same_group``); ``items``: item_id,
     embedding and the group column. Cosine scores are dot products (unit vectors are expected, larger
-    is better); Euclidean scores are distances (smaller is better). ``skip_self`` leaves out the item
+    is better); Euclidean scores are distances (smaller is better). Null, ragged or non-finite vectors are refused. ``skip_self`` leaves out the item
     with the id of the query. Among equal scores the smaller item id wins. Blocks hold 64 MB of numbers
     unless ``block_rows`` is given.
     """
@@ -122,6 +132,8 @@ def nearest(
     )
     size = item_rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     args, width = (k, metric, same_group, skip_self), size["d"] or 1
+    if size["n"]:
+        item_rows, query_rows = _checked(item_rows, "item_id", width), _checked(query_rows, "query_id", width)
     block_rows = block_rows or max(1, BLOCK_BYTES // (8 * width))
     if size["n"] * width * 4 <= broadcast_bytes:
         found = _against_broadcast(query_rows, item_rows, args)

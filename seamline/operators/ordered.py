@@ -3,7 +3,7 @@
 A window partitioned by a key sorts all rows of that key in one task. Here the rows are instead
 range-partitioned on the full order, so that a hot key spreads over many *runs*; work inside a run
 is an ordinary window, and what crosses a run border is carried by a summary of one row per
-(key, run). The runs are checkpointed, which pins the run borders and cuts the lineage.
+(key, run). A null key is a key like any other. The runs are checkpointed, which pins the run borders and cuts the lineage.
 """
 
 from __future__ import annotations
@@ -27,6 +27,13 @@ def ordered_runs(
     return cut_lineage(ranged.withColumn(RUN, F.spark_partition_id()))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys come from the left side."""
+    own = right.withColumnsRenamed({k: "_r_" + k for k in keys})
+    same = [left[k].eqNullSafe(own["_r_" + k]) for k in keys]
+    return left.join(own, same, how).drop(*["_r_" + k for k in keys])
+
+
 def _in_run(keys, order) -> Window:
     return Window.partitionBy(*keys, RUN).orderBy(*order)
 
@@ -63,7 +70,7 @@ def with_history(
         offsets.append(F.lag("_tail").over(_across_runs(keys)).alias("_carried"))
         columns.append(F.coalesce("_before", "_carried").alias(name))
     carried = runs.groupBy(*keys, RUN).agg(*summary).select(*keys, RUN, *offsets)
-    joined = runs.select("*", *local).join(carried, [*keys, RUN], "left")
+    joined = join_on(runs.select("*", *local), carried, [*keys, RUN], "left")
     return joined.select(*runs.columns, *columns)
 
 
@@ -87,7 +94,7 @@ def session_numbers(runs: DataFrame, keys, order, gap, name: str = "session") ->
     through = across.rowsBetween(Window.unboundedPreceding, 0)
     earlier = F.sum(F.col("_opens") + F.col("_inside")).over(through) - F.col("_inside")
     offsets = opened.select(*keys, RUN, earlier.alias("_earlier"))
-    joined = local.join(offsets, [*keys, RUN])
+    joined = join_on(local, offsets, [*keys, RUN])
     return joined.select(*runs.columns, (F.col("_earlier") + F.col("_inner")).alias(name))
 
 
@@ -133,7 +140,7 @@ def exact_percentile(
         return (F.col(rank) >= start) & (F.col(rank) < start + F.col("_rows"))
 
     needed = ranked.filter(inside("_low") | inside("_high"))
-    rows = sorted_runs.join(needed, [*keys, RUN])
+    rows = join_on(sorted_runs, needed, [*keys, RUN])
     row_no = F.row_number().over(_in_run(keys, [value, unique])) - 1 + F.col("_offset")
     picked = rows.withColumn("_rank", row_no).filter(
         (F.col("_rank") == F.col("_low")) | (F.col("_rank") == F.col("_high"))

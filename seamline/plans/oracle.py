@@ -415,6 +415,8 @@ SQL: dict[str, str] = {
     "holdout_splits": """WITH images AS (SELECT DISTINCT vec_id // 8 AS image_id FROM embeddings),
         placed AS (SELECT image_id, ('0x' || substr(md5('42:' || image_id), 1, 8))::ubigint % 10000 AS b FROM images)
         SELECT image_id, CASE WHEN b < 1000 THEN 'val' WHEN b < 2000 THEN 'test' ELSE 'train' END AS split FROM placed""",
+    "sessions_null_station": f"""{SEQUENCES.replace("user_id AS station_id", "CASE WHEN event_id % 3 <> 0 THEN user_id END AS station_id")}
+        SELECT event_id, station_id, session FROM numbered""",
     "sequence_split": f"""{SEQUENCES} SELECT event_id, station_id, session, sequence, {split('sequence')} AS split
         FROM sequences""",
     "split_leak_check": f"""{SEQUENCES}, torn AS (SELECT sequence, {split('event_id::VARCHAR')} AS split FROM sequences)
@@ -427,11 +429,24 @@ SQL: dict[str, str] = {
     "loo_threshold_open": f"{SIMILARITIES}{OPEN} SELECT model_name, round(threshold, 4)::DOUBLE AS threshold FROM profiles",
     "identify": f"{SIMILARITIES}{CLOSED}{IDENTIFY}",
     "identify_open": f"{SIMILARITIES}{OPEN}{IDENTIFY}",
+    "identify_blocks": f"{SIMILARITIES}{OPEN}{IDENTIFY}",
+    "identify_sparse_models": f"""{SIMILARITIES}{OPEN}, known AS (
+        {IDENTIFY.replace("JOIN profiles USING (model_name)", "JOIN profiles USING (model_name) WHERE model_name < 'modelo_5'")})
+        SELECT * FROM known
+        UNION ALL SELECT vec_id, false, NULL, 'prenda_no_identificada', NULL, NULL FROM items
+          WHERE vec_id NOT IN (SELECT query_id FROM known)
+        UNION ALL SELECT -1 - vec_id, false, NULL, 'prenda_no_identificada', NULL, NULL FROM items""",
+    "unit_vectors": """WITH scaled AS (
+          SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7)) AS v FROM embeddings)
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE 1.0 END AS length,
+          round(CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE (v[1] / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE END, 4) AS head FROM scaled""",
     "identify_pairs_open": f"""{SIMILARITIES}{OPEN} SELECT query_id, model_name, round(similarity, 4) AS similarity,
-        round(threshold, 4) AS threshold, similarity >= threshold AS identified
-        FROM likeness JOIN profiles USING (model_name)""",
+        round(threshold, 4) AS threshold, coalesce(similarity >= threshold, false) AS identified
+        FROM likeness LEFT JOIN profiles USING (model_name)""",
     "patch_knn": f"""{DISTANCES} SELECT patch_id AS query_id, item_id, round(distance, 6) AS distance
         FROM ranked WHERE r <= 9""",
+    "patch_knn_blocks": f"""{DISTANCES} SELECT patch_id AS query_id, item_id, round(distance, 6) AS distance
+        FROM ranked WHERE r <= 9""",
     "image_anomaly_score": f"""{DISTANCES},
 worst AS (
   SELECT * FROM ranked WHERE r = 1
@@ -447,7 +462,7 @@ SELECT a.image_id, a.patch_id, round(any_value(distance), 6) AS distance,
 FROM around a JOIN patches p USING (patch_id) JOIN bank s ON s.item_id = a.support_id GROUP BY 1, 2""",
     "patch_map": f"""{DISTANCES}, cells AS (SELECT image_id, unnest(range(8))::INTEGER AS patch_no
         FROM (SELECT DISTINCT image_id FROM patches))
-        SELECT image_id, patch_no, round(coalesce(distance::FLOAT::DOUBLE, 0), 4) AS distance
+        SELECT image_id, patch_no, round(distance::FLOAT::DOUBLE, 4) AS distance
         FROM cells LEFT JOIN (SELECT * FROM ranked WHERE r = 1) USING (image_id, patch_no)""",
     "score_gate": f"""{SCORES} SELECT image_id, round(pred_score, 6) AS pred_score, pred_score >= 0.5 AS has_anomaly
         FROM scores""",

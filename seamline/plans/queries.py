@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seamline.functions.geometry import normalised_box
 from seamline.functions.hashing import hash_split, holdout_split
 from seamline.functions.scores import normalised_score
+from seamline.functions.vectors import dot, l2_normalise
 from seamline.functions.text import slug
 from seamline.operators import (
     anomaly,
@@ -215,6 +216,12 @@ def sequence_split(spark: SparkSession, folder: str) -> DataFrame:
     return _sequences(spark, folder).select("event_id", "station_id", "session", "sequence", "split")
 
 
+def sessions_null_station(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions where a third of all shots have no station."""
+    shots = X.shots(spark, folder).withColumn("station_id", F.expr("if(event_id % 3 = 0, null, station_id)"))
+    return dataset.sessions(shots, ["station_id"], "ts_us", "event_id", GAP_US).select("event_id", "station_id", "session")
+
+
 def split_leak_check(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences that a split by single shots would tear apart."""
     torn = _sequences(spark, folder).withColumn("split", hash_split(F.col("event_id")))
@@ -263,6 +270,32 @@ def identify_pairs_open(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(compared, 4).select("query_id", "model_name", "similarity", "threshold", "identified")
 
 
+def identify_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows as ``identify_open``, with nothing broadcast."""
+    items, blocks = X.gallery(spark, folder), {"broadcast_bytes": 0, "block_rows": 100}
+    profile = identity.profiles(items, **OPEN, **blocks)
+    return identity.identify(X.gallery_queries(spark, folder), items, profile, skip_self=True, **blocks)
+
+
+def identify_sparse_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Only models with a number below five have enough images; every query still has its row."""
+    items = X.gallery(spark, folder)
+    profile = identity.profiles(items, **OPEN).where("model_name < 'modelo_5'")
+    asked = X.gallery_queries(spark, folder).unionByName(
+        X.gallery_queries(spark, folder).select((-1 - F.col("query_id")).alias("query_id"), "embedding")
+    )
+    found = identity.identify(asked.where("query_id >= 0"), items, profile, skip_self=True)
+    none = identity.identify(asked.where("query_id < 0"), items, profile.limit(0), skip_self=True)
+    return found.unionByName(none)
+
+
+def unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Length and first number of the normalised vectors, scaled by their id first."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7))
+    unit = X.table(spark, folder, "embeddings").select("vec_id", l2_normalise(scaled).alias("unit"))
+    return unit.select("vec_id", F.round(dot(F.col("unit"), F.col("unit")), 5).alias("length"), F.round(F.get("unit", F.lit(0)).cast("double"), 4).alias("head"))
+
+
 # --- anomaly model ----------------------------------------------------------------------------
 
 
@@ -273,6 +306,13 @@ def patch_knn(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(found.withColumnRenamed("score", "distance"))
 
 
+def patch_knn_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows as ``patch_knn``, with nothing broadcast."""
+    queries = X.patches(spark, folder).select(F.col("patch_id").alias("query_id"), "embedding")
+    found = nearest(queries, X.nominal_bank(spark, folder), anomaly.BANK_NEIGHBOURS, EUCLIDEAN, skip_self=True, broadcast_bytes=0, block_rows=100)
+    return _rounded(found.withColumnRenamed("score", "distance"))
+
+
 def image_anomaly_score(spark: SparkSession, folder: str) -> DataFrame:
     found = anomaly.image_scores(X.patches(spark, folder), X.nominal_bank(spark, folder), skip_self=True)
     return _rounded(found)
@@ -425,5 +465,6 @@ QUERIES = {
         region_rank_topk, region_stats, localize_maps, localization_report, prepare_images, garment_mask,
         heuristic_detect, frame_motion, motion_candidates, auto_capture, station_status,
         live_kpis, capture_sessions, detection_pr_curve, detection_map, detection_map_summary,
+        sessions_null_station, identify_blocks, identify_sparse_models, patch_knn_blocks, unit_vectors,
     )
 }

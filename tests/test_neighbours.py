@@ -148,7 +148,18 @@ def test_patch_maps(spark):
     patches = spark.createDataFrame([(1, i, 10 + i) for i in range(4)], "image_id long, patch_no int, patch_id long")
     distances = spark.createDataFrame([(10, 0.5), (12, 0.25), (13, 1.0)], "patch_id long, distance double")
     row = anomaly.patch_maps(patches, distances, 2, 2).first()
-    assert (row.height, row.width, row.map) == (2, 2, [0.5, 0.0, 0.25, 1.0])
+    assert (row.height, row.width, row.map) == (2, 2, [0.5, None, 0.25, 1.0])
+    with pytest.raises(Exception, match="outside the grid"):
+        anomaly.patch_maps(patches, distances, 1, 2).collect()
+
+
+@pytest.mark.parametrize("vectors", [[[1.0, 2.0, 3.0], [9.0]], [[1.0, 2.0], None], [[1.0, float("nan")], [1.0, 2.0]], [[1.0, None], [1.0, 2.0]]])
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_other_vectors_are_refused(spark, vectors, limit):
+    items = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)], "item_id long, embedding array<float>")
+    queries = spark.createDataFrame([(9, [1.0] * max(len(v or []) for v in vectors))], "query_id long, embedding array<float>")
+    with pytest.raises(Exception, match="not a vector of"):
+        nearest(queries, items, 1, broadcast_bytes=limit).collect()
 
 
 def test_vectors(spark):

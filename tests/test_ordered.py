@@ -2,7 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from seamline.operators import dataset
+from seamline.functions.scores import normalised_score
+from seamline.operators import capture, dataset
 from seamline.operators.ordered import exact_percentile, ordered_runs, with_history
 
 
@@ -64,3 +65,24 @@ def test_split_is_stable_under_repartitioning(spark):
     assert abs(shares["train"] - 0.7) < 0.05 and abs(shares["val"] - 0.2) < 0.05
     held = pd.Series([b for _, b in first.values()]).value_counts(normalize=True)
     assert abs(held["train"] - 0.8) < 0.05 and abs(held["val"] - held["test"]) < 0.05
+
+
+@pytest.mark.parametrize("runs", [1, 4])
+def test_null_keys_are_a_key(spark, runs):
+    rows = [(k, t * 5_000_000, 100 * (k or 7) + t, t % 2) for k in (None, 1) for t in range(1, 6)]
+    frames = spark.createDataFrame(rows, "key long, ts long, id long, v long")
+    kept = dataset.sessions(frames, ["key"], "ts", "id", 6_000_000, runs).collect()
+    assert len(kept) == 10 and {r.session for r in kept} == {1}
+    found = {r.key: r.n for r in exact_percentile(frames, ["key"], "v", "id", 0.5, runs=runs).collect()}
+    assert found == {None: 5, 1: 5}
+    for cooldown in (0, 1_000_000):
+        taken = capture.auto_captures(frames, "key", "ts", "id", "v", lambda a, b: a != b, cooldown, runs).collect()
+        assert sorted(r.id for r in taken) == [102, 104, 702, 704]
+
+
+def test_equal_bounds_scale_to_a_side(spark):
+    from pyspark.sql import functions as F
+
+    scored = spark.createDataFrame([(0.2,), (0.5,), (0.9,)], "s double")
+    scaled = scored.select(normalised_score(F.col("s"), F.lit(0.5), F.lit(0.5), F.lit(0.5)).alias("x"))
+    assert [r.x for r in scaled.collect()] == [0.0, 0.5, 1.0]

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from seamline.plans.queries import QUERIES
 from tools.compare import compare, connect
 
 
@@ -11,9 +12,13 @@ def con(data):
     return connect(data)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+#: Pixel arithmetic is too slow in SQL; these are compared with brute force in test_images.py.
+NO_TWIN = {"prepare_images", "heuristic_detect", "frame_motion"}
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, data, name):
-    assert not compare(spark, con, data, name).startswith("FAIL")
+    assert compare(spark, con, data, name).startswith("ROWS" if name in NO_TWIN else "OK")
 
 
 def test_entry(spark):

@@ -135,30 +135,35 @@ def test_gray_and_saturation():
     assert list(raster.saturation(pixel)[0]) == [255, 0, 0, 191]
 
 
-def test_alpha_crop_and_composite():
+def test_extents_of_the_visible_part():
     image = np.zeros((100, 80, 4), np.uint8)
     image[20:70, 30:60] = (10, 20, 30, 255)
-    cropped = raster.crop_to_alpha(image)
-    assert cropped.shape == (54, 34, 4)  # 50 x 30 and 2 pixels of margin on each side
-    flat = raster.composite(cropped)
-    assert tuple(flat[0, 0]) == (205, 205, 205) and tuple(flat[10, 10]) == (10, 20, 30)
+    assert raster.extents(image, 0.04) == [(18, 72), (28, 62)]  # 50 x 30 and 2 pixels of margin on each side
+    assert raster.extents(image[:, :, :3]) == [(0, 100), (0, 80)]
     with pytest.raises(ValueError):
-        raster.crop_to_alpha(np.full((4, 4, 4), 10, np.uint8))
+        raster.extents(np.full((4, 4, 4), 10, np.uint8))
 
 
-def test_composite_cuts_fractions_off():
+def test_laid_without_scaling():
+    image = np.zeros((100, 80, 4), np.uint8)
+    image[20:70, 30:60] = (10, 20, 30, 255)
+    same = [np.eye(n) for n in (100, 80)]
+    flat = raster.lay(image, *same, 205)
+    assert tuple(flat[0, 0]) == (205, 205, 205) and tuple(flat[30, 40]) == (10, 20, 30)
     half = np.full((1, 1, 4), 101, np.uint8)
     half[..., 3] = 128
-    assert raster.composite(half)[0, 0, 0] == int(101 * (128 / 255) + 205 * (1 - 128 / 255))
+    assert raster.lay(half, np.eye(1), np.eye(1), 205)[0, 0, 0] == int(101 * (128 / 255) + 205 * (1 - 128 / 255))
 
 
-def test_letterbox_and_square():
+def test_boxed_and_squared():
     wide = np.full((10, 40, 3), 7, np.uint8)
-    boxed = raster.letterbox(wide, 20)
+    boxed = raster.boxed(wide, 20)
     assert boxed.shape == (20, 20, 3)
     assert (boxed[:7] == 205).all() and (boxed[7:12] == 7).all() and (boxed[12:] == 205).all()
-    squared = raster.square(wide)
-    assert squared.shape == (40, 40, 3) and (squared[15:25] == 7).all() and (squared[:15] == 220).all()
+    grown = raster.boxed(wide, 80)
+    assert (grown[:30] == 205).all() and (grown[30:50] == 7).all() and (grown[50:] == 205).all()
+    squared = raster.squared(wide, 40)
+    assert squared.shape == (40, 40, 3) and np.allclose(squared[15:25], 7) and np.allclose(squared[:15], 220)
 
 
 def test_garment_mask():
