@@ -4,12 +4,11 @@ Method: adaptive multi-match prefixes. All shingles have one global order, rare
 sizes p and q are similar enough, they share at least ``o = ceil(t * max(p, q))`` shingles, so for any
 ``l <= o`` their first ``p - o + l`` and ``q - o + l`` shingles share at least ``l``. Each document chooses its
 own ``l`` by estimated cost: a longer prefix costs more postings but asks candidates for more shared shingles.
-Two documents are compared when they share at least the smaller of their two ``l``, and enough that what lies
-behind the prefixes could still bring them to the limit: the set whose prefix ends first in the global order
-has shown all it shares up to there.
+Two documents are compared when they share at least the smaller of their two ``l`` within the prefixes that the
+overlap for their two sizes leaves.
 
 Identical sets are one node. Within a posting list not all pairs are made: first every member is compared
-with the list's smallest member only; a list whose members are then one component is done, since more links
+with the list's most typical member only; a list whose members are then one component is done, since more links
 inside it change nothing; in the others, members outside the list's largest component meet the members of
 other components. Every link between different components is thus found, so the components are exact.
 """
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.llm.graph import components
@@ -35,6 +34,8 @@ SKETCH = 1 << 20
 SLICES = 16
 #: Candidates by chance that a set expects, as a share of its size: documents repeat passages of others.
 CHANCE = 1.35
+#: Cost of a posting that a frequent shingle meets, in postings of the set itself.
+MET = 0.1
 #: Sets a task remembers, so that copies of a document give its postings once.
 REMEMBERED = 20_000
 
@@ -83,37 +84,41 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
 
-def choose_prefix(found: np.ndarray, counts: np.ndarray, bar: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set in the global order, and the number ``l`` of shared shingles it asks for.
+def choose_prefix(found: np.ndarray, counts: np.ndarray, bar: float, percent: int) -> tuple[np.ndarray, int, int]:
+    """The prefix of a set in the global order, the number ``l`` of shared shingles it asks for, and how many
+    shingles of the prefix are frequent.
 
-    The estimated cost of ``l`` is the length of its prefix plus the candidates it lets through: some by chance
-    and those of its frequent shingles, fewer the more shared shingles are asked for. Counters below ``bar``
-    (twice their mean) say nothing: their shingles count as rare and are ordered by hash, before the others.
+    The estimated cost of ``l`` is the length of its prefix, the postings it meets through frequent shingles,
+    and the candidates that share passages by chance, fewer the more shared shingles are asked for. Counters
+    below ``bar`` say nothing: their shingles count as rare and are ordered by hash, before the others.
     """
     n = len(found)
     overlap = -(-percent * n // 100)
     load = counts[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
     frequent = load > bar
     order, extra = found, np.zeros(1)
+    rare = n
     if frequent.any():
         hot, weight = found[frequent], load[frequent] - bar
         by = np.lexsort((hot, weight))
+        rare = n - len(hot)
         order = np.concatenate((found[~frequent], hot[by]))
-        extra = np.concatenate((np.zeros(n - len(hot)), np.cumsum(weight[by])))
+        extra = np.concatenate((np.zeros(rare), np.cumsum(weight[by])))
     choices = np.unique(np.minimum(1 << np.arange(16), overlap))
     ends = n - overlap + choices
-    cost = ends + (CHANCE * n + extra[np.minimum(ends, len(extra)) - 1]) / choices
+    cost = ends + MET * extra[np.minimum(ends, len(extra)) - 1] + CHANCE * n / choices
     best = int(np.argmin(cost))
-    return order[: ends[best]], int(choices[best])
+    return order[: ends[best]], int(choices[best]), max(0, int(ends[best]) - rare)
 
 
 def _postings(sketch, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        bar = 2 * counts.mean(dtype=np.float64)
+        mean = counts.mean(dtype=np.float64)
+        bar = mean + 4 * np.sqrt(mean) + 1  # chance alone hardly ever fills a counter so far
         seen: OrderedDict[int, None] = OrderedDict()
         for _, _, sets in _rows(batches, percent):
-            tokens, nodes, sizes, needs = [], [], [], []
+            tokens, nodes, sizes, needs, hots, places = [], [], [], [], [], []
             for found in sets:
                 if not len(found):
                     continue
@@ -124,15 +129,17 @@ def _postings(sketch, percent: int):
                 seen[node] = None
                 if len(seen) > REMEMBERED:
                     seen.popitem(last=False)
-                prefix, need = choose_prefix(found, counts, bar, percent)
+                prefix, need, hot = choose_prefix(found, counts, bar, percent)
                 tokens.append(prefix)
                 nodes.append(np.full(len(prefix), node, np.int64))
                 sizes.append(np.full(len(prefix), len(found), np.int32))
                 needs.append(np.full(len(prefix), need, np.int32))
+                hots.append(np.full(len(prefix), hot, np.int32))
+                places.append(np.arange(len(prefix), dtype=np.int32))
             if tokens:
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(needs))],
-                    names=["token", "node", "n", "need"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (nodes, sizes, needs, hots, places))],
+                    names=["token", "node", "n", "need", "hot", "place"],
                 )
 
     return run
@@ -196,15 +203,17 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     for row in sums:
         counts[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     sketch = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32).ravel())
-    postings = texts.mapInArrow(_postings(sketch, percent), "token long, node long, n int, need int")
+    postings = texts.mapInArrow(_postings(sketch, percent), "token long, node long, n int, need int, hot int, place int")
     # a shingle in the prefix of one set only leads nowhere
     token = Window.partitionBy("token")
     shared = cut_lineage(
-        postings.withColumn("lead", F.min("node").over(token)).withColumn("last", F.max("node").over(token))
-        .where("lead <> last").drop("last").distinct()
+        postings.withColumn("least", F.min("node").over(token)).withColumn("last", F.max("node").over(token))
+        .withColumn("lead", F.max(F.struct("hot", "node")).over(token)["node"])
+        .where("least <> last").drop("least", "last", "hot").distinct()
     )
     members = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # one comparison per set: with the smallest member that it shares most prefix shingles with
+    # one comparison per set: with the lead that it shares most prefix shingles with; the lead of a list is its
+    # most typical member, whose prefix holds most frequent shingles
     facts = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("need").alias("need"))
     lead = facts.select(F.col("node").alias("lead"), F.col("n").alias("n_lead"), F.col("need").alias("need_lead"))
     stars = (
@@ -224,22 +233,22 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .where("low <> high").select("token", F.col("main.component").alias("main"))
     )
     open_ = cut_lineage(placed.join(main, "token"))
-    minor = open_.where("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("need").alias("need_a"), F.col("component").alias("c_a"))
-    every = open_.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("component").alias("c_b"), (F.col("component") != F.col("main")).alias("minor_b"))
+    minor = open_.where("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("need").alias("need_a"), F.col("place").alias("p_a"), F.col("component").alias("c_a"))
+    every = open_.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("place").alias("p_b"), F.col("component").alias("c_b"), (F.col("component") != F.col("main")).alias("minor_b"))
 
-    def unseen(n: str, need: str) -> Column:
-        # behind the prefix; of two sets, the one whose prefix ends first has shared no more than this unnoticed
-        return F.ceil(F.col(n) * percent / 100) - F.col(need)
+    # what two sets of these sizes share at least if they are similar enough: shared shingles count where their
+    # place is in the prefix for that overlap
+    overlap = f"ceil({percent} * (n_a + n_b) / {100 + percent})"
 
     pairs = (
         minor.join(every, "token")
-        .where(f"c_a <> c_b and (not minor_b or a < b) and 100 * n_b >= {percent} * n_a and 100 * n_a >= {percent} * n_b")
-        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .agg(
-            F.count("*").alias("times"), F.min(F.least("need_a", "need_b")).alias("need"), F.first(F.col("n_a") + F.col("n_b")).alias("n"),
-            F.first(F.greatest(unseen("n_a", "need_a"), unseen("n_b", "need_b"))).alias("unseen"),
+        .where(
+            f"c_a <> c_b and (not minor_b or a < b) and 100 * n_b >= {percent} * n_a and 100 * n_a >= {percent} * n_b"
+            f" and p_a < n_a - {overlap} + least(need_a, need_b) and p_b < n_b - {overlap} + least(need_a, need_b)"
         )
-        .where(f"times >= need and (times + unseen) * {100 + percent} >= {percent} * n")
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.count("*").alias("times"), F.min(F.least("need_a", "need_b")).alias("need"))
+        .where("times >= need")
     )
     more = _similar(cut_lineage(pairs), texts, members, percent)
     joined = components(links.unionByName(more))
