@@ -86,7 +86,7 @@ def test_prefix_asks_for_no_more_than_the_overlap():
         for hot in (0, n // 2, n):
             counts[:] = 0
             counts[(found[:hot] & np.uint64((1 << 20) - 1)).astype(int)] = 5000
-            prefix, need = choose_prefix(found, counts, 10.0, 80)
+            prefix, need, _ = choose_prefix(found, counts, 10.0, 80)
             overlap = -(-80 * n // 100)
             assert 1 <= need <= overlap and len(prefix) == n - overlap + need and len(set(prefix.tolist())) == len(prefix)
 
