@@ -92,7 +92,7 @@ def problems(schemas: Schemas, tool: str = "tool", arguments: str = "arguments")
         for field, (kind, needed) in sorted(schema.items()):
             path = "$['" + field + "']"
             present = F.try_variant_get(value, path, "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(value, path, "variant"))
-            right = F.schema_of_variant(F.try_variant_get(value, path, "variant")).isin(*_KINDS.get(kind.lower(), (kind.upper(),)))
+            right = F.schema_of_variant(F.try_variant_get(value, path, "variant")).rlike(_KINDS.get(kind.lower(), f"^{kind.upper()}$"))
             bad = F.when(present, ~right).otherwise(F.lit(needed))
             wrong.append(F.when(bad, F.lit(field)))
         unknown = F.array_except(F.coalesce(fields, F.array().cast("array<string>")), F.array(*map(F.lit, schema)).cast("array<string>"))
@@ -102,8 +102,8 @@ def problems(schemas: Schemas, tool: str = "tool", arguments: str = "arguments")
     return out
 
 
-#: Variant types that a field of a kind may have.
-_KINDS = {"bigint": ("BIGINT",), "string": ("STRING",), "boolean": ("BOOLEAN",), "double": ("DOUBLE", "BIGINT")}
+#: Patterns of the variant types that a field of a kind may have, where more than its own name fits.
+_KINDS = {"double": r"^(DOUBLE|FLOAT|BIGINT|DECIMAL\(.*)$", "array": "^ARRAY<", "object": "^OBJECT<"}
 
 
 def canonical(arguments: str = "arguments") -> Column:
