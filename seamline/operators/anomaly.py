@@ -29,10 +29,20 @@ def _spread_out(vectors: np.ndarray, wanted: int) -> np.ndarray:
     return np.asarray(picked)
 
 
-def _thin(bank: DataFrame, share: float, blocks: int, seed: int) -> DataFrame:
+def coreset(
+    bank: DataFrame, ratio: float = BANK_RATIO, seed: int = 42, block_rows: int = CORESET_ROWS
+) -> DataFrame:
+    """A ``ratio`` of the bank that covers it well (farthest-point selection).
+
+    The selection is sequential, so it runs inside hash blocks of about ``block_rows``; small banks are one
+    block. Each block is covered by its own selection, so the bank is covered within the largest of the
+    blocks' radii, and no task holds more than a block. Each block gives its rounded share, one row at least.
+    """
+    blocks = block_count(bank.count(), block_rows)
+
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("item_id", ignore_index=True)
-        wanted = min(len(rows), max(1, round(share * len(rows))))
+        wanted = min(len(rows), max(1, round(ratio * len(rows))))
         vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         return rows.iloc[np.sort(_spread_out(vectors, wanted))][["item_id", "embedding"]]
 
@@ -41,23 +51,6 @@ def _thin(bank: DataFrame, share: float, blocks: int, seed: int) -> DataFrame:
     return grouped.applyInPandas(pick, "item_id long, embedding array<float>")
 
 
-def coreset(
-    bank: DataFrame, ratio: float = BANK_RATIO, seed: int = 42, block_rows: int = CORESET_ROWS
-) -> DataFrame:
-    """A ``ratio`` of the bank that covers it well (farthest-point selection).
-
-    The selection is sequential, so it runs inside hash blocks of bounded size; with several blocks a
-    second round over other blocks removes near neighbours the first round could not see. No task
-    ever holds more than about one block.
-    """
-    count = bank.count()
-    blocks = block_count(count, block_rows)
-    if blocks == 1 or ratio >= 0.5:
-        return _thin(bank, ratio, blocks, seed)
-    first = _thin(bank, 2 * ratio, blocks, seed)
-    return _thin(first, 0.5, block_count(int(2 * ratio * count), block_rows), seed + 1)
-
-
 def patch_distances(patches: DataFrame, bank: DataFrame, skip_self: bool = False, **blocking) -> DataFrame:
     """Distance of each patch (patch_id, embedding) to its nearest bank item."""
     queries = patches.select(F.col("patch_id").alias("query_id"), "embedding")
