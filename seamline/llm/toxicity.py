@@ -116,8 +116,9 @@ class LabelModel:
         self.heard = votes.any(axis=1)
         for k in range(rounds):
             self.prior = float(np.clip(posterior.mean(), 1e-3, 1 - 1e-3))
-            self.rate = (votes.T @ posterior + 0.5) / (posterior.sum() + 1)
-            self.usual = (votes.T @ (1 - posterior) + 0.05) / ((1 - posterior).sum() + 1)
+            known = posterior.astype(votes.dtype)
+            self.rate = (votes.T @ known + 0.5) / (posterior.sum() + 1)
+            self.usual = (votes.T @ (1 - known) + 0.05) / ((1 - posterior).sum() + 1)
             self.silence = ((~self.heard) @ posterior + 0.5) / (posterior.sum() + 1), ((~self.heard) @ (1 - posterior) + 0.5) / ((1 - posterior).sum() + 1)
             if k % 6 == 0:
                 self.share = self._shares(votes[self.heard], posterior[self.heard])
@@ -132,26 +133,27 @@ class LabelModel:
         return 1 / np.maximum(1, np.where(alike > 0.5, alike, 0).sum(axis=0))
 
     def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
-        odds = np.log(self.prior / (1 - self.prior)) + np.where(votes.any(axis=1), votes @ (self.share * np.log(self.rate / self.usual)), np.log(self.silence[0] / self.silence[1]))
+        odds = np.log(self.prior / (1 - self.prior)) + np.where(votes.any(axis=1), votes @ (self.share * np.log(self.rate / self.usual)).astype(votes.dtype), np.log(self.silence[0] / self.silence[1]))
         return 1 / (1 + np.exp(-np.clip(odds + self.GIVEN * (2 * given - 1), -30, 30)))
 
 
 def linear_classifier(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    ridge = np.r_[np.full(x.shape[1] - 1, penalty), 0.0] / len(x)
-    probe = np.ones(x.shape[1])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    y = y.astype(np.float32)
+    ridge = (np.r_[np.full(x.shape[1] - 1, penalty), 0.0] / len(x)).astype(np.float32)
+    probe = np.ones(x.shape[1], np.float32)
     for _ in range(20):  # the largest curvature
-        probe = x.T @ (x @ (probe / np.linalg.norm(probe))) / len(x)
-    step = 1 / (0.3 * np.linalg.norm(probe) + ridge[0])
-    weights = np.zeros(x.shape[1])
+        probe = x.T @ (x @ (probe / np.linalg.norm(probe))) / np.float32(len(x))
+    step = np.float32(1 / (0.3 * np.linalg.norm(probe) + ridge[0]))
+    weights = np.zeros(x.shape[1], np.float32)
     ahead, speed = weights, 1.0
     for _ in range(rounds):
         error = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y
-        new = ahead - step * (x.T @ error / len(x) + ridge * ahead)
+        new = ahead - step * (x.T @ error / np.float32(len(x)) + ridge * ahead)
         quicker = (1 + np.sqrt(1 + 4 * speed**2)) / 2
-        ahead, weights, speed = new + (speed - 1) / quicker * (new - weights), new, quicker
-    return weights[:-1], float(weights[-1])
+        ahead, weights, speed = new + np.float32((speed - 1) / quicker) * (new - weights), new, quicker
+    return weights[:-1].astype(float), float(weights[-1])
 
 
 class Model:
