@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from seamline import schema as S
@@ -19,6 +21,20 @@ def slug(name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(body, "^_+|_+$", ""), F.lit("")), F.lit(S.DEFAULT_SLUG))
 
 
+#: Small Latin letters that are another letter with a mark, and those letters, in the same order.
+_MARKED = [chr(c) for c in range(0xC0, 0x250) if chr(c).islower() and unicodedata.decomposition(chr(c))[:1].isdigit()]
+_PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
+
+
+def folded(value: Column) -> Column:
+    """Lower case without the marks of Latin letters."""
+    return F.translate(F.lower(value), "".join(_MARKED), "".join(_PLAIN))
+
+
+def folded_text(text: str) -> str:
+    return text.lower().translate(str.maketrans("".join(_MARKED), "".join(_PLAIN)))
+
+
 def strip(value: Column) -> Column:
     """Remove leading and trailing white space of every kind, line ends included."""
     return F.btrim(value, F.lit(" \t\n\x0b\f\r"))

@@ -8,7 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seamline import schema as S
-from seamline.functions.text import display_code, strip
+from seamline.functions.text import display_code, folded, folded_text, strip
 
 CASE_AND_ACCENT_BLIND = "UNICODE_CI_AI"
 CASE_BLIND = "UTF8_LCASE"
@@ -48,7 +48,7 @@ def search(
         if not wildcards:
             return F.contains(collated(name), F.lit(text))
         if collation == CASE_AND_ACCENT_BLIND:
-            return F.collate(F.col(name), CASE_BLIND).like(f"%{text}%")
+            return folded(F.col(name)).like(f"%{folded_text(text)}%")
         return collated(name).like(f"%{text}%")
 
     q, status, garment_type = q.strip(), status.strip(), garment_type.strip()

@@ -371,6 +371,9 @@ SQL: dict[str, str] = {
           AND status = 'Defecto' AND garment_type = 'Blusa' ORDER BY id DESC LIMIT 200""",
     "search_wildcards": f"""{RECORDS} SELECT {SHOWN} FROM inspections
         WHERE code LIKE '%INS-1%A_%' OR defect_type LIKE '%INS-1%A_%' OR zone LIKE '%INS-1%A_%'""",
+    "search_wildcards_ai": f"""{RECORDS} SELECT {SHOWN} FROM inspections
+        WHERE strip_accents(lower(zone)) LIKE '%l_ter%l%' OR strip_accents(lower(defect_type)) LIKE '%l_ter%l%'
+          OR strip_accents(lower(code)) LIKE '%l_ter%l%'""",
     "search_ci_ai": f"""{RECORDS} SELECT {SHOWN} FROM inspections
         WHERE strip_accents(lower(zone)) LIKE '%lateral%' AND lower(status) = 'revisar'""",
     "validated_records": f"{RECORDS}{VALIDATED} SELECT {SHOWN}, human_validation FROM validated",

@@ -92,6 +92,11 @@ def search_wildcards(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(found)
 
 
+def search_wildcards_ai(spark: SparkSession, folder: str) -> DataFrame:
+    blind = records.CASE_AND_ACCENT_BLIND
+    return _shown(records.search(X.inspections(spark, folder), "L_TÉR%l", limit=None, collation=blind, wildcards=True))
+
+
 def search_ci_ai(spark: SparkSession, folder: str) -> DataFrame:
     blind = records.CASE_AND_ACCENT_BLIND
     return _shown(records.search(X.inspections(spark, folder), "LÁTERAL", "REVISAR", limit=None, collation=blind))
@@ -453,7 +458,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         verdict_from_boxes, inspections, kpis, health, report_by_garment, report_by_defect,
-        latest_8, alerts_5, latest_one, search_records, search_wildcards, search_ci_ai,
+        latest_8, alerts_5, latest_one, search_records, search_wildcards, search_wildcards_ai, search_ci_ai,
         validated_records, confusion_matrix, confusion_by_garment, code_collisions,
         garment_vocab_gap, vocabulary_violations, inspection_json, records_display,
         label_errors, label_error_preview, label_split_summary, missing_labels, orphan_labels,
