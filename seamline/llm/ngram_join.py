@@ -30,7 +30,7 @@ from seamline.llm.texts import pieces, shingles_of
 from seamline.session import cut_lineage
 
 #: Counters of the sketch of shingle frequencies, and the slices it is summed in.
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 SLICES = 16
 #: Candidates by chance that a set expects, as a share of its size: documents repeat passages of others.
 CHANCE = 1.35
@@ -60,13 +60,13 @@ def fingerprint(found: np.ndarray) -> int:
 
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (doc_id, n, node) per document, and the task's counts of hashed shingles in slices."""
-    counts = np.zeros(SKETCH, np.int64)
+    counts = np.zeros(SKETCH, np.int32)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
     for ids, _, sets in _rows(batches, 80):
         if not ids:
             continue
         full = np.concatenate(sets)
-        counts += np.bincount((full & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        np.add.at(counts, (full & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         none = [None] * len(ids)
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(fingerprint, sets)), pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
     if counts.any():
@@ -75,11 +75,16 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], schema=schema)
 
 
+def _unpacked(counts: bytes) -> np.ndarray:
+    plain = zlib.decompress(counts)
+    return np.frombuffer(plain, np.int64 if len(plain) == SKETCH // SLICES * 8 else np.int32).astype(np.int64)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for key, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sums[key] = sums.get(key, 0) + np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+            sums[key] = sums.get(key, 0) + _unpacked(counts.as_py())
     if sums:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
@@ -115,7 +120,7 @@ def _postings(sketch, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         mean = counts.mean(dtype=np.float64)
-        bar = mean + 4 * np.sqrt(mean) + 1  # chance alone hardly ever fills a counter so far
+        bar = mean + 3 * np.sqrt(mean) + 1  # chance alone seldom fills a counter so far
         seen: OrderedDict[int, None] = OrderedDict()
         for _, _, sets in _rows(batches, percent):
             tokens, nodes, sizes, needs, hots, places = [], [], [], [], [], []
@@ -196,13 +201,13 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     survey = cut_lineage(texts.mapInArrow(_surveyed, "doc_id long, n long, node long, slice int, counts binary"))
     named = survey.where("slice is null").select("doc_id", "n", "node")
-    # one fixed-size sketch (8 MB), whatever the number of documents
+    # one fixed-size sketch (16 MB), whatever the number of documents
     slices = survey.where("slice is not null").select("slice", "counts").mapInArrow(_summed, "slice int, counts binary")
     sums = slices.repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, SKETCH // SLICES), np.int64)
+    counts = np.zeros((SLICES, SKETCH // SLICES), np.int32)
     for row in sums:
-        counts[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    sketch = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32).ravel())
+        counts[row["slice"]] = np.minimum(np.frombuffer(zlib.decompress(row["counts"]), np.int64), 2**31 - 1)
+    sketch = spark.sparkContext.broadcast(counts.ravel())
     postings = texts.mapInArrow(_postings(sketch, percent), "token long, node long, n int, need int, hot int, place int")
     # a shingle in the prefix of one set only leads nowhere
     token = Window.partitionBy("token")
