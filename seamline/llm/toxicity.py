@@ -23,9 +23,13 @@ from seamline.session import cut_lineage
 FREQUENT = 150
 #: Labelled documents that are fitted on at most, voters at most, and characters' bytes of the beginnings.
 SAMPLE_ROWS, VOTERS, BEGINNINGS = 16_384, 768, (3, 4, 5, 6, 7, 8)
-#: A voter must speak so many times as often in toxic documents as in others, and carry so much evidence (its
-#: toxic documents times the logarithm of that ratio): among millions of clues, weaker ones come up by chance.
-LEAST_RATIO, LEAST_EVIDENCE = 6.0, 30.0
+#: A voter must speak so many times as often in toxic documents as in others, and in two toxic ones at least. Among
+#: the voters, at most this share may be expected by chance; evidence is compared in steps, up to a top step.
+LEAST_RATIO, BY_CHANCE, STEPS, TOP_STEP = 6.0, 0.5, 4, 200
+#: A clue is a hash below its kind: the whole word, beginnings from the longest, then the same for frequent ones.
+_HASH, _OFTEN = np.uint64((1 << 59) - 1), np.uint64(1 << 62)
+#: Rows are told apart by sums of hashes of so many bits.
+_MARK = (1 << 48) - 1
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -49,10 +53,10 @@ def clues(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarra
         owner = np.searchsorted(ends, words.starts + at, "right")
         total += np.bincount(owner, minlength=len(texts))
         sizes = words.ends - words.starts
-        for size in (None, *BEGINNINGS):
+        for kind, size in enumerate((None, *reversed(BEGINNINGS))):
             which = slice(None) if size is None else np.flatnonzero(sizes > size)
-            # a beginning is told from a whole word by one bit
-            hashes = words.hashes() if size is None else words.hashes(words.starts[which] + size, which) ^ np.uint64(1 << 63)
+            hashes = words.hashes() if size is None else words.hashes(words.starts[which] + size, which)
+            hashes = hashes & _HASH | np.uint64(kind << 59)
             whose = owner[which]
             if wanted is not None:
                 keep = np.flatnonzero(bits[(hashes & np.uint64((1 << 18) - 1)).astype(np.int64)])
@@ -67,7 +71,7 @@ def clues(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarra
     times = np.diff(np.r_[first, len(owner)])
     owner, hashes = owner[first], hashes[first]
     often = (times >= 2) & (times * FREQUENT >= total[owner])
-    owner, hashes = np.concatenate((owner, owner[often])), np.concatenate((hashes, hashes[often] ^ np.uint64(1 << 62)))
+    owner, hashes = np.concatenate((owner, owner[often])), np.concatenate((hashes, hashes[often] | _OFTEN))
     if wanted is not None:
         place = np.minimum(np.searchsorted(wanted, hashes), max(len(wanted) - 1, 0))
         keep = wanted[place] == hashes if len(wanted) else np.zeros(len(hashes), bool)
@@ -77,15 +81,51 @@ def clues(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 def _clue_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each clue, the toxic and other documents of the task that hold it."""
+    """Of each clue, the toxic and other documents of the task that hold it, and the sum of their marks."""
     for batch in batches:
         texts, labels = batch.column("text").to_pylist(), batch.column("label").to_numpy(zero_copy_only=False)
+        marks = batch.column("mark").to_numpy().astype(np.uint64)
         for part in pieces(list(range(len(texts))), [len(t) for t in texts], 8 << 20):
             owner, found = clues([texts[k] for k in part])
             toxic = labels[np.array(part)][owner] == 1
             distinct, place = np.unique(found, return_inverse=True)
             bad = np.bincount(place, toxic, minlength=len(distinct)).astype(np.int64)
-            yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(bad), pa.array(np.bincount(place, minlength=len(distinct)) - bad)], names=["clue", "toxic", "other"])
+            times = np.bincount(place, minlength=len(distinct))
+            held = np.zeros(len(owner) + 1, np.uint64)
+            np.cumsum(marks[np.array(part)][owner][np.argsort(place, kind="stable")], out=held[1:])
+            ends = np.cumsum(times)
+            mark = ((held[ends] - held[ends - times]) & np.uint64(_MARK)).astype(np.int64)
+            yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(bad), pa.array(times - bad), pa.array(mark)], names=["clue", "toxic", "other", "mark"])
+
+
+def evidence_bar(held: dict[int, int], steps: dict[int, int], toxic: int, other: int) -> int:
+    """The lowest step of evidence from which on at most ``BY_CHANCE`` of the clues are expected by chance.
+
+    ``held`` has the number of clues by the documents that hold them, ``steps`` that of possible voters by the step
+    of their evidence, ``toxic`` and ``other`` are the documents. By chance, each document that holds a clue is
+    toxic with the share of the toxic ones, so a clue's toxic documents are binomial. On so few rows that no step
+    will do, it is the highest step that has a clue: the likeliest voters that there are.
+    """
+    share = toxic / (toxic + other)
+    chance = np.zeros(TOP_STEP + 1)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(held, default=0) + 1)))))
+    for times, clues_ in held.items():
+        k = np.arange(times + 1)
+        at_least = np.cumsum(np.exp(logs[times] - logs[k] - logs[times - k] + k * np.log(share) + (times - k) * np.log1p(-share))[::-1])[::-1]
+        rate = k / times
+        with np.errstate(divide="ignore", invalid="ignore"):
+            evidence = k * np.log(rate / share) + np.where(k < times, (times - k) * np.log((1 - rate) / (1 - share)), 0)
+        # both rise with the toxic documents
+        fit = np.flatnonzero((k >= 2) & (k / toxic >= LEAST_RATIO * (times - k + 0.5) / other))
+        first = np.searchsorted(np.minimum(np.floor(STEPS * evidence[fit]), TOP_STEP), np.arange(TOP_STEP + 1))
+        able = first < len(fit)
+        chance[able] += clues_ * at_least[fit[first[able]]]
+    found = np.zeros(TOP_STEP + 1)
+    for step, clues_ in steps.items():
+        found[step] += clues_
+    found = np.cumsum(found[::-1])[::-1]
+    good = np.flatnonzero((found > 0) & (chance <= BY_CHANCE * found))
+    return int(good[0]) if len(good) else max(steps, default=TOP_STEP)
 
 
 def _votes(voters: np.ndarray):
@@ -173,8 +213,10 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents outside the held-out fold.
 
-    Without labelled rows of either class, or without any voter, every score is the share of positive rows
-    (0.0 if there are none).
+    A voter's evidence is the log likelihood ratio of its own share of toxic documents against the sample's; how
+    much is asked for follows from the sample (``evidence_bar``). Of clues with the same documents, one votes.
+    Without labelled rows of either class, or without any voter (as when no clue is in two toxic documents), every
+    score is the share of positive rows (0.0 if there are none).
     """
     sample = cut_lineage(labelled_sample(docs, labels, target, rows))
     tally = sample.groupBy().agg(F.sum("label").alias("toxic"), F.count("*").alias("all")).first()
@@ -182,11 +224,22 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     plain = np.zeros(0, np.uint64)
     if not toxic or not other:
         return Model(plain, np.zeros(0), 30.0 if toxic else -30.0)
-    counts = sample.mapInArrow(_clue_counts, "clue long, toxic long, other long").groupBy("clue").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    marked = sample.select("text", "label", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(_MARK)).alias("mark"))
+    counts = marked.mapInArrow(_clue_counts, "clue long, toxic long, other long, mark long").groupBy("clue").agg(
+        F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), (F.sum("mark") % (_MARK + 1)).alias("mark")
+    )
     ratio = (F.col("toxic") / toxic) / ((F.col("other") + 0.5) / other)
-    # the strongest voters, by the information their vote carries; a fixed number comes to the driver
-    evidence = F.col("toxic") * F.log(ratio)
-    best = counts.where((ratio >= LEAST_RATIO) & (evidence >= LEAST_EVIDENCE)).orderBy(evidence.desc(), "clue").limit(VOTERS)
+    times, share = F.col("toxic") + F.col("other"), toxic / (toxic + other)
+    evidence = F.col("toxic") * F.log(F.col("toxic") / times / share) + F.when(
+        F.col("other") > 0, F.col("other") * F.log(F.col("other") / times / (1 - share))
+    ).otherwise(0.0)
+    step = F.when((ratio >= LEAST_RATIO) & (F.col("toxic") >= 2), F.least(F.floor(STEPS * evidence), F.lit(TOP_STEP)).cast("int"))
+    alone = counts.where(times >= 2).groupBy("toxic", "other", "mark").agg(F.min("clue").alias("clue"))
+    alone = cut_lineage(alone.select("clue", times.alias("times"), step.alias("step"), evidence.alias("evidence")))
+    # a row per number of documents, and one per step; then a fixed number of voters comes to the driver
+    held = {r["times"]: r["count"] for r in alone.groupBy("times").count().collect()}
+    steps = {r["step"]: r["count"] for r in alone.where("step >= 0").groupBy("step").count().collect()}
+    best = alone.where(F.col("step") >= evidence_bar(held, steps, toxic, other)).orderBy(F.desc("evidence"), "clue").limit(VOTERS)
     voters = np.sort(np.array([r["clue"] for r in best.collect()], np.int64).view(np.uint64))
     if not len(voters):
         return Model(plain, np.zeros(0), float(np.log(toxic / other)))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -222,6 +223,29 @@ def test_classifiers_odd_rows(shipped, make, odd, kind):
         assert kind.score(docs, kind.train(docs, none, "target")).count() == len(got)
 
 
+def test_few_toxic_rows_among_many_have_voters(shipped):
+    random.seed(5)
+    words = ["".join(random.choices("bcdfgklmnprst", k=6)) for _ in range(300)]
+    rows = [(k, " ".join(random.choices(words, k=12)), int(k % 500 == 3)) for k in range(5_000)]
+    toxic = [k for k, _, y in rows if y and zlib.crc32(str(k).encode()) % 5]
+    # a word in three toxic rows and in no other, together with a second word, and one in a single toxic row
+    rows = [(k, t + (" xyzzy quuxly" if k in toxic[:3] else " plughy" if k == toxic[3] else ""), y) for k, t, y in rows]
+    docs = shipped.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, shipped.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    scores = model.scores(["some xyzzy", "some quuxly", "some plughy"])
+    assert (scores[:2].max() >= 0.5) and scores[2] < 0.5
+    # clues with the same documents are one voter: words, beginnings
+    assert len(np.intersect1d(toxicity.clues(["xyzzy quuxly"])[1], model.voters)) == 1
+
+
+def test_evidence_bar_follows_the_sample():
+    # no clue beats chance: the strongest step stays
+    assert toxicity.evidence_bar({2: 1_000}, {8: 3}, 5, 30) == 8
+    # three documents of three toxic ones are next to impossible by chance among many others
+    assert toxicity.evidence_bar({2: 10_000, 3: 10_000}, {30: 1, 80: 2}, 16, 16_368) <= 80
+    assert toxicity.evidence_bar({}, {}, 1, 1) == toxicity.TOP_STEP
+
+
 def test_empty_tables(make):
     none = make([])
     for out in (

@@ -66,6 +66,19 @@ def test_held_out_accuracy(shipped, name, target, least):
     assert hit / sum(p == rare for p, _ in known) >= 0.9
 
 
+@pytest.mark.parametrize(("size", "least"), [("sf0.001", 0.6), ("sf0.01", 0.8)])
+def test_toxic_documents_of_small_tables_are_dropped(shipped, size, least):
+    folder = f"/root/testdata/{size}"
+    labels = {r.doc_id: r.toxic for r in shipped.read.parquet(f"{folder}/labels.parquet").collect()}
+    docs = shipped.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](shipped, docs, folder).select("doc_id").collect()}
+    gone = {r.doc_id for r in docs.select("doc_id").collect()} - kept
+    for fold in (True, False):
+        toxic = {k for k, y in labels.items() if y == 1 and (zlib.crc32(str(k).encode()) % 5 == 0) == fold}
+        assert len(gone & toxic) >= least * len(toxic)
+    assert not any(labels.get(k) == 0 for k in gone)
+
+
 def test_decontamination(shipped, data, texts):
     items = {r.item_id: " ".join(r.text.split()).lower() for r in shipped.read.parquet(f"{data}/benchmark.parquet").collect()}
     plain = {k: " ".join(t.split()).lower() for k, t in texts.items()}
