@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from seamline.llm import byte_bpe, toxicity
 from seamline.llm.decontaminate import drop_contaminated
 from seamline.llm.line_dedup import dedup_lines
-from seamline.llm.ngram_join import ngram_components
+from seamline.llm.ngram_join import first_of_components
 from seamline.session import shared_folder, ship_package
 
 #: Documents that score as high are dropped.
@@ -38,9 +38,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest id; rows with a null id stay."""
-    groups = ngram_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row, with the smallest id; rows are judged one by one, see ``first_of_components``."""
+    return first_of_components(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamline.llm.graph import components
 from seamline.llm.prefilter import maybe_in
@@ -186,19 +187,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, members: DataFrame, percent: in
     return pairs.select("a", "b").join(right, "b").join(left, "a").sortWithinPartitions("a").mapInArrow(_verified(percent), "a long, b long").distinct()
 
 
-def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
-
-    Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct five-word shingles, or
-    the whole sequence of a shorter text. Sets are compared by 64-bit hashes. Two documents link when
-    ``100 * intersection >= percent * union``; ``component_id`` is the smallest id reachable by links.
-
-    Null or empty texts and texts without words have ``n_shingles`` 0 and link with nothing. Rows with a null
-    id have null results, one row each. Rows that repeat an id are one document each way: all rows of an id
-    whose texts differ keep their own set, and the smallest id of their component. An empty table gives none.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _placed(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, node) of the texts that have an id, and those of them with shingles with their component."""
+    spark = texts.sparkSession
     survey = cut_lineage(texts.mapInArrow(_surveyed, "doc_id long, n long, node long, slice int, counts binary"))
     named = survey.where("slice is null").select("doc_id", "n", "node")
     # one fixed-size sketch (16 MB), whatever the number of documents
@@ -258,9 +249,63 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     more = _similar(cut_lineage(pairs), texts, members, percent)
     joined = components(links.unionByName(more))
     placed = named.where("n > 0").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return named, placed
+
+
+def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct five-word shingles, or
+    the whole sequence of a shorter text. Sets are compared by 64-bit hashes. Two documents link when
+    ``100 * intersection >= percent * union``; ``component_id`` is the smallest id reachable by links.
+
+    Null or empty texts and texts without words have ``n_shingles`` 0 and link with nothing. Rows with a null
+    id have null results, one row each. Rows that repeat an id are one document each way: all rows of an id
+    whose texts differ keep their own set, and the smallest id of their component. An empty table gives none.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    named, placed = _placed(texts, percent)
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # copies of one set may be many: only the few nodes are joined with the least ids, then looked up by node
     nodes = placed.groupBy("node", "component").agg(F.lit(1).alias("one")).join(least, "component").select("node", "component_id")
     known = named.join(nodes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     without = texts.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return known.unionByName(without)
+
+
+def _noded(schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.names.index("text")).to_pylist()]
+            nodes = [fingerprint(found) for part in pieces(texts, list(map(len, texts))) for found in shingles_of(part)]
+            yield pa.record_batch([*batch.columns, pa.array(nodes, pa.int64())], names=schema.names)
+
+    return run
+
+
+def first_of_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component of ``ngram_components``, one row.
+
+    It is a row with the smallest id, and among the rows of that id one of the smallest set's name, then text. Rows
+    are told apart by id and set, so a row is not dropped for another with its id; rows that repeat both are copies. Rows
+    with a null id are compared too and come after those with an id. Rows without words have no copies: all stay.
+    """
+    # a null id gets a number from the text: rows of one text are copies, and sets tell apart what meets by chance
+    number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+    _, placed = _placed(docs.select(number.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), percent)
+    # both sides hold an id and set once, however large a component is
+    times = placed.groupBy("doc_id", "node").agg(F.count("*").alias("times"))
+    firsts = placed.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.*", F.lit(True).alias("kept"))
+    told = times.join(firsts, ["doc_id", "node"], "left").select(
+        F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "times", F.col("kept").isNotNull().alias("kept")
+    )
+    told = cut_lineage(told.where("not kept or times > 1"))
+    numbered = docs.withColumn("__id", number)
+    schema = T.StructType([*numbered.schema.fields, T.StructField("__node", T.LongType())])
+    rows = numbered.mapInArrow(_noded(schema), schema)
+    alone = rows.join(told.select("__id", "__node"), ["__id", "__node"], "left_anti").select(*docs.columns)
+    # one of the rows that repeat id and set; they combine before the shuffle
+    again = told.where("kept").select("__id", "__node")
+    same = maybe_in(numbered, again, "__id")
+    same = same.mapInArrow(_noded(schema), schema).groupBy("__id", "__node").agg(F.min_by(F.struct(*docs.columns), "text").alias("row"))
+    return alone.unionByName(same.join(again, ["__id", "__node"], "left_semi").select("row.*"))

@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seamline.llm import byte_bpe, quality, sharding, texts, token_counts, tool_chat, toxicity
 from seamline.llm.decontaminate import align, benchmark_matches, drop_contaminated
 from seamline.llm.exact_dedup import exact_groups
@@ -223,6 +224,16 @@ def test_classifiers_odd_rows(shipped, make, odd, kind):
         assert kind.score(docs, kind.train(docs, none, "target")).count() == len(got)
 
 
+def test_near_copies_are_dropped_row_by_row(shipped, make):
+    a, b, c, d = (" ".join(f"{name}{k}" for k in range(30)) for name in "abcd")
+    rows = [(1, a), (5, a + " end"), (5, b), (6, c), (6, c), (6, c.upper()), (7, c), (None, b + " end"), (None, d), (None, d), (8, ""), (8, ""), (None, None)]
+    docs = make(rows)
+    kept = corpus_pipeline.drop_near_copies(shipped, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (6, c.upper()), (None, d), (8, ""), (8, ""), (None, None)], key=str)
+
+
 def test_few_toxic_rows_among_many_have_voters(shipped):
     random.seed(5)
     words = ["".join(random.choices("bcdfgklmnprst", k=6)) for _ in range(300)]
