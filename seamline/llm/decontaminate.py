@@ -1,8 +1,8 @@
 """Documents that hold passages of test items, copied or edited.
 
-Method: every run of three words of a test item is a seed. Its frequency in all documents is counted, and each
-item keeps its rarest seeds. Where a document holds a seed, the stretch around it is aligned with the item by
-Smith-Waterman over words; the score is the alignment's share of a full match.
+Method: every run of three words of a test item is a seed. Where a document holds a seed, the stretch around it is
+aligned with the item by Smith-Waterman over words; the score is the alignment's share of a full match. An edited
+copy in which no three words of the item follow each other holds no seed and is not found.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from seamline.llm.texts import Words, blocks, gram_hashes, pieces
 
-#: Words of a seed, share of an item's seeds that is kept, and test items looked for in one pass.
-SEED, KEPT, ITEM_BYTES = 3, 0.75, 8 << 20
+#: Words of a seed, and bytes of test items looked for in one pass.
+SEED, ITEM_BYTES = 3, 8 << 20
 #: Points of equal words, other words and gaps.
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BETWEEN = np.ones(256, bool)
@@ -78,25 +78,11 @@ class Items:
         self.owner = np.concatenate(owner).astype(np.int64) if grams else np.zeros(0, np.int64)
         self.offset = np.concatenate(offset).astype(np.int64) if grams else np.zeros(0, np.int64)
         self.widths = sorted({min(SEED, len(found)) for found in self.words if len(found)})
-        self._sort()
-
-    def _sort(self) -> None:
         order = np.argsort(self.seeds, kind="stable")
         self.seeds, self.owner, self.offset = self.seeds[order], self.owner[order], self.offset[order]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def keep_rarest(self, counts: dict[int, int]) -> None:
-        """Keep each item's rarest seeds: a fixed share by rank, so a passage that is everywhere keeps its own."""
-        times = np.array([counts.get(int(s.view(np.int64)), 0) for s in self.seeds], np.int64)
-        order = np.lexsort((self.offset, times, self.owner))
-        owner = self.owner[order]
-        first = np.searchsorted(owner, owner, "left")
-        size = np.searchsorted(owner, owner, "right") - first
-        chosen = np.sort(order[np.arange(len(order)) - first < np.ceil(KEPT * size)])
-        self.seeds, self.owner, self.offset = self.seeds[chosen], self.owner[chosen], self.offset[chosen]
-        self._sort()
-
     def hits(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``words`` where a seed begins, with the seed's hash; seeds do not cross texts."""
         places, found = [], []
@@ -119,19 +105,6 @@ def _texts(batches) -> Iterator[tuple[list, list[str]]]:
             yield [ids[k] for k in part], [texts[k] for k in part]
 
 
-def _seed_counts(items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = items.value
-        total = np.zeros(len(look.seeds), np.int64)
-        for _, texts in _texts(batches):
-            _, found = look.hits(*content_words(texts))
-            total += np.bincount(np.searchsorted(look.seeds, found), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(look.seeds[some].view(np.int64)), pa.array(total[some])], names=["seed", "times"])
-
-    return run
-
-
 def matched(look: Items, texts: list[str], least: float) -> dict[tuple[int, int], float]:
     """Scores by (number of the text, number of the item)."""
     words, starts = content_words(texts)
@@ -207,7 +180,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5)
     """(doc_id, item_id, score) of the documents that hold a test item with at least the score ``least``.
 
     The score is the Smith-Waterman score over words (2 for equal words, -1 for others and for gaps) divided by
-    that of the whole item, so 1.0 is a full copy. Words are letters and digits, lower-cased: punctuation, case
+    that of the whole item, so 1.0 is a full copy. Found are the pairs that share three words in a row. Words are letters and digits, lower-cased: punctuation, case
     and line breaks do not matter. Items of fewer than three words are one seed; items without words, or with
     a null id or text, are never found. Null and empty texts match nothing; rows with a null id are reported
     with a null id, and rows that repeat an id once each. Either table may be empty.
@@ -216,23 +189,18 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.5)
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
-    for rare in _rare_items(texts, benchmark):
-        found = found.unionByName(texts.mapInArrow(_matches(rare, least), found.schema))
+    for items in _sent_items(benchmark):
+        found = found.unionByName(texts.mapInArrow(_matches(items, least), found.schema))
     return found
 
 
-def _rare_items(texts: DataFrame, benchmark: DataFrame) -> Iterator:
-    """Blocks of test items with their rarest seeds, broadcast; the seeds are counted over all of ``texts``."""
-    context = texts.sparkSession.sparkContext
+def _sent_items(benchmark: DataFrame) -> Iterator:
+    """Blocks of test items, broadcast."""
+    context = benchmark.sparkSession.sparkContext
     for rows in _blocks_of_items(benchmark):
         items = Items(rows)
-        if not len(items.seeds):
-            continue
-        # at most one row per seed of the block comes back
-        counted = texts.select("doc_id", "text").mapInArrow(_seed_counts(context.broadcast(items)), "seed long, times long")
-        counts = counted.groupBy("seed").agg(F.sum("times").alias("times")).collect()
-        items.keep_rarest({r["seed"]: r["times"] for r in counts})
-        yield context.broadcast(items)
+        if len(items.seeds):
+            yield context.broadcast(items)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
@@ -240,6 +208,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5)
 
     Columns stay as they are. Rows with a null text, and rows with null or repeated ids, are judged like others.
     """
-    for rare in _rare_items(docs, benchmark):
-        docs = docs.mapInArrow(_without_matches(rare, least), docs.schema)
+    for items in _sent_items(benchmark):
+        docs = docs.mapInArrow(_without_matches(items, least), docs.schema)
     return docs

@@ -224,6 +224,37 @@ def test_classifiers_odd_rows(shipped, make, odd, kind):
         assert kind.score(docs, kind.train(docs, none, "target")).count() == len(got)
 
 
+def test_edited_copies_that_share_only_a_common_seed_are_found(shipped):
+    rng = random.Random(9)
+    items = [[f"w{i}x{k}" for k in range(16)] for i in range(40)]
+    docs = []
+    for i, item in enumerate(items):
+        for _ in range(6):
+            text = list(item)
+            for k in range(len(text) - 1, -1, -1):
+                turn = rng.random()
+                text[k : k + 1] = ["other"] if turn < 0.15 else [text[k], "more"] if turn < 0.35 else [] if turn < 0.4 else [text[k]]
+            docs.append(" ".join(["before"] * 30 + text + ["after"] * 30))
+        # the first words of an item are the commonest
+        docs += [" ".join(item[k : k + 4]) for k in (0, 2)] * 8
+        # of this copy, two runs of three common words and single words are left
+        docs.append(" ".join([*item[:3], "x", *item[4:6], "y", *item[7:9], "z", *item[10:12], "u", *item[13:15], "v"]))
+    table = shipped.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = shipped.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    codes = {}
+    coded = [np.array([codes.setdefault(w, len(codes)) for w in text.split()], np.uint64) for text in docs]
+    plain = [np.array([codes[w] for w in item], np.uint64) for item in items]
+    expected = set()
+    for d, text in enumerate(docs):
+        for i in range(len(items)):
+            words = text.split()
+            if {" ".join(words[k : k + 3]) for k in range(len(words) - 2)} & {" ".join(items[i][k : k + 3]) for k in range(14)}:
+                if align(item_words := plain[i], coded[d][None])[0] >= len(item_words):
+                    expected.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in benchmark_matches(table, bench).collect()}
+    assert len(expected) > 100 and got == expected
+
+
 def test_near_copies_are_dropped_row_by_row(shipped, make):
     a, b, c, d = (" ".join(f"{name}{k}" for k in range(30)) for name in "abcd")
     rows = [(1, a), (5, a + " end"), (5, b), (6, c), (6, c), (6, c.upper()), (7, c), (None, b + " end"), (None, d), (None, d), (8, ""), (8, ""), (None, None)]
