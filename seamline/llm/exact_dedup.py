@@ -1,4 +1,4 @@
-"""Exact duplicates by merging runs of digests along a tree.
+"""Exact duplicates by partial aggregates of digests along a tree; nothing is sorted or merged in order.
 
 Method: rows are dealt to runs; a run is its distinct digests with the smallest id and the number of rows of
 each. In every round, runs whose numbers differ in the lowest digits only are merged, several at once, until
