@@ -226,7 +226,7 @@ def extents(pixels: np.ndarray, margin: float = 0.0) -> list[tuple[int, int]]:
     shown = pixels[:, :, 3] > VISIBLE
     hits = [np.flatnonzero(shown.any(axis=1 - axis)) for axis in (0, 1)]
     if not len(hits[0]):
-        raise ValueError("nothing in the picture is visible")
+        raise ValueError("nothing in the picture is visible: its alpha is 0 everywhere")
     more = round(max(int(h[-1] - h[0]) + 1 for h in hits) * margin)
     return [(max(0, int(h[0]) - more), min(n, int(h[-1]) + 1 + more)) for h, n in zip(hits, pixels.shape, strict=False)]
 
