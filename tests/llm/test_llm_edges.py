@@ -17,7 +17,7 @@ from seamline.llm.decontaminate import align, benchmark_matches, drop_contaminat
 from seamline.llm.exact_dedup import exact_groups
 from seamline.llm.graph import components
 from seamline.llm.line_dedup import dedup_lines, digests
-from seamline.llm.ngram_join import choose_prefix, ngram_components
+from seamline.llm.ngram_join import SKETCH, choose_prefix, ngram_components
 from seamline.llm.perfect_hash import PerfectHash
 from seamline.llm.prefilter import maybe_in
 
@@ -82,12 +82,12 @@ def test_ngram_components_match_all_pairs(make, seed):
 
 def test_prefix_asks_for_no_more_than_the_overlap():
     random.seed(5)
-    counts = np.zeros(1 << 20, np.int32)
+    counts = np.zeros(SKETCH, np.int32)
     for n in (1, 2, 3, 4, 5, 9, 10, 50, 1000):
         found = np.unique(np.array([random.getrandbits(64) for _ in range(n)], np.uint64))
         for hot in (0, n // 2, n):
             counts[:] = 0
-            counts[(found[:hot] & np.uint64((1 << 20) - 1)).astype(int)] = 5000
+            counts[(found[:hot] & np.uint64(SKETCH - 1)).astype(int)] = 5000
             prefix, need, _ = choose_prefix(found, counts, 10.0, 80)
             overlap = -(-80 * n // 100)
             assert 1 <= need <= overlap and len(prefix) == n - overlap + need and len(set(prefix.tolist())) == len(prefix)
