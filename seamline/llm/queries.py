@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seamline.llm import byte_bpe, quality, sharding, tool_chat, toxicity
 from seamline.llm.decontaminate import benchmark_matches
 from seamline.llm.exact_dedup import exact_groups
+from seamline.llm.fill_middle import fill_in_middle, restored
 from seamline.llm.line_dedup import dedup_lines, digests
 from seamline.llm.ngram_join import ngram_components
 from seamline.llm.texts import held_out
@@ -106,11 +107,17 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    turned = fill_in_middle(table(spark, folder, "documents").select("doc_id", "text")).withColumn("restored", restored())
+    named = digests(digests(turned, "output", "output_sha256"), "restored", "restored_sha256")
+    return named.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_quality, op2_ngram_join, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_token_counts,
-        op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe,
+        op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe, op11_fill_middle,
     )
 }
 
@@ -155,4 +162,22 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op11_fill_middle": """
+WITH keyed AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+), numbers AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM keyed
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), parts AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts""",
 }
