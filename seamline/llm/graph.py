@@ -48,3 +48,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     linked = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return _distinct(linked.unionByName(least.select("a", F.col("m").alias("b"))))
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns that ``known`` has for their ``key``; its ``times`` says how many rows have that key.
+
+    Keys of more than a thousandth of all rows are at most a thousand: these are broadcast, so that no task gets all
+    rows of a frequent key. All others are joined by shuffle. Rows with a null or unknown key go.
+    """
+    total = known.agg(F.sum("times")).first()[0] or 0
+    often = F.col("times") * 1000 > total
+    few = F.broadcast(known.where(often).drop("times"))
+    rest = rows.join(few.select(key), key, "left_anti").join(known.where(~often).drop("times"), key)
+    return rows.join(few, key).unionByName(rest)

@@ -14,6 +14,7 @@ from seamline.llm.exact_dedup import exact_groups
 from seamline.llm.fill_middle import fill_in_middle, restored
 from seamline.llm.line_dedup import dedup_lines, digests
 from seamline.llm.ngram_join import ngram_components
+from seamline.llm.simhash import simhash_components
 from seamline.llm.texts import held_out
 from seamline.llm.token_counts import count_tokens
 
@@ -113,11 +114,15 @@ def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_components(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_quality, op2_ngram_join, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_token_counts,
-        op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe, op11_fill_middle,
+        op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe, op11_fill_middle, op12_simhash,
     )
 }
 
