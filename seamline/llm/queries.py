@@ -12,6 +12,7 @@ from seamline.llm import byte_bpe, quality, sharding, tool_chat, toxicity
 from seamline.llm.decontaminate import benchmark_matches
 from seamline.llm.exact_dedup import exact_groups
 from seamline.llm.fill_middle import fill_in_middle, restored
+from seamline.llm.importance import resample
 from seamline.llm.line_dedup import dedup_lines, digests
 from seamline.llm.ngram_join import ngram_components
 from seamline.llm.simhash import simhash_components
@@ -118,11 +119,15 @@ def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"))
 
 
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_quality, op2_ngram_join, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_token_counts,
-        op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe, op11_fill_middle, op12_simhash,
+        op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe, op11_fill_middle, op12_simhash, op13_resampling,
     )
 }
 
@@ -185,4 +190,35 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
     ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
   sha256(t) AS restored_sha256
 FROM parts""",
+    # DuckDB has no crc32: it is computed for each distinct word from the table of its polynomial
+    "op13_resampling": f"""
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) r(i)
+), words AS (
+  SELECT 'd' AS kind, doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 'b', 0, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark
+), hexed AS (
+  SELECT DISTINCT w, hex(encode(w)) AS h FROM words
+), buckets AS (
+  SELECT w, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM hexed, crc_table
+), counts AS (
+  SELECT bucket, count(*) FILTER (WHERE kind = 'd') AS s, count(*) FILTER (WHERE kind = 'b') AS t FROM words JOIN buckets USING (w) GROUP BY bucket
+), totals AS (
+  SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM counts, totals
+), weighed AS (
+  SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS g FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM documents LEFT JOIN weighed USING (doc_id)
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS total FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 10 * total // 100 THEN rank END AS rank
+FROM scored LEFT JOIN drawn USING (doc_id)""",
 }
