@@ -8,6 +8,7 @@ from seamline import schema as S
 from seamline.functions.geometry import box_iou, zone
 from seamline.functions.scores import BOX_FLOOR, CLEAN_CONFIDENCE, DEFECT_PERCENT, percent, status_of
 from seamline.operators.ordered import ordered_runs, with_history
+from seamline.session import cut_lineage
 
 IOU_THRESHOLDS = [0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95]
 
@@ -67,12 +68,26 @@ def verdict_from_boxes(
     )
 
 
-def _candidate_pairs(predictions: DataFrame, truth: DataFrame, cell: int) -> DataFrame:
-    """Pairs of one image and class whose labelled centre lies in the predicted box, with overlap.
+IMAGE_CLASS = ["image_id", "class_id"]
 
-    An overlap of at least one half covers half of the labelled width and height, hence its centre.
-    So the labelled box goes to the grid cell of its centre and the prediction to the cells it
-    touches; only boxes of one neighbourhood meet, each pair once.
+
+def _clamped(boxes: DataFrame) -> DataFrame:
+    """Corners moved into the picture, where the rows say how large it is."""
+    limits = {"x": "img_w", "y": "img_h"}
+    for corner in ("x1", "y1", "x2", "y2"):
+        limit = limits[corner[0]]
+        if limit in boxes.columns:
+            boxes = boxes.withColumn(corner, F.greatest(F.lit(0.0), F.least(F.col(corner), F.col(limit).cast("double"))))
+    return boxes
+
+
+def _candidate_pairs(predictions: DataFrame, truth: DataFrame, least: float, cell: int) -> DataFrame:
+    """Pairs of one image and class that overlap by ``least`` or more, each pair once, with their overlap.
+
+    Boxes meet in grid cells. An overlap of at least one half covers half of the labelled width and height, hence
+    the labelled centre: then the labelled box goes to the cell of its centre only and the prediction to the cells
+    it touches. For smaller overlaps both go to all cells they touch, and a pair counts in the cell that holds the
+    top left corner of what they share.
     """
 
     def cells(low: str, high: str) -> Column:
@@ -80,42 +95,58 @@ def _candidate_pairs(predictions: DataFrame, truth: DataFrame, cell: int) -> Dat
         return F.explode(F.sequence(first, F.greatest(first, last)))
 
     corners = ["x1", "y1", "x2", "y2"]
-    key = ["image_id", "class_id"]
-    p = predictions.select(*key, "box_no", "conf", *[F.col(c).alias("p_" + c) for c in corners])
+    p = _clamped(predictions).select(*IMAGE_CLASS, "box_no", "conf", *[F.col(c).alias("p_" + c) for c in corners])
     p = p.withColumn("cx", cells("p_x1", "p_x2")).withColumn("cy", cells("p_y1", "p_y2"))
-    t = truth.select(*key, "truth_no", *[F.col(c).alias("t_" + c) for c in corners])
-    t = t.withColumn("cx", F.floor((F.col("t_x1") + F.col("t_x2")) / 2 / cell))
-    t = t.withColumn("cy", F.floor((F.col("t_y1") + F.col("t_y2")) / 2 / cell))
-    joined = p.join(t, [*key, "cx", "cy"])
-    return joined.select(*key, "box_no", "conf", "truth_no", box_iou("p_", "t_").alias("overlap"))
+    t = _clamped(truth).select(*IMAGE_CLASS, "truth_no", *[F.col(c).alias("t_" + c) for c in corners])
+    if least >= 0.5:
+        t = t.withColumn("cx", F.floor((F.col("t_x1") + F.col("t_x2")) / 2 / cell))
+        t = t.withColumn("cy", F.floor((F.col("t_y1") + F.col("t_y2")) / 2 / cell))
+        once = F.lit(True)
+    else:
+        t = t.withColumn("cx", cells("t_x1", "t_x2")).withColumn("cy", cells("t_y1", "t_y2"))
+        once = (F.floor(F.greatest("p_x1", "t_x1") / cell) == F.col("cx")) & (F.floor(F.greatest("p_y1", "t_y1") / cell) == F.col("cy"))
+    joined = p.join(t, [*IMAGE_CLASS, "cx", "cy"]).filter(once)
+    pairs = joined.select(*IMAGE_CLASS, "box_no", "conf", "truth_no", box_iou("p_", "t_").alias("overlap"))
+    return pairs.filter(F.col("overlap") >= least)
 
 
 def match_boxes(
     predictions: DataFrame, truth: DataFrame, thresholds: list[float] | None = None, cell: int = 128
 ) -> DataFrame:
-    """Predictions that hit a labelled box, one row per overlap threshold: iou, image_id, box_no.
+    """Predictions that hit a labelled box, one row per overlap threshold: iou, image_id, class_id, truth_no, box_no, conf.
 
-    A prediction points at the labelled box of its image and class that it overlaps most; of the
-    predictions pointing at a box with at least the threshold, the most confident one hits it. Both
-    steps are arg-max aggregates. ``predictions``: image_id, box_no, class_id, conf and corners;
-    ``truth``: image_id, truth_no, class_id and corners. Thresholds start at one half.
+    Deferred acceptance, once for every threshold: a prediction proposes to the labelled box of its image and class
+    that it overlaps most, a labelled box keeps the most confident proposal, and a prediction that was turned down
+    proposes to its next choice, until nothing changes. As all boxes rank predictions alike, this is what taking the
+    predictions by falling confidence gives, each the free box it overlaps most. Equal overlaps go to the smaller
+    truth_no, equal confidences to the smaller box_no.
+
+    A round is one arg-max aggregate over the boxes kept and the new proposals; only predictions that were turned
+    down go on. ``predictions``: image_id, box_no, class_id, conf, corners, and if given img_w and img_h, which the
+    corners are clamped to; ``truth``: image_id, truth_no, class_id and corners. Thresholds are above zero.
     """
     thresholds = thresholds or [0.5]
-    if min(thresholds) < 0.5:
-        raise ValueError("overlap thresholds below 0.5 are not supported")
-    pairs = _candidate_pairs(predictions, truth, cell).filter(F.col("overlap") >= min(thresholds))
-    key = ["image_id", "class_id"]
-    target = F.max_by(
-        F.struct("truth_no", "overlap"), F.struct(F.col("overlap"), -F.col("truth_no"))
-    )
-    pointed = pairs.groupBy(*key, "box_no", "conf").agg(target.alias("target"))
-    passed = F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= F.col("target.overlap"))
-    per_iou = pointed.select(
-        *key, "box_no", "conf", F.col("target.truth_no").alias("truth_no"), F.explode(passed).alias("iou")
-    )
-    winner = F.max_by(F.struct("box_no", "conf"), F.struct(F.col("conf"), -F.col("box_no")))
-    hits = per_iou.groupBy("iou", *key, "truth_no").agg(winner.alias("hit"))
-    return hits.select("iou", *key, "truth_no", "hit.box_no", "hit.conf")
+    if min(thresholds) <= 0:
+        raise ValueError("overlap thresholds must be above zero")
+    liked = Window.partitionBy(*IMAGE_CLASS, "box_no").orderBy(F.desc("overlap"), "truth_no")
+    pairs = _candidate_pairs(predictions, truth, min(thresholds), cell)
+    ranked = cut_lineage(pairs.withColumn("choice", F.row_number().over(liked)))
+    passed = F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= F.col("overlap"))
+    made = ranked.filter("choice = 1").withColumn("iou", F.explode(passed))
+    columns = ["iou", *IMAGE_CLASS, "truth_no", "box_no", "conf", "choice"]
+    later = ranked.filter("choice > 1")
+    one, label = ["iou", *IMAGE_CLASS, "box_no"], ["iou", *IMAGE_CLASS, "truth_no"]
+    best = F.max_by(F.struct("box_no", "conf", "choice"), F.struct(F.col("conf"), -F.col("box_no"))).alias("hit")
+    kept, proposals = None, made.select(*columns)
+    while True:
+        standing = proposals if kept is None else kept.unionByName(proposals)
+        kept = cut_lineage(standing.groupBy(*label).agg(best).select(*label, "hit.*"))
+        turned_down = standing.join(kept.select(*one), one, "left_anti")
+        again = turned_down.select(*one, (F.col("choice") + 1).alias("choice"))
+        proposals = again.join(later, [*IMAGE_CLASS, "box_no", "choice"]).filter("overlap >= iou").select(*columns)
+        proposals = cut_lineage(proposals)
+        if proposals.isEmpty():
+            return kept.drop("choice")
 
 
 def pr_curve(

@@ -79,6 +79,22 @@ def labelled_boxes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def crowded_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """The boxes of four captures in one picture, pushed together, in two classes."""
+    packed = boxes(spark, folder).withColumn("box_no", (F.col("image_id") % 4 * 4 + F.col("box_no")).cast("int"))
+    packed = packed.withColumns({"image_id": F.expr("image_id div 4"), "class_id": F.col("class_id") % 2, "x1": F.col("x1") / 4})
+    return packed.withColumn("x2", F.col("x1") + BOX)
+
+
+def crowded_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second crowded box, moved sideways: predictions share their best label and have others to turn to."""
+    shift = F.pmod(F.col("x1").cast("long") * 7 + F.col("box_no") * 13, F.lit(40)).cast("double")
+    chosen = crowded_boxes(spark, folder).filter("box_no % 2 = 0")
+    return chosen.select(
+        "image_id", F.col("box_no").alias("truth_no"), "class_id", (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2"
+    )
+
+
 def identified_captures(spark: SparkSession, folder: str) -> DataFrame:
     """Captures with their identity result; the model goes with the station."""
     similarity = F.least(F.lit(0.5) + F.col("first_value") / 100, F.lit(0.99))

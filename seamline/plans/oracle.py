@@ -231,28 +231,50 @@ SHOTS = """WITH RECURSIVE shots AS (
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 )"""
 
-CURVE = f"""WITH {BOXES},{TRUTH},
+# Predictions take turns by falling confidence; each takes the label it overlaps most among those still free.
+MATCHES = f"""WITH RECURSIVE {BOXES},{TRUTH},{{crowd}}
 thresholds AS (SELECT unnest([{{thresholds}}])::DOUBLE AS iou),
 pairs AS (
   SELECT p.image_id, p.class_id, p.box_no, p.conf, t.truth_no,
          greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * 100 AS shared,
          shared / ((p.x2 - p.x1) * 100 + (t.x2 - t.x1) * 100 - shared) AS overlap
-  FROM boxes p JOIN truth t USING (image_id, class_id)
+  FROM {{boxes}} p JOIN {{truth}} t USING (image_id, class_id)
 ),
-pointed AS (
-  SELECT * FROM pairs WHERE overlap >= 0.5
-  QUALIFY row_number() OVER (PARTITION BY image_id, class_id, box_no ORDER BY overlap DESC, truth_no) = 1
+wishes AS (
+  SELECT image_id, class_id, box_no, conf, list({{{{'t': truth_no, 'o': overlap}}}} ORDER BY overlap DESC, truth_no) AS wished,
+         row_number() OVER (PARTITION BY image_id, class_id ORDER BY conf DESC, box_no) AS turn
+  FROM pairs WHERE overlap >= (SELECT min(iou) FROM thresholds) GROUP BY image_id, class_id, box_no, conf
+),
+taken(iou, image_id, class_id, turn, box_no, conf, truth_no, used) AS (
+  SELECT DISTINCT iou, image_id, class_id, 0::BIGINT, NULL::INTEGER, NULL::DOUBLE, NULL::INTEGER, []::INTEGER[] FROM wishes, thresholds
+  UNION ALL
+  SELECT iou, image_id, class_id, turn, box_no, conf, truth_no, CASE WHEN truth_no IS NULL THEN used ELSE list_append(used, truth_no) END
+  FROM (
+    SELECT t.iou, w.image_id, w.class_id, w.turn, w.box_no, w.conf, t.used,
+           list_filter(w.wished, lambda x: x.o >= t.iou AND NOT list_contains(t.used, x.t))[1].t AS truth_no
+    FROM taken t JOIN wishes w ON w.image_id = t.image_id AND w.class_id = t.class_id AND w.turn = t.turn + 1
+  )
 ),
 hits AS (
-  SELECT iou, class_id, conf FROM pointed JOIN thresholds ON iou <= overlap
-  QUALIFY row_number() OVER (PARTITION BY iou, image_id, class_id, truth_no ORDER BY conf DESC, box_no) = 1
+  SELECT iou, image_id, class_id, truth_no, box_no, conf FROM taken WHERE truth_no IS NOT NULL
+)"""
+CROWD = """
+crowd AS (
+  SELECT image_id // 4 AS image_id, CAST(image_id % 4 * 4 + box_no AS INTEGER) AS box_no, class_id % 2 AS class_id, conf,
+         x1 / 4 AS x1, y1, x1 / 4 + 100 AS x2, y2 FROM boxes
 ),
+crowd_truth AS (
+  SELECT image_id, box_no AS truth_no, class_id, x1 + (CAST(trunc(x1) AS BIGINT) * 7 + box_no * 13) % 40 AS x1, y1,
+         x2 + (CAST(trunc(x1) AS BIGINT) * 7 + box_no * 13) % 40 AS x2, y2
+  FROM crowd WHERE box_no % 2 = 0
+),"""
+CURVE_STEPS = """,
 steps AS (
   SELECT iou, class_id, conf, n, coalesce(tp, 0) AS tp
-  FROM (SELECT class_id, conf, count(*) AS n FROM boxes GROUP BY ALL) JOIN thresholds ON true
+  FROM (SELECT class_id, conf, count(*) AS n FROM {boxes} GROUP BY ALL) JOIN thresholds ON true
   LEFT JOIN (SELECT iou, class_id, conf, count(*) AS tp FROM hits GROUP BY ALL) USING (iou, class_id, conf)
 ),
-positives AS (SELECT class_id, count(*) AS positives FROM truth GROUP BY 1),
+positives AS (SELECT class_id, count(*) AS positives FROM {truth} GROUP BY 1),
 curve AS (
   SELECT iou, class_id, conf, positives,
          CAST(sum(tp) OVER w AS BIGINT) AS cum_tp, CAST(sum(n) OVER w AS BIGINT) AS cum_n
@@ -269,6 +291,14 @@ grid AS (
 average AS (
   SELECT class_id, iou, positives, sum(coalesce(best, 0)) / 101 AS ap FROM grid GROUP BY ALL
 )"""
+def matches(sql: str, thresholds: str, crowd: bool = False) -> str:
+    names = ("crowd", "crowd_truth", CROWD) if crowd else ("boxes", "truth", "")
+    for place, text in zip(("boxes", "truth", "crowd"), names, strict=True):
+        sql = sql.replace("{" + place + "}", text)
+    return sql.replace("{thresholds}", thresholds).replace("{{", "{").replace("}}", "}")
+
+
+CURVE = MATCHES + CURVE_STEPS
 TEN = ", ".join(f"{0.5 + 0.05 * i:.2f}" for i in range(10))
 
 NEAR = "abs({a}.x - {b}.x) <= 1 AND abs({a}.y - {b}.y) <= 1"
@@ -537,11 +567,13 @@ SELECT station_id, ts_us, event_id FROM fold WHERE taken""",
         FROM inspections GROUP BY 1""",
     "capture_sessions": f"""{SEQUENCES} SELECT station_id, session, count(*) AS shots, min(ts_us) AS first_us,
         max(ts_us) AS last_us FROM sequences GROUP BY 1, 2""",
-    "detection_pr_curve": CURVE.replace("{thresholds}", "0.5") + """
+    "detection_pr_curve": matches(CURVE, "0.5") + """
         SELECT iou, class_id, round(conf, 6) AS conf, cum_tp, cum_n, positives, round(cum_tp / cum_n, 6) AS precision,
         round(cum_tp / positives, 6) AS recall FROM curve""",
-    "detection_map": CURVE.replace("{thresholds}", TEN) + AP
+    "detection_map": matches(CURVE, TEN) + AP
     + " SELECT class_id, iou, positives, round(ap, 6) AS ap FROM average",
-    "detection_map_summary": CURVE.replace("{thresholds}", TEN) + AP
+    "detection_map_summary": matches(CURVE, TEN) + AP
     + " SELECT round(avg(ap) FILTER (iou = 0.5), 6) AS map50, round(avg(ap), 6) AS map50_95 FROM average",
+    "crowded_matches": matches(MATCHES, "0.2, 0.5, 0.75", True) + " SELECT * FROM hits",
+    "crowded_map": matches(CURVE, TEN, True) + AP + " SELECT class_id, iou, positives, round(ap, 6) AS ap FROM average",
 }

@@ -454,6 +454,16 @@ def detection_map_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(detections.map_summary(found))
 
 
+def crowded_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches in pictures full of boxes, where many predictions are turned down; also at a small overlap."""
+    predictions, truth = X.crowded_boxes(spark, folder), X.crowded_labels(spark, folder)
+    return detections.match_boxes(predictions, truth, [0.2, 0.5, 0.75])
+
+
+def crowded_map(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(detections.detection_map(X.crowded_boxes(spark, folder), X.crowded_labels(spark, folder)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -471,5 +481,6 @@ QUERIES = {
         heuristic_detect, frame_motion, motion_candidates, auto_capture, station_status,
         live_kpis, capture_sessions, detection_pr_curve, detection_map, detection_map_summary,
         sessions_null_station, identify_blocks, identify_sparse_models, patch_knn_blocks, unit_vectors,
+        crowded_matches, crowded_map,
     )
 }

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -202,7 +203,63 @@ def test_detection_matching(spark):
     # at 0.9: precision 0, 1/2, 2/3, 2/4
     assert average[0.9] == pytest.approx(2 / 3)
     with pytest.raises(ValueError):
-        detections.match_boxes(boxes, truth, [0.4])
+        detections.match_boxes(boxes, truth, [0.0])
+
+
+BOXES_SCHEMA = "image_id long, box_no int, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
+TRUTH_SCHEMA = "image_id long, truth_no int, class_id int, x1 double, y1 double, x2 double, y2 double"
+
+
+def plain_matches(boxes, truth, threshold):
+    """Predictions by falling confidence, each with the free label it overlaps most."""
+
+    def overlap(p, t):
+        w, h = min(p[6], t[5]) - max(p[4], t[3]), min(p[7], t[6]) - max(p[5], t[4])
+        shared = max(0, w) * max(0, h)
+        both = (p[6] - p[4]) * (p[7] - p[5]) + (t[5] - t[3]) * (t[6] - t[4]) - shared
+        return shared / both if both > 0 else 0
+
+    taken, hits = set(), set()
+    for p in sorted(boxes, key=lambda p: (-p[3], p[1])):
+        free = [(-overlap(p, t), t[1]) for t in truth if (t[0], t[2]) == (p[0], p[2]) and (*t[:3],) not in taken and overlap(p, t) >= threshold]
+        if free:
+            number = min(free)[1]
+            taken.add((p[0], number, p[2]))
+            hits.add((threshold, p[0], p[2], number, p[1]))
+    return hits
+
+
+def test_rejected_predictions_take_their_next_label(spark):
+    truth = [(1, 0, 0, 0.0, 0.0, 100.0, 100.0), (1, 1, 0, 20.0, 0.0, 120.0, 100.0), (1, 2, 0, 40.0, 0.0, 140.0, 100.0)]
+    boxes = [(1, k, 0, 0.9 - k / 10, float(k), 0.0, 100.0 + k, 100.0) for k in range(4)]
+    found = detections.match_boxes(spark.createDataFrame(boxes, BOXES_SCHEMA), spark.createDataFrame(truth, TRUTH_SCHEMA), [0.4, 0.6, 0.9])
+    hits = {(r.iou, r.box_no): r.truth_no for r in found.collect()}
+    assert hits == {(0.4, 0): 0, (0.4, 1): 1, (0.4, 2): 2, (0.6, 0): 0, (0.6, 1): 1, (0.9, 0): 0}
+
+
+def test_matching_equals_taking_turns(spark):
+    """Crowds with equal confidences and overlaps, boxes of all sizes, some far outside their picture."""
+    rng = random.Random(11)
+
+    def box(size):
+        x, y = rng.randrange(-50, 400), rng.randrange(0, 80)
+        return float(x), float(y), float(x + rng.choice(size)), float(y + rng.choice(size))
+
+    boxes = [(k % 5, k, k % 2, rng.randrange(10) / 10, *box([40, 60, 90, 500])) for k in range(160)]
+    truth = [(k % 5, k, k % 2, *box([40, 60, 90])) for k in range(110)]
+    thresholds = [0.1, 0.3, 0.5, 0.7]
+    for least in (0, 2):
+        wanted = thresholds[least:]
+        found = detections.match_boxes(spark.createDataFrame(boxes, BOXES_SCHEMA), spark.createDataFrame(truth, TRUTH_SCHEMA), wanted)
+        rows = [(r.iou, r.image_id, r.class_id, r.truth_no, r.box_no) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == set().union(*(plain_matches(boxes, truth, t) for t in wanted))
+
+
+def test_huge_boxes_are_clamped_to_their_picture(spark):
+    boxes = spark.createDataFrame([(1, 0, 0, 0.9, -1e8, -1e8, 1e8, 1e8)], BOXES_SCHEMA).selectExpr("*", "640 AS img_w", "480 AS img_h")
+    truth = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 640.0, 480.0)], TRUTH_SCHEMA)
+    assert detections._candidate_pairs(boxes, truth, 0.5, 128).collect()[0].overlap == 1.0
+    assert detections.match_boxes(boxes, truth, [0.1, 0.95]).count() == 2
 
 
 def test_capture_names(spark):
