@@ -10,6 +10,7 @@ from seamline.functions.scores import IMAGE_THRESHOLD, first_score, has_anomaly
 from seamline.functions.vectors import euclidean
 from seamline.operators.nearest import EUCLIDEAN, nearest
 from seamline.operators.ordered import block_count
+from seamline.operators.pivots import farthest_points
 from seamline.session import spread
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -19,16 +20,6 @@ BANK_NEIGHBOURS = 9
 CORESET_ROWS = 4096
 
 
-def _spread_out(vectors: np.ndarray, wanted: int) -> np.ndarray:
-    """Positions of ``wanted`` rows, each the farthest from those before; starts at row 0."""
-    picked = [0]
-    gap = np.linalg.norm(vectors - vectors[0], axis=1)
-    while len(picked) < wanted:
-        picked.append(int(gap.argmax()))
-        gap = np.minimum(gap, np.linalg.norm(vectors - vectors[picked[-1]], axis=1))
-    return np.asarray(picked)
-
-
 def coreset(
     bank: DataFrame, ratio: float = BANK_RATIO, seed: int = 42, block_rows: int = CORESET_ROWS
 ) -> DataFrame:
@@ -44,7 +35,7 @@ def coreset(
         rows = rows.sort_values("item_id", ignore_index=True)
         wanted = min(len(rows), max(1, round(ratio * len(rows))))
         vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        return rows.iloc[np.sort(_spread_out(vectors, wanted))][["item_id", "embedding"]]
+        return rows.iloc[np.sort(farthest_points(vectors, wanted)[0])][["item_id", "embedding"]]
 
     block = F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(blocks)).alias("block")
     grouped = spread(bank.select("item_id", "embedding", block), "block").groupBy("block")

@@ -22,27 +22,29 @@ BLOCK_BYTES = 64 << 20
 SLICE_CELLS = 4 << 20
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(table: pa.Table | pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    """The vectors of a block of rows; all must have ``width`` finite numbers, the first other one ends the job."""
+    column = table.column("embedding")
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
-
-
-def _checked(vectors: DataFrame, name: str, width: int) -> DataFrame:
-    """The rows, whose vectors must all have ``width`` finite numbers; the first other one ends the job."""
-    known = F.coalesce((F.size("embedding") == width) & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
-    wrong = F.concat(F.lit(f"not a vector of {width} finite numbers: {name} "), F.coalesce(F.col(name).cast("string"), F.lit("null")))
-    kind = dict(vectors.dtypes)["embedding"]
-    return vectors.withColumn("embedding", F.when(known, F.col("embedding")).otherwise(F.raise_error(wrong).cast(kind)))
+    sizes = flat.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    wrong = np.flatnonzero(sizes != width)
+    if not len(wrong):
+        values = values.reshape(len(flat), width)
+        wrong = np.flatnonzero(~np.isfinite(values).all(axis=1))
+    if len(wrong):
+        shown = table.column(name)[int(wrong[0])].as_py()
+        raise ValueError(f"not a vector of {width} finite numbers: {name} {shown}")
+    return values
 
 
 class _Items:
     """Item matrix sorted by group and id, with the row range of each group."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, width: int):
         table = table.sort_by([("grp", "ascending"), ("item_id", "ascending")])
         self.ids = table["item_id"].to_numpy()
-        self.vectors = _matrix(table["embedding"])
+        self.vectors, self.width = matrix(table, "item_id", width), width
         names = np.asarray(table["grp"].to_pylist(), dtype=object)
         firsts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
         ends = [*firsts[1:], len(names)]
@@ -64,7 +66,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 def _neighbours(queries: pa.Table, items: _Items, k: int, metric: str, same_group: bool, skip_self: bool):
     """Arrow table (query_id, grp, item_id, score) of the best ``k`` per query and group."""
-    ids, vectors = queries["query_id"].to_numpy(), _matrix(queries["embedding"])
+    ids, vectors = queries["query_id"].to_numpy(), matrix(queries, "query_id", items.width)
     own = np.asarray(queries["grp"].to_pylist(), dtype=object) if same_group else None
     out: dict[str, list] = {"query_id": [], "grp": [], "item_id": [], "score": []}
     names = list(items.ranges)
@@ -103,6 +105,20 @@ def _neighbours(queries: pa.Table, items: _Items, k: int, metric: str, same_grou
     )
 
 
+def meeting(width: int, args):
+    """What a task does with a block of queries and a block of items, as Arrow tables; see ``_neighbours``."""
+
+    def meet(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
+        if not len(left_table) or not len(right_table):
+            return pa.table({n: pa.array([], t) for n, t in zip(
+                ["query_id", "grp", "item_id", "score"],
+                [pa.int64(), pa.string(), pa.int64(), pa.float64()],
+            )})
+        return _neighbours(left_table, _Items(right_table, width), *args)
+
+    return meet
+
+
 RESULT = "query_id long, grp string, item_id long, score double"
 
 
@@ -132,13 +148,11 @@ def nearest(
     )
     size = item_rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     args, width = (k, metric, same_group, skip_self), size["d"] or 1
-    if size["n"]:
-        item_rows, query_rows = _checked(item_rows, "item_id", width), _checked(query_rows, "query_id", width)
     block_rows = block_rows or max(1, BLOCK_BYTES // (8 * width))
     if size["n"] * width * 4 <= broadcast_bytes:
-        found = _against_broadcast(query_rows, item_rows, args)
+        found = _against_broadcast(query_rows, item_rows, width, args)
     else:
-        found = _against_blocks(query_rows, item_rows, size["n"], block_rows, args)
+        found = _against_blocks(query_rows, item_rows, size["n"], width, block_rows, args)
         best = F.asc("score") if metric == EUCLIDEAN else F.desc("score")
         order = Window.partitionBy("query_id", "grp").orderBy(best, "item_id")
         found = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
@@ -146,13 +160,13 @@ def nearest(
     return found.select(*columns)
 
 
-def _against_broadcast(queries: DataFrame, items: DataFrame, args) -> DataFrame:
+def _against_broadcast(queries: DataFrame, items: DataFrame, width: int, args) -> DataFrame:
     spark = queries.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(items.toArrow())
 
     def scan(batches):
-        prepared = _Items(shared.value)
+        prepared = _Items(shared.value, width)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             yield from _neighbours(table, prepared, *args).to_batches()
@@ -168,7 +182,7 @@ def _every(blocks: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
 
 
-def _against_blocks(queries, items, item_count: int, block_rows: int, args) -> DataFrame:
+def _against_blocks(queries, items, item_count: int, width: int, block_rows: int, args) -> DataFrame:
     same_group = args[2]
     parts = F.ceil(F.count("*") / block_rows).cast("long").alias("parts")
     parts_of = items.groupBy("grp").agg(parts)
@@ -188,17 +202,9 @@ def _against_blocks(queries, items, item_count: int, block_rows: int, args) -> D
         right = placed.withColumn("slot", slot).withColumn("qpart", _every(F.lit(query_blocks)))
         key = ["qpart", "slot"]
 
-    def meet(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
-        if not len(left_table) or not len(right_table):
-            return pa.table({n: pa.array([], t) for n, t in zip(
-                ["query_id", "grp", "item_id", "score"],
-                [pa.int64(), pa.string(), pa.int64(), pa.float64()],
-            )})
-        return _neighbours(left_table, _Items(right_table), *args)
-
     columns = list(dict.fromkeys([*key, "grp", "embedding"]))
     # queries and items may come from one table: new columns keep the two sides apart
     own = [F.col(c).alias(c) for c in ("query_id", *columns)]
     left_groups = spread(left.select(*own), *key).groupBy(*key)
     right_groups = spread(right.select("item_id", *columns), *key).groupBy(*key)
-    return left_groups.cogroup(right_groups).applyInArrow(meet, RESULT)
+    return left_groups.cogroup(right_groups).applyInArrow(meeting(width, args), RESULT)

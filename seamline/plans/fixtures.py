@@ -216,6 +216,12 @@ def nominal_bank(spark: SparkSession, folder: str) -> DataFrame:
     return nominal.select(F.col("vec_id").alias("item_id"), "embedding")
 
 
+def shaped(vectors: DataFrame) -> DataFrame:
+    """Vectors whose numbers get smaller and smaller, as features do that mostly vary in a few directions."""
+    halved = F.transform("embedding", lambda x, i: (x * F.pow(F.lit(0.5), i)).cast("float"))
+    return vectors.withColumn("embedding", halved)
+
+
 def map_pixels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         image_of(rows=UNIT).alias("image_id"),

@@ -219,6 +219,8 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY distance, item_id) AS r FROM pairs
 )"""
 
+SHAPED = "list_transform(embedding, lambda x, i: (x * pow(0.5::DOUBLE, i - 1))::FLOAT)::DOUBLE[]"
+
 SCORES = """WITH scores AS (
   SELECT event_id AS image_id, event_type,
          CASE WHEN event_type IN ('signup', 'error') THEN 0.0::DOUBLE ELSE value / 100 END AS pred_score
@@ -576,4 +578,9 @@ SELECT station_id, ts_us, event_id FROM fold WHERE taken""",
     + " SELECT round(avg(ap) FILTER (iou = 0.5), 6) AS map50, round(avg(ap), 6) AS map50_95 FROM average",
     "crowded_matches": matches(MATCHES, "0.2, 0.5, 0.75", True) + " SELECT * FROM hits",
     "crowded_map": matches(CURVE, TEN, True) + AP + " SELECT class_id, iou, positives, round(ap, 6) AS ap FROM average",
+    "patch_knn_pivots": f"""{DISTANCES} SELECT patch_id AS query_id, item_id, round(distance, 6) AS distance
+        FROM ranked WHERE r <= 9""",
+    "shaped_knn_pivots": f"""{DISTANCES.replace("embedding::DOUBLE[]", SHAPED)} SELECT patch_id AS query_id, item_id,
+        round(distance, 6) AS distance FROM ranked WHERE r <= 9""",
+    "shaped_knn_work": """SELECT count(*) * count(*) FILTER (label < 8) AS pairs, true AS below_half FROM embeddings""",
 }

@@ -21,6 +21,7 @@ from seamline.operators import (
     records,
 )
 from seamline.operators.nearest import EUCLIDEAN, nearest
+from seamline.operators.pivots import Search, nearest_by_pivots
 from seamline.plans import fixtures as X
 from seamline.streaming import kpis as live
 
@@ -318,6 +319,28 @@ def patch_knn_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(found.withColumnRenamed("score", "distance"))
 
 
+def patch_knn_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows as ``patch_knn``, visiting blocks of items in the order of their pivots' bounds."""
+    queries = X.patches(spark, folder).select(F.col("patch_id").alias("query_id"), "embedding")
+    found = nearest_by_pivots(queries, X.nominal_bank(spark, folder), anomaly.BANK_NEIGHBOURS, skip_self=True, block_rows=100)
+    return _rounded(found.withColumnRenamed("score", "distance"))
+
+
+def _shaped_search(spark: SparkSession, folder: str) -> Search:
+    queries = X.shaped(X.patches(spark, folder)).select(F.col("patch_id").alias("query_id"), "embedding")
+    return Search(queries, X.shaped(X.nominal_bank(spark, folder)), anomaly.BANK_NEIGHBOURS, skip_self=True, block_rows=100)
+
+
+def shaped_knn_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_shaped_search(spark, folder).rows.withColumnRenamed("score", "distance"))
+
+
+def shaped_knn_work(spark: SparkSession, folder: str) -> DataFrame:
+    """How many pairs there are, and whether fewer than half of them were compared."""
+    search = _shaped_search(spark, folder)
+    return spark.createDataFrame([(search.pairs, 2 * search.compared < search.pairs)], "pairs long, below_half boolean")
+
+
 def image_anomaly_score(spark: SparkSession, folder: str) -> DataFrame:
     found = anomaly.image_scores(X.patches(spark, folder), X.nominal_bank(spark, folder), skip_self=True)
     return _rounded(found)
@@ -481,6 +504,6 @@ QUERIES = {
         heuristic_detect, frame_motion, motion_candidates, auto_capture, station_status,
         live_kpis, capture_sessions, detection_pr_curve, detection_map, detection_map_summary,
         sessions_null_station, identify_blocks, identify_sparse_models, patch_knn_blocks, unit_vectors,
-        crowded_matches, crowded_map,
+        crowded_matches, crowded_map, patch_knn_pivots, shaped_knn_pivots, shaped_knn_work,
     )
 }
