@@ -15,6 +15,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from seamline.llm.texts import encoded, pieces, ragged
 
 #: White space of the rank files' own library; Python's also has four control characters.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Distinct pre-tokens a task remembers, and cells of the trees merged at once.
-REMEMBERED, CELLS = 200_000, 1 << 19
+#: Distinct pre-tokens a task remembers and their characters together, and cells of the trees merged at once.
+REMEMBERED, CHARACTERS, CELLS = 200_000, 1 << 22, 1 << 19
 #: Fewer sequences than this are merged one after the other: array steps would cost more than the work in them.
 FEW = 24
 _NEVER = np.int64(1) << np.int64(60)
@@ -53,6 +54,12 @@ class Ranks:
         self._keys = np.array([a for a, _ in found] or [0], np.int64)
         self._joined = np.array([b for _, b in found] or [_NEVER], np.int64)
         self._bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        # all strings of the vocabulary in one array, by rank; ranks that are not used have a negative size
+        last = max(self.ranks.values(), default=-1)
+        self._sizes = np.full(last + 1, -1, np.int64)
+        self._sizes[list(self.strings)] = [len(text) for text in self.strings.values()]
+        self._places = np.cumsum(np.maximum(self._sizes, 0)) - np.maximum(self._sizes, 0)
+        self._letters = np.frombuffer(b"".join(self.strings[rank] for rank in sorted(self.strings)), np.uint8)
         self.pattern = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -84,6 +91,18 @@ class Ranks:
         starts = np.cumsum(sizes) - sizes
         return np.concatenate(flats)[ragged(starts[order], sizes[order])], sizes[order]
 
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """The bytes of runs of ``ids`` that begin at ``starts`` (with the end as its last)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._sizes) or self._sizes[ids].min() < 0):
+            raise ValueError("an id that is not in the vocabulary")
+        ends = np.concatenate(([0], np.cumsum(self._sizes[ids])))
+        parts = []
+        for at in range(0, len(ids), CELLS):
+            part = ids[at : at + CELLS]
+            parts.append(self._letters[ragged(self._places[part], self._sizes[part])].tobytes())
+        offsets = ends[starts].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(parts))])
+
     def _merged(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         count = len(words)
         lengths = np.fromiter(map(len, words), np.int64, count)
@@ -198,10 +217,11 @@ class Encoder:
 
     def _reset(self) -> None:
         self.numbers, self.ids, self.starts = _Numbered(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.characters = 0
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin."""
-        if len(self.numbers) > REMEMBERED:
+        if len(self.numbers) > REMEMBERED or self.characters > CHARACTERS:
             self._reset()
         known = len(self.numbers)
         words = [self.ranks.pattern.findall(text) for text in texts]
@@ -209,6 +229,7 @@ class Encoder:
         codes = np.fromiter(map(find, chain.from_iterable(words)), np.int64)
         new = list(islice(self.numbers, known, None))
         if new:
+            self.characters += sum(map(len, new))
             found, sizes = self.ranks.encode([encoded(word) for word in new])
             self.ids = np.concatenate([self.ids, found.astype(np.int32)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
@@ -218,47 +239,52 @@ class Encoder:
         return flat, counts[np.concatenate(([0], np.cumsum(list(map(len, words)))))]
 
 
-def _encoded(ranks, pattern: str):
+def _encoded(ranks, pattern: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(loaded(ranks.value, pattern))
+        coder = loaded(ranks.value, pattern)
+        encoder = Encoder(coder)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.names.index("text")).to_pylist()]
+            column = batch.column(batch.schema.names.index("text"))
+            sizes = pc.binary_length(column).fill_null(0).to_pylist()
             at = 0
-            for part in pieces(texts, list(map(len, texts))) if texts else ():
-                ids, starts = encoder(part)
+            for part in pieces(sizes, sizes) if sizes else ():
                 rows = batch.slice(at, len(part))
+                ids, starts = encoder([t or "" for t in column.slice(at, len(part)).to_pylist()])
                 at += len(part)
-                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([*rows.columns, lists], names=[*batch.schema.names, "ids"])
+                new = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))]
+                if decoded:
+                    new.append(coder.decode(ids, starts))
+                yield pa.record_batch([*rows.columns, *new], names=[*batch.schema.names, "ids", "decoded"][: len(rows.columns) + len(new)])
 
     return run
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, decoded: bool = False) -> DataFrame:
     """``docs`` with a column ``ids`` array<int>: the BPE ids of each whole ``text``, without special tokens.
 
-    A null or empty text has an empty list. A column named ids is replaced; every other column, rows with null
+    With ``decoded`` a column of that name has the bytes that the ids stand for, made in the same pass. A null or
+    empty text has an empty list. A column named ids (or decoded) is replaced; every other column, rows with null
     or repeated ids included, is passed on. Special strings in a text are ordinary text. An empty table gives
     an empty result.
     """
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *["decoded"] * decoded)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encoded(sent, pattern), schema)
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.BinaryType())] * decoded]
+    return docs.mapInArrow(_encoded(sent, pattern, decoded), T.StructType([*docs.schema.fields, *added]))
 
 
 def _decoded(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = loaded(ranks.value, pattern).strings.__getitem__
+        coder = loaded(ranks.value, pattern)
         for batch in batches:
-            place = batch.schema.names.index("ids")
-            sizes = batch.column(place).value_lengths().fill_null(0).to_pylist()
+            lists = batch.column(batch.schema.names.index("ids"))
+            sizes = lists.value_lengths().fill_null(0).to_pylist()
             at = 0
             for part in pieces(sizes, sizes, 1 << 18) if sizes else ():
-                rows = batch.slice(at, len(part))
+                rows, some = batch.slice(at, len(part)), lists.slice(at, len(part))
                 at += len(part)
-                texts = [None if ids is None else b"".join(map(find, ids)) for ids in rows.column(place).to_pylist()]
-                yield pa.record_batch([*rows.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+                texts = coder.decode(some.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(part))))
+                yield pa.record_batch([*rows.columns, pc.if_else(some.is_valid(), texts, None)], names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -277,3 +303,9 @@ def decode(coded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 def id_digest(column: str = "ids"):
     """Lowercase hex SHA-256 of the decimal ids joined by commas."""
     return F.sha2(F.concat_ws(",", F.col(column).cast("array<string>")).cast("binary"), 256)
+
+
+def digested(coded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of documents with ``ids`` and ``decoded``."""
+    counted = F.size("ids").cast("long").alias("n_tokens")
+    return coded.select("doc_id", counted, id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -18,6 +18,7 @@ from seamline.llm.ngram_join import ngram_components
 from seamline.llm.simhash import simhash_components
 from seamline.llm.texts import held_out
 from seamline.llm.token_counts import count_tokens
+from seamline.session import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,14 +100,8 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(coded.drop("text"), ranks, public_tokenizers.PATTERN)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        byte_bpe.id_digest().alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return byte_bpe.digested(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True))
 
 
 def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,8 +118,18 @@ def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def _bounded(query: Query) -> Query:
+    """Batches sent to Python are bounded by bytes: a row is a whole text."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, folder)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    query.__name__: query
+    query.__name__: _bounded(query)
     for query in (
         op1_quality, op2_ngram_join, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_token_counts,
         op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe, op11_fill_middle, op12_simhash, op13_resampling,

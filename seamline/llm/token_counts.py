@@ -24,6 +24,8 @@ from seamline.llm.texts import encoded, pieces
 
 #: What the model writes for a space, and distinct pre-tokens a task remembers.
 MARK, REMEMBERED = "\N{LOWER ONE EIGHTH BLOCK}", 400_000
+#: Characters of the pre-tokens that are remembered.
+CHARACTERS = 1 << 23
 #: Sequences of more symbols are merged one pair at a time, from a heap: a round over them costs their length.
 LONG = 1_000
 _NEVER = np.int64(1) << np.int64(60)
@@ -167,16 +169,17 @@ class Counter:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.numbers, self.sizes = _Numbered(), np.zeros(0, np.int64)
+        self.numbers, self.sizes, self.characters = _Numbered(), np.zeros(0, np.int64), 0
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        if len(self.numbers) > REMEMBERED:
-            self.numbers, self.sizes = _Numbered(), np.zeros(0, np.int64)
+        if len(self.numbers) > REMEMBERED or self.characters > CHARACTERS:
+            self.numbers, self.sizes, self.characters = _Numbered(), np.zeros(0, np.int64), 0
         known = len(self.numbers)
         words = [self.model.pretokens.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
         codes = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64)
         new = list(islice(self.numbers, known, None))
         if new:
+            self.characters += sum(map(len, new))
             self.sizes = np.concatenate([self.sizes, self.model.counts(new)])
         sums = np.concatenate(([0], np.cumsum(self.sizes[codes])))
         ends = np.cumsum([len(found) for found in words])
