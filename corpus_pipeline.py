@@ -17,7 +17,7 @@ from seamline.llm import byte_bpe, toxicity
 from seamline.llm.decontaminate import drop_contaminated
 from seamline.llm.line_dedup import dedup_lines
 from seamline.llm.ngram_join import first_of_components
-from seamline.session import shared_folder, ship_package
+from seamline.session import bound_batches, shared_folder, ship_package
 
 #: Documents that score as high are dropped.
 TOXIC = 0.5
@@ -50,19 +50,14 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(coded.drop("text"), ranks, public_tokenizers.PATTERN)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        byte_bpe.id_digest().alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    coded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return byte_bpe.digested(coded)
 
 
 def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        bound_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -80,11 +75,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a stage that the next stage no longer needs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            _removed(spark, last)
+        last = path
     return docs
