@@ -3,24 +3,30 @@
 The rule is a fold over the frames of a station. ``auto_captures`` evaluates it for stored frames in
 parallel, inside a station too: after a capture at frame i the next one is the first moving frame at
 least two frames and one cooldown later, whatever happened before i. So each run of frames can be
-solved for every moving frame it may be entered at, the runs of a station are then linked through
-these few entries, and a last pass lists the captures of each run.
+solved for every moving frame it may be entered at. The entries of neighbouring runs are put together, some at a
+time, up a tree, the captures before each run follow from them down the same tree, and a last pass lists the
+captures of each run. No step sees more than a run, or the few entries of some of them.
+
+``stored_outcomes`` evaluates the whole rule (stabilisation, failed reads, problems) over stored frames: every run is
+folded from a guessed state, and folded again while the state that the run before it ends in is another one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seamline.operators.capture_rule import CAPTURED, COOLDOWN_US, CaptureRule, StationState
 from seamline.operators.ordered import RUN, join_on, ordered_runs, with_history
-from seamline.session import cut_lineage, spread
+from seamline.session import cut_lineage, shuffle_partitions, spread
 
-# --- fixed values -----------------------------------------------------------------------------
-COOLDOWN_US, STABILISATION_US = 4_000_000, 600_000
-# --- end of fixed values ----------------------------------------------------------------------
+#: Runs, or groups of runs, that are put together in one step.
+FAN = 8
 
 
 def motion_candidates(
@@ -51,6 +57,21 @@ def _following(ts: np.ndarray, position: np.ndarray, at_ts, at_position, cooldow
     )
 
 
+ENTRY = ["entry_ts", "entry_position", "leave_ts", "leave_position"]
+
+
+def _borders(run: np.ndarray) -> list[int]:
+    return [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+
+
+def _reachable(ts: np.ndarray, position: np.ndarray, leave: np.ndarray, cooldown: int) -> np.ndarray:
+    """Entries to keep. Earlier runs end before row 0, so they lead no further than to what follows it; of entries
+    that leave by the same row only the latest is kept."""
+    reach = min(len(ts), int(_following(ts, position, ts[0], position[0], cooldown)) + 1)
+    leave = leave[:reach]
+    return np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
+
+
 def auto_captures(
     frames: DataFrame,
     station: str,
@@ -76,11 +97,8 @@ def auto_captures(
             inner = jump < count
             last[inner] = last[jump[inner]]
             jump[inner] = jump[jump[inner]]
-        # an earlier run ends before row 0, so it cannot lead past this row
-        reach = min(count, int(_following(ts, position, ts[0], position[0], cooldown_us)) + 1)
-        leave = last[:reach]
-        # entries leaving by the same row are one: keep the latest of them
-        kept = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
+        leave = last[:-1]
+        kept = _reachable(ts, position, leave, cooldown_us)
         return pd.DataFrame(
             {
                 station: rows[station].iloc[0],
@@ -92,11 +110,29 @@ def auto_captures(
             }
         )
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
+    def compose(rows: pd.DataFrame) -> pd.DataFrame:
+        """The entries of several neighbouring parts, as entries of the whole they make."""
+        rows = rows.sort_values([RUN, "entry_position"], ignore_index=True)
+        ts, position, leave_ts, leave_position = (rows[c].to_numpy().copy() for c in ENTRY)
+        borders = _borders(rows[RUN].to_numpy())
+        for start, end in reversed(list(zip(borders, borders[1:]))):
+            # who leaves this part may enter a later one
+            after = end + _following(ts[end:], position[end:], leave_ts[start:end], leave_position[start:end], cooldown_us)
+            on = after < len(rows)
+            leave_ts[start:end][on], leave_position[start:end][on] = leave_ts[after[on]], leave_position[after[on]]
+        kept = _reachable(ts, position, leave_position, cooldown_us)
+        return pd.DataFrame({station: rows[station].iloc[0], RUN: rows[RUN].iloc[0] // FAN, **{
+            name: values[kept] for name, values in zip(ENTRY, (ts, position, leave_ts, leave_position))
+        }})
+
+    def link(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        """The last capture before each of several neighbouring parts, from the one before the first of them."""
         rows = rows.sort_values([RUN, "entry_position"], ignore_index=True)
         run, ts, position = (rows[c].to_numpy() for c in (RUN, "entry_ts", "entry_position"))
-        borders = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1), len(rows)]
+        borders = _borders(run)
         out, at = [], None
+        if len(before) and not pd.isna(before["at_ts"].iloc[0]):
+            at = (int(before["at_ts"].iloc[0]), int(before["at_position"].iloc[0]))
         for start, end in zip(borders, borders[1:]):
             out.append((rows[station].iloc[0], run[start], *(at or (None, None))))
             row = start
@@ -126,8 +162,18 @@ def auto_captures(
     # a station within one run needs no linking
     several = moving.groupBy(station).agg(F.count_distinct(RUN).alias("_runs")).filter("_runs > 1")
     split = spread(join_on(moving, several.select(station), [station]), station, RUN)
-    borders = split.groupBy(station, RUN).applyInPandas(entries, entry_schema)
-    linked = borders.groupBy(station).applyInPandas(link, f"{key}, {RUN} int, at_ts long, at_position long")
+    levels = [cut_lineage(split.groupBy(station, RUN).applyInPandas(entries, entry_schema))]
+    count = runs or shuffle_partitions(frames.sparkSession)
+    while count > FAN:
+        count = -(-count // FAN)
+        part = F.floor(F.col(RUN) / FAN).alias("_part")
+        levels.append(cut_lineage(levels[-1].groupBy(station, part).applyInPandas(compose, entry_schema)))
+    # back down: the parts of one whole start from what comes before it
+    linked = levels[0].select(station, RUN, F.lit(None).cast("long").alias("at_ts"), F.lit(None).cast("long").alias("at_position")).limit(0)
+    for level in reversed(levels):
+        parts = level.withColumn("_part", F.floor(F.col(RUN) / FAN).cast("int")).groupBy(station, "_part")
+        whole = linked.withColumn("_part", F.col(RUN)).groupBy(station, "_part")
+        linked = parts.cogroup(whole).applyInPandas(link, f"{key}, {RUN} int, at_ts long, at_position long")
     started = spread(linked, station, RUN).groupBy(station, RUN)
     result = f"{key}, {ts_us} long, {unique} {dtype[unique]}"
     return pieces.groupBy(station, RUN).cogroup(started).applyInPandas(walk, result)
@@ -137,3 +183,83 @@ def station_status(events: DataFrame, station: str, order: list[str], columns: l
     """Newest row of each station."""
     newest = F.max_by(F.struct(*columns), F.struct(*order)).alias("newest")
     return events.groupBy(station).agg(newest).select(station, "newest.*")
+
+
+#: What a run hands on to the next; the error a station shows is left to whoever reads the outcomes in order.
+CARRIED = "baseline binary, last_us long, pending_us long, pending binary"
+
+
+def stored_outcomes(
+    frames: DataFrame, station: str, ts_us: str, unique: str, rule: CaptureRule, runs: int | None = None
+) -> DataFrame:
+    """(station, ts_us, unique, outcome, trigger_us) of the frames that the rule captures or that fail under it.
+
+    ``frames``: station, ts_us, unique, readable, signal (binary), error. Outcomes are those of ``capture_rule``: a
+    frame is captured, unreadable, a failed_read (when the scene should be stable) or a problem. ``trigger_us`` is
+    the time of the frame that moved, for captures and failed reads. Frames of one time follow by ``unique``.
+    A null station is a station of its own.
+
+    A run far longer than the cooldown forgets how it was entered, so two or three rounds are usual; a round folds
+    only runs that are entered in another state than before. Runs shorter than the cooldown pass their state on one
+    run a round, at most as many rounds as a station has runs: give fewer ``runs`` then.
+    """
+    kinds, keys = dict(frames.dtypes), [station, RUN]
+    columns = [station, ts_us, unique, "readable", "signal", "error"]
+    ordered = ordered_runs(frames.select(*columns), [station], [ts_us, unique], runs)
+    state = [part.split()[0] for part in CARRIED.split(", ")]
+
+    def folded(rows: pd.DataFrame, before: pd.DataFrame) -> tuple[StationState, list]:
+        now = StationState()
+        if len(before):
+            known = before.iloc[0]
+            for name in state:
+                value = known[name]
+                if isinstance(value, (bytes, bytearray)):
+                    setattr(now, name, bytes(value))
+                elif not pd.isna(value):
+                    setattr(now, name, int(value))
+        found = []
+        for row in rows.sort_values([ts_us, unique]).itertuples(index=False):
+            at, name, signal = int(getattr(row, ts_us)), getattr(row, unique), row.signal
+            trigger, now.seen_us = now.pending_us, None
+            outcome = rule.advance(now, at, bool(row.readable), None if signal is None else bytes(signal), row.error)
+            if outcome:
+                found.append((at, name, outcome, trigger if trigger is not None else at if outcome == CAPTURED else None))
+        if len(rows) and now.last_us is not None and int(rows[ts_us].max()) - now.last_us >= rule.cooldown_us:
+            now.last_us = None  # rested, whatever comes
+        return now, found
+
+    def leave(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame([], columns=[*keys, *state])
+        now = folded(rows, before)[0]
+        out = pd.DataFrame([(rows[station].iloc[0], rows[RUN].iloc[0], *[getattr(now, name) for name in state])], columns=[*keys, *state])
+        return out.astype({"last_us": "Int64", "pending_us": "Int64"})
+
+    def report(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        found = [(rows[station].iloc[0], *row) for row in folded(rows, before)[1]] if len(rows) else []
+        return pd.DataFrame(found, columns=[station, ts_us, unique, "outcome", "trigger_us"]).astype({"trigger_us": "Int64"})
+
+    def with_entries(rows: DataFrame, entered: DataFrame):
+        return spread(rows, *keys).groupBy(*keys).cogroup(spread(entered, *keys).groupBy(*keys))
+
+    carried = f"{station} {kinds[station]}, {RUN} int, {CARRIED}"
+    earlier = Window.partitionBy(station).orderBy(RUN)  # a row for each run of a station
+    exits = cut_lineage(with_entries(ordered, ordered.select(*keys).limit(0)).applyInPandas(leave, carried))
+    entered = None
+    while True:
+        now = exits.select(*keys, *[F.lag(name).over(earlier).alias(name) for name in state])
+        other = reduce(or_, [~F.col(name).eqNullSafe(F.col("_was_" + name)) for name in state])
+        if entered is None:
+            changed = now.where(reduce(or_, [F.col(name).isNotNull() for name in state]))
+        else:
+            was = entered.withColumnsRenamed({name: "_was_" + name for name in state})
+            changed = join_on(now, was, keys).where(other).select(*now.columns)
+        entered, changed = cut_lineage(now), cut_lineage(changed)
+        if changed.isEmpty():
+            break
+        again = with_entries(join_on(ordered, changed.select(*keys), keys), changed).applyInPandas(leave, carried)
+        kept = exits.join(changed.select(*[F.col(k).alias("_c" + k) for k in keys]), reduce(and_, [F.col(k).eqNullSafe(F.col("_c" + k)) for k in keys]), "left_anti")
+        exits = cut_lineage(kept.unionByName(again))
+    result = f"{station} {kinds[station]}, {ts_us} long, {unique} {kinds[unique]}, outcome string, trigger_us long"
+    return with_entries(ordered, entered).applyInPandas(report, result)

@@ -188,6 +188,50 @@ def shots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors are frames that cannot be read, sign-ups readable ones without a picture."""
+    events = table(spark, folder, "events")
+    readable = F.col("event_type") != "error"
+    return events.select(
+        F.col("user_id").alias("station_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        "event_id",
+        readable.alias("readable"),
+        F.when(readable & (F.col("event_type") != "signup"), F.col("value").cast("string").cast("binary")).alias("signal"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+def arriving_frames(spark: SparkSession, folder: str, at: str, delay_us: int, slices: int = 4) -> str:
+    """Shots as frames in files under ``at``, in the order in which they arrive: each up to ``delay_us`` after its time.
+
+    Two last files hold one row each that only tells the time, so that a stream releases every frame before it.
+    """
+    rows = shots(spark, folder).select(
+        "station_id",
+        F.col("event_id").alias("frame_seq"),
+        F.timestamp_micros("ts_us").alias("ts"),
+        F.lit(True).alias("readable"),
+        F.col("value").cast("string").cast("binary").alias("signal"),
+        F.lit(None).cast("string").alias("error"),
+        (F.col("ts_us") + F.pmod(F.xxhash64("event_id"), F.lit(delay_us))).alias("arrival"),
+    )
+    ends = rows.agg(F.min("arrival").alias("a"), F.max("arrival").alias("b")).first()
+    if ends["a"] is None:
+        return at
+    part = F.floor((F.col("arrival") - ends["a"]) * slices / (ends["b"] - ends["a"] + 1))
+    for number in range(slices):
+        rows.where(part == number).drop("arrival").write.mode("append").parquet(at)
+    for later in (1, 2):
+        clock = spark.range(1).select(
+            F.lit(-1).cast("long").alias("station_id"), F.lit(None).cast("long").alias("frame_seq"),
+            F.timestamp_micros(F.lit(ends["b"] + later * (delay_us + 86_400_000_000))).alias("ts"),
+            F.lit(False).alias("readable"), F.lit(None).cast("binary").alias("signal"), F.lit(None).cast("string").alias("error"),
+        )
+        clock.write.mode("append").parquet(at)
+    return at
+
+
 def gallery(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("item_id"),

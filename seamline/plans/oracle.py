@@ -233,6 +233,34 @@ SHOTS = """WITH RECURSIVE shots AS (
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 )"""
 
+OUTCOMES = f"""WITH RECURSIVE frames AS (
+  SELECT event_id, user_id AS station_id, epoch_us(ts) AS ts_us, event_type <> 'error' AS readable,
+         CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS value,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events
+),
+fold AS (
+  SELECT DISTINCT station_id, 0::BIGINT AS position, NULL::BIGINT AS event_id, NULL::BIGINT AS ts_us, NULL::DOUBLE AS baseline,
+         NULL::BIGINT AS last_us, NULL::BIGINT AS pending_us, NULL::DOUBLE AS pending, NULL::VARCHAR AS outcome, NULL::BIGINT AS trigger_us
+  FROM frames
+  UNION ALL
+  SELECT station_id, position, event_id, ts_us,
+         CASE kind WHEN 'captured' THEN NULL WHEN 'failed_read' THEN pending WHEN 'still' THEN value ELSE baseline END,
+         CASE kind WHEN 'captured' THEN ts_us ELSE last_us END,
+         CASE kind WHEN 'captured' THEN NULL WHEN 'failed_read' THEN NULL WHEN 'moved' THEN ts_us ELSE pending_us END,
+         CASE kind WHEN 'captured' THEN NULL WHEN 'failed_read' THEN NULL WHEN 'moved' THEN value ELSE pending END,
+         CASE WHEN kind IN ('captured', 'failed_read', 'unreadable', 'problem') THEN kind END,
+         CASE WHEN kind IN ('captured', 'failed_read') THEN pending_us END
+  FROM (
+    SELECT f.station_id, s.position, s.event_id, s.ts_us, s.value, f.baseline, f.last_us, f.pending_us, f.pending,
+           CASE WHEN f.pending_us IS NOT NULL THEN
+                  CASE WHEN s.ts_us < f.pending_us + 3600000000 THEN 'waits' WHEN s.readable THEN 'captured' ELSE 'failed_read' END
+                WHEN NOT s.readable THEN 'unreadable' WHEN s.value IS NULL THEN 'problem' WHEN f.baseline IS NULL THEN 'still'
+                WHEN abs(s.value - f.baseline) > 40 AND (f.last_us IS NULL OR s.ts_us - f.last_us >= {GAP}) THEN 'moved'
+                ELSE 'still' END AS kind
+    FROM fold f JOIN frames s ON s.station_id = f.station_id AND s.position = f.position + 1
+  )
+)"""
+
 # Predictions take turns by falling confidence; each takes the label it overlaps most among those still free.
 MATCHES = f"""WITH RECURSIVE {BOXES},{TRUTH},{{crowd}}
 thresholds AS (SELECT unnest([{{thresholds}}])::DOUBLE AS iou),
@@ -583,4 +611,8 @@ SELECT station_id, ts_us, event_id FROM fold WHERE taken""",
     "shaped_knn_pivots": f"""{DISTANCES.replace("embedding::DOUBLE[]", SHAPED)} SELECT patch_id AS query_id, item_id,
         round(distance, 6) AS distance FROM ranked WHERE r <= 9""",
     "shaped_knn_work": """SELECT count(*) * count(*) FILTER (label < 8) AS pairs, true AS below_half FROM embeddings""",
+    "stabilised_capture": f"{OUTCOMES} SELECT station_id, event_id, ts_us, trigger_us FROM fold WHERE outcome = 'captured'",
+    "capture_failures": f"""{OUTCOMES} SELECT station_id, event_id, ts_us, outcome, trigger_us FROM fold
+        WHERE outcome <> 'captured'""",
 }
+SQL["late_frames"] = SQL["auto_capture"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.functions.geometry import normalised_box
@@ -22,12 +24,16 @@ from seamline.operators import (
 )
 from seamline.operators.nearest import EUCLIDEAN, nearest
 from seamline.operators.pivots import Search, nearest_by_pivots
+from seamline.operators.capture_rule import CaptureRule
 from seamline.plans import fixtures as X
+from seamline.session import DEFAULT_CONF, shared_folder
+from seamline.streaming import capture as live_capture
 from seamline.streaming import kpis as live
 
 OPEN = {"percentile": 0.50, "margin": 0.0, "low": 0.10, "high": 0.90}
 GAP_US = 6 * 3600 * 1_000_000
 COOLDOWN_US = 6 * 3600 * 1_000_000
+STABILISATION_US, LATE_US = 3600 * 1_000_000, 6 * 3600 * 1_000_000
 MOTION = 40.0
 SHOWN = ["id", "code", "created_at", "garment_type", "status", "defect_type", "confidence", "zone"]
 
@@ -440,6 +446,41 @@ def auto_capture(spark: SparkSession, folder: str) -> DataFrame:
     return capture.auto_captures(shots, "station_id", "ts_us", "event_id", "value", _moved, COOLDOWN_US)
 
 
+def _value_moved(before: bytes, after: bytes) -> bool:
+    return abs(float(after) - float(before)) > MOTION
+
+
+def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    rule = CaptureRule(_value_moved, COOLDOWN_US, STABILISATION_US)
+    return capture.stored_outcomes(X.stored_frames(spark, folder), "station_id", "ts_us", "event_id", rule)
+
+
+def stabilised_capture(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures of the whole rule: a frame that moves, then the first one after the scene has come to rest."""
+    return _outcomes(spark, folder).where("outcome = 'captured'").select("station_id", "event_id", "ts_us", "trigger_us")
+
+
+def capture_failures(spark: SparkSession, folder: str) -> DataFrame:
+    return _outcomes(spark, folder).where("outcome <> 'captured'").select("station_id", "event_id", "ts_us", "outcome", "trigger_us")
+
+
+def late_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """The captures of ``auto_capture``, from a stream in which every frame arrives up to six hours late."""
+    at = f"{shared_folder(spark)}/late-frames-{uuid.uuid4().hex}"
+    X.arriving_frames(spark, folder, f"{at}/in", LATE_US)
+    rocks = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(rocks, None) or ""):
+        spark.conf.set(rocks, DEFAULT_CONF[rocks])
+    kinds = "station_id long, frame_seq long, ts timestamp, readable boolean, signal binary, error string"
+    frames = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 8).parquet(f"{at}/in")
+    rule = CaptureRule(_value_moved, COOLDOWN_US, None)
+    captures = live_capture.capture_stream(frames, rule, f"{LATE_US} microseconds", ordered=True)
+    writer = captures.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("station_id long, frame_seq long, ts timestamp").parquet(f"{at}/out")
+    return found.select("station_id", F.unix_micros("ts").alias("ts_us"), F.col("frame_seq").alias("event_id"))
+
+
 def station_status(spark: SparkSession, folder: str) -> DataFrame:
     keep = ("captured_at", "station_id")
     rows = detections.verdict_from_boxes(X.captures(spark, folder), X.boxes(spark, folder), keep=keep)
@@ -505,5 +546,6 @@ QUERIES = {
         live_kpis, capture_sessions, detection_pr_curve, detection_map, detection_map_summary,
         sessions_null_station, identify_blocks, identify_sparse_models, patch_knn_blocks, unit_vectors,
         crowded_matches, crowded_map, patch_knn_pivots, shaped_knn_pivots, shaped_knn_work,
+        late_frames, stabilised_capture, capture_failures,
     )
 }

@@ -2,88 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from typing import Any
+from collections.abc import Iterable, Iterator
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from seamline import schema as S
-from seamline.operators.capture import COOLDOWN_US, STABILISATION_US
-from seamline.operators.images import MOTION_PIXELS, changed_pixels
+from seamline.operators.capture_rule import CaptureRule, StationState
 
 STATE = "baseline binary, last_us long, pending_us long, pending binary, seen_us long, error string"
+FRAME = "ts_us long, frame_seq long, ts timestamp, readable boolean, signal binary, error string"
 OUTPUT = "station_id long, frame_seq long, ts timestamp, trigger_us long, error string"
 
 
-def pixel_motion(before: bytes, after: bytes) -> bool:
-    return changed_pixels(before, after) > MOTION_PIXELS
-
-
-@dataclass
-class StationState:
-    """What a station remembers between frames; the order is that of ``STATE``."""
-
-    baseline: Any = None
-    last_us: int | None = None
-    pending_us: int | None = None
-    pending: Any = None
-    seen_us: int | None = None
-    error: str | None = None
-
-
-@dataclass(frozen=True)
-class CaptureRule:
-    """Cooldown, stabilisation (None: the moving frame itself is taken) and the motion test."""
-
-    moved: Callable[[Any, Any], bool] = pixel_motion
-    cooldown_us: int = COOLDOWN_US
-    stabilisation_us: int | None = STABILISATION_US
-
-    def step(self, state: StationState, ts_us: int, readable: bool, signal: Any, problem: str | None = None) -> bool:
-        """Advance by one frame; true when this frame is captured."""
-        if state.seen_us is not None and ts_us <= state.seen_us:
-            return False
-        state.seen_us = ts_us
-        if state.pending_us is not None:
-            return self._stable(state, ts_us, readable)
-        if not readable or signal is None:
-            state.error = (problem or S.CAMERA_ERROR) if readable else S.CAMERA_ERROR
-            return False
-        if state.baseline is None:
-            state.baseline = signal
-            return False
-        try:
-            moving = self.moved(state.baseline, signal)
-        except ValueError as failure:
-            state.error = str(failure)
-            return False
-        rested = state.last_us is None or ts_us - state.last_us >= self.cooldown_us
-        if not (moving and rested):
-            state.baseline = signal
-            return False
-        if self.stabilisation_us is None:
-            return self._take(state, ts_us)
-        state.pending_us, state.pending = ts_us, signal
-        return False
-
-    def _stable(self, state: StationState, ts_us: int, readable: bool) -> bool:
-        if ts_us < state.pending_us + self.stabilisation_us:
-            return False
-        signal, state.pending_us, state.pending = state.pending, None, None
-        if readable:
-            return self._take(state, ts_us)
-        state.baseline = signal
-        return False
-
-    @staticmethod
-    def _take(state: StationState, ts_us: int) -> bool:
-        state.baseline, state.error, state.last_us = None, None, ts_us
-        return True
-
-
 class MotionCapture(StatefulProcessor):
     """One state row per station; frames of a micro-batch are put in time order first."""
 
@@ -94,35 +26,102 @@ class MotionCapture(StatefulProcessor):
         self.state = handle.getValueState("station", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "frame_seq"])
+        frames = pd.concat(list(rows), ignore_index=True)
+        yield self.captured(key, frames.sort_values(["ts_us", "frame_seq"]).itertuples(index=False))
+
+    def captured(self, key, frames: Iterable, ordered: bool = False) -> pd.DataFrame:
+        """Captures among frames in time order; with ``ordered`` none of them is late, whatever its time."""
         state = StationState(*self.state.get()) if self.state.exists() else StationState()
         captures = []
-        for frame in frames.itertuples(index=False):
+        for frame in frames:
             trigger = state.pending_us
             signal = None if frame.signal is None else bytes(frame.signal)
+            if ordered:
+                state.seen_us = None
             if self.rule.step(state, int(frame.ts_us), bool(frame.readable), signal, frame.error):
-                captures.append((key[0], frame.frame_seq, frame.ts, trigger or frame.ts_us, state.error))
+                at = frame.ts_us if trigger is None else trigger
+                captures.append((key[0], frame.frame_seq, frame.ts, at, state.error))
         self.state.update(tuple(vars(state).values()))
-        yield pd.DataFrame(captures, columns=["station_id", "frame_seq", "ts", "trigger_us", "error"])
+        return pd.DataFrame(captures, columns=["station_id", "frame_seq", "ts", "trigger_us", "error"])
 
     def close(self) -> None:
         pass
 
 
+class OrderedCapture(MotionCapture):
+    """Frames wait in a list until the watermark has passed them, and are then taken in time order.
+
+    A timer stands at the earliest waiting frame of a station; the list holds what arrives within the lateness.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", FRAME)
+
+    def _await(self, ts_us: int) -> None:
+        self.handle.registerTimer(-(-ts_us // 1000) + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frames in rows:
+            frames = frames[frames["frame_seq"].notna()]  # a row without a number only tells the time
+            if len(frames):
+                kept = [
+                    (int(f.ts_us), int(f.frame_seq), f.ts.to_pydatetime(), bool(f.readable), None if f.signal is None else bytes(f.signal), f.error)
+                    for f in frames.itertuples(index=False)
+                ]
+                self.waiting.appendList(kept)
+                earliest = min(frame[0] for frame in kept)
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self._await(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        frames = [WaitingFrame(*frame) for frame in self.waiting.get()]
+        # a frame that was delivered again counts once
+        ready = {(frame.ts_us, frame.frame_seq): frame for frame in frames if frame.ts_us <= passed}
+        later = [frame for frame in frames if frame.ts_us > passed]
+        if not ready:
+            return
+        self.waiting.clear()
+        if later:
+            self.waiting.put([tuple(frame) for frame in later])
+            self._await(min(frame.ts_us for frame in later))
+        yield self.captured(key, [ready[at] for at in sorted(ready)], ordered=True)
+
+
+class WaitingFrame(NamedTuple):
+    ts_us: int
+    frame_seq: int
+    ts: Any
+    readable: bool
+    signal: bytes | None
+    error: str | None
+
+
 def capture_stream(
-    signals: DataFrame, rule: CaptureRule | None = None, lateness: str = "10 seconds"
+    signals: DataFrame, rule: CaptureRule | None = None, lateness: str = "10 seconds", ordered: bool = False
 ) -> DataFrame:
     """Captured frames of a stream of frame signals.
 
+    With ``ordered`` a frame waits until the watermark has passed it, so that frames may arrive in any order within
+    the lateness: the captures are those of all frames in time order (equal times by frame_seq). Captures then come
+    that much later, and carry no watermark of their own. Frames later than the lateness are left out. At the end
+    of a stream a row with a later time and a null frame_seq releases what still waits. Without ``ordered``, frames
+    not later than the newest of their station are left out.
+
     ``signals``: station_id, frame_seq, ts, readable, signal, error — what ``frame_signals`` makes of
     frames, so that the pixel work is done before the keyed step and in parallel.
     """
     rows = signals.withWatermark("ts", lateness).withColumn("ts_us", F.unix_micros("ts"))
     keyed = rows.groupBy("station_id")
     return keyed.transformWithStateInPandas(
-        statefulProcessor=MotionCapture(rule or CaptureRule()),
+        statefulProcessor=(OrderedCapture if ordered else MotionCapture)(rule or CaptureRule()),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="EventTime",
-        eventTimeColumnName="ts",
+        **({} if ordered else {"eventTimeColumnName": "ts"}),
     )
