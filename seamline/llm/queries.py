@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -121,6 +122,7 @@ def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
 def _bounded(query: Query) -> Query:
     """Batches sent to Python are bounded by bytes: a row is a whole text."""
 
+    @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
         bound_batches(spark)
         return query(spark, folder)
@@ -129,10 +131,11 @@ def _bounded(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    query.__name__: _bounded(query)
+    query.__name__: query
     for query in (
-        op1_quality, op2_ngram_join, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_token_counts,
-        op7_sharding, op8_line_dedup, op9_chat_format, op10_byte_bpe, op11_fill_middle, op12_simhash, op13_resampling,
+        op1_quality, op2_ngram_join, op3_exact_dedup, op4_decontamination, op5_toxicity, _bounded(op6_token_counts),
+        op7_sharding, op8_line_dedup, op9_chat_format, _bounded(op10_byte_bpe), _bounded(op11_fill_middle),
+        _bounded(op12_simhash), _bounded(op13_resampling),
     )
 }
 
