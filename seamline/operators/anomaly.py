@@ -10,8 +10,9 @@ from seamline.functions.scores import IMAGE_THRESHOLD, first_score, has_anomaly
 from seamline.functions.vectors import euclidean
 from seamline.operators.nearest import EUCLIDEAN, nearest
 from seamline.operators.ordered import block_count
-from seamline.operators.pivots import farthest_points
-from seamline.session import spread
+from seamline.operators.pivots import MOST_PIVOTS, farthest_order, farthest_points, pivot_cells
+from seamline.operators.quantiles import values_at_ranks
+from seamline.session import cut_lineage, spread
 
 # --- fixed values -----------------------------------------------------------------------------
 BANK_RATIO = 0.10
@@ -42,6 +43,56 @@ def coreset(
     return grouped.applyInPandas(pick, "item_id long, embedding array<float>")
 
 
+def coreset_union(
+    bank: DataFrame, ratio: float = BANK_RATIO, seed: int = 42, block_rows: int = CORESET_ROWS, ahead: float = 2.0
+) -> DataFrame:
+    """(item_id, embedding, gap): a ``ratio`` of the bank that covers it, chosen again from what blocks have chosen.
+
+    Hash blocks first pick ``ahead`` times their share, each by farthest points. What they picked is dealt out by
+    nearest pivot, so that points that are near each other meet again whichever block they came from; a cell too
+    large for a task is cut by hash. Every cell orders its points by farthest points too, and a point's ``gap`` is how
+    far the ones before it left it. The first points of the cells and the largest gaps of all cells are chosen: every
+    cell stops at one radius, however unevenly the bank lies. The bank is covered within the largest radius of a
+    block plus the largest gap left out; ``cover_radius`` gives the exact figure.
+
+    Equal gaps at the end are all taken; points on top of a chosen one are not. An empty bank gives an empty result.
+    """
+    kinds = "item_id long, embedding array<float>"
+    wanted = max(1, round(ratio * bank.count()))
+    first = coreset(bank, min(1.0, ahead * ratio), seed, block_rows)
+    # of equal vectors one is enough
+    first = cut_lineage(first.groupBy("embedding").agg(F.min("item_id").alias("item_id")).select("item_id", "embedding"))
+    chosen = first.count()
+    if not chosen:
+        return first.withColumn("gap", F.lit(0.0))
+    cells = pivot_cells(first, min(MOST_PIVOTS, block_count(4 * chosen, block_rows)))
+    sizes = cells.groupBy("pivot").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("slices"))
+    sliced = cells.join(sizes, "pivot").withColumn("slice", F.pmod(F.xxhash64("item_id", F.lit(seed)), F.col("slices")))
+
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("item_id", ignore_index=True)
+        order, gaps = farthest_order(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+        return rows.iloc[order][["item_id", "embedding"]].assign(gap=gaps, first=np.arange(len(order)) == 0)
+
+    grouped = spread(sliced.select("item_id", "embedding", "pivot", "slice"), "pivot", "slice").groupBy("pivot", "slice")
+    gaps = cut_lineage(grouped.applyInPandas(ordered, f"{kinds}, gap double, first boolean"))
+    others = gaps.where("NOT first AND gap > 0").withColumn("every", F.lit(1))
+    count = others.count()
+    left = min(count, wanted - gaps.where("first").count())
+    if left <= 0:
+        return gaps.where("first").drop("first")
+    ends = others.groupBy("every").agg(F.min("gap").alias("low"), F.max("gap").alias("high"))
+    rank = F.lit(count - left).cast("long")
+    least = values_at_ranks(others, ["every"], "gap", ends.select("every", F.lit(0).alias("which"), rank.alias("rank"), "low", "high")).first()["value"]
+    return gaps.where(F.col("first") | (F.col("gap") >= least)).where("first OR gap > 0").drop("first")
+
+
+def cover_radius(bank: DataFrame, chosen: DataFrame, **blocking) -> float | None:
+    """The largest distance of a bank item to the nearest chosen one; null for an empty bank."""
+    patches = bank.select(F.col("item_id").alias("patch_id"), "embedding")
+    return patch_distances(patches, chosen.select("item_id", "embedding"), **blocking).agg(F.max("distance")).first()[0]
+
+
 def patch_distances(patches: DataFrame, bank: DataFrame, skip_self: bool = False, **blocking) -> DataFrame:
     """Distance of each patch (patch_id, embedding) to its nearest bank item."""
     queries = patches.select(F.col("patch_id").alias("query_id"), "embedding")

@@ -14,7 +14,7 @@ from seamline.functions.scores import (
 )
 from seamline.operators.images import embed_images
 from seamline.operators.nearest import nearest
-from seamline.operators.ordered import exact_percentile
+from seamline.operators.quantiles import exact_percentile
 from seamline.session import cut_lineage
 
 TOP_K = 3

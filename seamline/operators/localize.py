@@ -16,7 +16,7 @@ from seamline.functions.scores import (
     ranking_score,
 )
 from seamline.operators.anomaly import score_gate
-from seamline.operators.ordered import exact_percentile
+from seamline.operators.quantiles import exact_percentile
 from seamline.session import bound_batches
 
 # --- fixed values -----------------------------------------------------------------------------

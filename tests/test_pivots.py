@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from seamline.operators import anomaly
 from seamline.operators.nearest import COSINE, EUCLIDEAN, nearest
 from seamline.operators.pivots import Search, bounds, farthest_points, nearest_by_pivots
 
@@ -80,3 +81,25 @@ def test_points_cover_all_rows():
     picked, radius = farthest_points(vectors, 25)
     assert len(set(picked)) == 25
     assert np.linalg.norm(vectors[:, None] - vectors[picked], axis=2).min(axis=1).max() == pytest.approx(radius)
+
+
+@pytest.mark.parametrize("block_rows", [60, 4096])
+def test_union_of_blocks_covers_like_one_block(spark, block_rows):
+    """Uneven clusters: each block alone would give every cluster its share."""
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(500, 4)) * 0.01, rng.normal(size=(60, 4)) + 9, np.zeros((40, 4))])
+    bank = frame(spark, vectors.astype(np.float32), "item_id")
+    chosen = anomaly.coreset_union(bank, 0.1, block_rows=block_rows)
+    rows = chosen.collect()
+    assert len({r.item_id for r in rows}) == len(rows) == 60
+    radius = anomaly.cover_radius(bank, chosen)
+    picked = np.array([r.item_id for r in rows])
+    assert radius == pytest.approx(np.linalg.norm(vectors[:, None] - vectors[picked], axis=2).min(axis=1).max(), abs=1e-5)
+    assert radius <= 2 * farthest_points(vectors, 60)[1] + 1e-6
+    assert radius <= anomaly.cover_radius(bank, anomaly.coreset(bank, 0.1, block_rows=60)) + 1e-6
+
+
+def test_union_of_nothing_and_of_one_point(spark):
+    same = frame(spark, np.ones((50, 2)), "item_id")
+    assert anomaly.coreset_union(same, 0.2, block_rows=16).count() == 1
+    assert anomaly.coreset_union(same.limit(0), 0.2).count() == 0
