@@ -160,7 +160,7 @@ def six_decimals(value: Column) -> Column:
     return F.format_string("%d.%06d", F.floor(units / 1_000_000), units % 1_000_000)
 
 
-def format_lines(boxes: DataFrame) -> DataFrame:
-    """Label line of each box (split, stem, class_id, xc, yc, w, h) with six decimals."""
+def format_lines(boxes: DataFrame, *kept: str) -> DataFrame:
+    """Label line of each box (split, stem, class_id, xc, yc, w, h) with six decimals, and the ``kept`` columns."""
     sides = [six_decimals(F.col(c)) for c in ("xc", "yc", "w", "h")]
-    return boxes.select(*KEY, F.concat_ws(" ", F.col("class_id"), *sides).alias("line"))
+    return boxes.select(*KEY, F.concat_ws(" ", F.col("class_id"), *sides).alias("line"), *kept)

@@ -614,6 +614,13 @@ SELECT station_id, ts_us, event_id FROM fold WHERE taken""",
     "stabilised_capture": f"{OUTCOMES} SELECT station_id, event_id, ts_us, trigger_us FROM fold WHERE outcome = 'captured'",
     "capture_failures": f"""{OUTCOMES} SELECT station_id, event_id, ts_us, outcome, trigger_us FROM fold
         WHERE outcome <> 'captured'""",
+    "label_round_trip": f"""WITH {CAPTURES}, {BOXES}, lines AS (
+        SELECT image_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, (x1 + (x2 - x1) / 2) / 1280,
+            (y1 + (y2 - y1) / 2)::DOUBLE / 720, (x2 - x1) / 1280, (y2 - y1)::DOUBLE / 720) || chr(10), '' ORDER BY box_no) AS content
+        FROM boxes GROUP BY image_id)
+        SELECT {split('image_id::VARCHAR')} AS split, image_id::VARCHAR AS stem,
+            coalesce(content, CASE WHEN image_id % 3 = 0 THEN chr(10) ELSE '' END) AS content
+        FROM captures LEFT JOIN lines USING (image_id)""",
     "coreset_union": "SELECT CAST(round_even(0.1 * count(*), 0) AS BIGINT) AS chosen, true AS within_twice FROM embeddings WHERE label < 8",
 }
 SQL["late_frames"] = SQL["auto_capture"]

@@ -26,6 +26,7 @@ from seamline.operators.nearest import EUCLIDEAN, nearest
 from seamline.operators.pivots import Search, nearest_by_pivots
 from seamline.operators.capture_rule import CaptureRule
 from seamline.plans import fixtures as X
+from seamline.sources.label_files import read_label_folder, write_label_folder
 from seamline.session import DEFAULT_CONF, cut_lineage, shared_folder
 from seamline.streaming import capture as live_capture
 from seamline.streaming import kpis as live
@@ -178,14 +179,18 @@ def orphan_labels(spark: SparkSession, folder: str) -> DataFrame:
     return labels.orphan_labels(kept, X.label_files(spark, folder))
 
 
-def yolo_boxes(spark: SparkSession, folder: str) -> DataFrame:
+def _box_lines(spark: SparkSession, folder: str, *kept: str) -> DataFrame:
     found = X.boxes(spark, folder)
     sides = ("x1", "y1", "x2", "y2", "img_w", "img_h")
     x1, y1, x2, y2, img_w, img_h = (F.col(c) for c in sides)
     box = normalised_box(x1, y1, x2 - x1, y2 - y1, img_w, img_h)
     stem = F.col("image_id").cast("string")
-    rows = found.select(hash_split(stem).alias("split"), stem.alias("stem"), "class_id", box.alias("b"))
-    return labels.format_lines(rows.select("split", "stem", "class_id", "b.*"))
+    rows = found.select(hash_split(stem).alias("split"), stem.alias("stem"), "class_id", box.alias("b"), *kept)
+    return labels.format_lines(rows.select("split", "stem", "class_id", "b.*", *kept), *kept)
+
+
+def yolo_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    return _box_lines(spark, folder)
 
 
 def capture_name_parse(spark: SparkSession, folder: str) -> DataFrame:
@@ -510,6 +515,19 @@ def capture_sessions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def label_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Label files of all captures, written and read again: marked, clean (0 bytes) and, for some, one blank line."""
+    shots = X.captures(spark, folder).select("image_id")
+    stem = F.col("image_id").cast("string")
+    boxes, marked = X.boxes(spark, folder), _box_lines(spark, folder, "box_no")
+    bare = shots.join(boxes.select("image_id"), "image_id", "left_anti").where("image_id % 3 = 0")
+    blank = bare.select(hash_split(stem).alias("split"), stem.alias("stem"), F.lit(0).alias("line_no"), F.lit("").alias("line"))
+    lines = marked.withColumnRenamed("box_no", "line_no").select(*blank.columns).unionByName(blank)
+    at = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    write_label_folder(lines, shots.select(hash_split(stem).alias("split"), stem.alias("stem")), at)
+    return read_label_folder(spark, at)
+
+
 # --- detector quality -------------------------------------------------------------------------
 
 
@@ -555,6 +573,6 @@ QUERIES = {
         live_kpis, capture_sessions, detection_pr_curve, detection_map, detection_map_summary,
         sessions_null_station, identify_blocks, identify_sparse_models, patch_knn_blocks, unit_vectors,
         crowded_matches, crowded_map, patch_knn_pivots, shaped_knn_pivots, shaped_knn_work,
-        late_frames, stabilised_capture, capture_failures, coreset_union,
+        late_frames, stabilised_capture, capture_failures, coreset_union, label_round_trip,
     )
 }
