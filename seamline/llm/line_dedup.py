@@ -39,13 +39,14 @@ def line_hash(line: str, shortest: int) -> tuple[int, int] | None:
 def _hashed(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, prints = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, rows, places, prints = [], [], [], []
+            for doc, row, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 found = {line_hash(line, shortest) for line in (text or "").split("\n")} - {None}
                 ids += [doc] * len(found)
+                rows += [row] * len(found)
                 places += [a for a, _ in found]
                 prints += [b for _, b in found]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(prints, pa.int64())], names=["doc", "place", "print"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (ids, rows, places, prints)], names=["doc", "row", "place", "print"])
 
     return run
 
@@ -82,7 +83,8 @@ def _probed(key, probes, shards):
             drop[at] |= known & (np.frombuffer(shard["keepers"], np.int64)[slots] != docs[at])
         for place, print_, keeper in np.frombuffer(shard["extra"], np.int64).reshape(3, -1).T:
             drop |= (places == place) & (prints == print_) & (docs != keeper)
-    return pa.table({"doc": pa.array(docs[drop], pa.int64()), "print": pa.array(prints[drop], pa.int64())})
+    rows = probes["row"].to_numpy()
+    return pa.table({name: pa.array(values[drop], pa.int64()) for name, values in (("doc", docs), ("row", rows), ("print", prints))})
 
 
 def _rewritten(shortest: int, schema: pa.Schema | None = None):
@@ -122,8 +124,9 @@ def dedup_lines(docs: DataFrame, shortest: int = 10) -> DataFrame:
     or n_dropped are replaced; all others are passed on. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    hashed = cut_lineage(keyed.select("__doc", "text").mapInArrow(_hashed(shortest), "doc long, place long, print long"))
+    # rows of one id, as those without any, get their own lines back: they are told apart by their texts
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__row": F.xxhash64("text")})
+    hashed = cut_lineage(keyed.select("__doc", "__row", "text").mapInArrow(_hashed(shortest), "doc long, row long, place long, print long"))
     repeated = cut_lineage(
         hashed.groupBy("place", "print").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("times"))
         .where("keeper <> last").drop("last")
@@ -138,15 +141,15 @@ def dedup_lines(docs: DataFrame, shortest: int = 10) -> DataFrame:
     usual = -(-hashed.count() // shards)
     salts = repeated.select(shard, "times").groupBy("shard").agg((F.sum("times") / GROUP_PROBES + usual / GROUP_PROBES + 1).cast("int").alias("salts"))
     probes = (
-        hashed.select(shard, "doc", "place", "print").join(F.broadcast(salts), "shard")
-        .withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).drop("salts")
+        hashed.select(shard, "doc", "row", "place", "print").join(F.broadcast(salts), "shard")
+        .withColumn("salt", F.pmod(F.xxhash64("doc", "row"), F.col("salts")).cast("int")).drop("salts")
     )
     copies = index.join(F.broadcast(salts), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     drops = (
-        probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probed, "doc long, print long")
-        .groupBy("doc").agg(F.collect_set("print").alias("__drops"))
+        probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probed, "doc long, row long, print long")
+        .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_set("print").alias("__drops"))
     )
-    joined = keyed.join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    joined = keyed.join(drops, ["__doc", "__row"], "left").drop("__doc", "__row")
     fields = [f for f in docs.schema.fields] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     return joined.mapInArrow(_rewritten(shortest), T.StructType(fields))
 

@@ -114,6 +114,13 @@ def test_line_dedup_odd_rows(make, odd):
     assert rows_of(digests(out.where("doc_id = 2"), "text", "d"), "d") == [(hashlib.sha256(b"").hexdigest(),)]
 
 
+def test_line_dedup_of_many_rows_without_id(make):
+    """A row gets its own lines back, not those of all rows that share its id."""
+    rows = [(None, f"own line number {k}\nshared line of text {k}") for k in range(2500)] + [(k, f"shared line of text {k}") for k in range(2500)]
+    found = {(r.doc_id is None, r.n_dropped, r.text.count("\n")) for r in dedup_lines(make(rows, extra=False)).collect()}
+    assert found == {(True, 1, 0), (False, 0, 0)}
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
     index = PerfectHash.load(PerfectHash.build(keys).dump())
