@@ -624,3 +624,4 @@ SELECT station_id, ts_us, event_id FROM fold WHERE taken""",
     "coreset_union": "SELECT CAST(round_even(0.1 * count(*), 0) AS BIGINT) AS chosen, true AS within_twice FROM embeddings WHERE label < 8",
 }
 SQL["late_frames"] = SQL["auto_capture"]
+SQL["registered_twice"] = f"""SELECT id, code, created_at, garment_type, status, defect_type, confidence, zone FROM ({SQL["inspections"]})"""

@@ -26,6 +26,7 @@ from seamline.operators.nearest import EUCLIDEAN, nearest
 from seamline.operators.pivots import Search, nearest_by_pivots
 from seamline.operators.capture_rule import CaptureRule
 from seamline.plans import fixtures as X
+from seamline.sinks.jdbc import InspectionDatabase
 from seamline.sources.label_files import read_label_folder, write_label_folder
 from seamline.session import DEFAULT_CONF, cut_lineage, shared_folder
 from seamline.streaming import capture as live_capture
@@ -63,6 +64,18 @@ def inspections(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(X.inspections(spark, folder), *extra)
 
 
+def registered_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """The inspections from a database in which both batches were registered twice, read back in ranges of ids."""
+    home = shared_folder(spark).removeprefix("file:").replace("//", "/")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{home}/derby.log")
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    database = InspectionDatabase(spark, f"jdbc:derby:{home}/inspections-{uuid.uuid4().hex};create=true", driver=driver)
+    rows = X.inspections(spark, folder)
+    for batch in (0, 1, 0, 1):
+        database.register(rows.where(F.col("id") % 2 == batch), f"half-{batch}")
+    return _shown(database.read(8))
+
+
 def kpis(spark: SparkSession, folder: str) -> DataFrame:
     return records.kpis(validated(spark, folder))
 
@@ -574,5 +587,6 @@ QUERIES = {
         sessions_null_station, identify_blocks, identify_sparse_models, patch_knn_blocks, unit_vectors,
         crowded_matches, crowded_map, patch_knn_pivots, shaped_knn_pivots, shaped_knn_work,
         late_frames, stabilised_capture, capture_failures, coreset_union, label_round_trip,
+        registered_twice,
     )
 }
