@@ -194,6 +194,45 @@ def region_rows(localised: DataFrame) -> DataFrame:
     return localised.select("image_id", F.inline("regions")).drop("order", "runs")
 
 
+def filtered_mask(localised: DataFrame) -> DataFrame:
+    """The mask of the kept regions as runs of pixels: image_id, y, x, length. An image without regions has no row."""
+    flat = localised.select("image_id", F.explode("regions").alias("region")).select("image_id", F.col("region.runs").alias("runs"))
+    places = F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda k: k % 3 == 0)
+    triples = F.transform(places, lambda k: F.struct(*[F.get("runs", k + i).alias(n) for i, n in enumerate(("y", "x", "length"))]))
+    return flat.where(F.size("runs") > 0).select("image_id", F.inline(triples))
+
+
+def mask_runs(masks: DataFrame) -> DataFrame:
+    """Packed masks (image_id, mask_height, mask_width, mask) as runs of set pixels: image_id, y, x, length."""
+    kind = dict(masks.dtypes)["image_id"]
+
+    def scan(batches):
+        for batch in batches:
+            found = [np.zeros((0, 4), np.int64)]
+            for number, row in enumerate(batch.itertuples(index=False)):
+                if row.mask is None:
+                    continue
+                height, width = int(row.mask_height), int(row.mask_width)
+                bits = np.unpackbits(np.frombuffer(row.mask, np.uint8), count=height * width).reshape(height, width)
+                step = np.diff(np.pad(bits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+                (ys, starts), (_, ends) = np.nonzero(step == 1), np.nonzero(step == -1)
+                found.append(np.stack([np.full(len(ys), number), ys, starts, ends - starts], axis=1))
+            runs = np.concatenate(found)
+            ids = batch["image_id"].to_numpy()[runs[:, 0]]
+            yield pd.DataFrame({"image_id": ids, "y": runs[:, 1], "x": runs[:, 2], "length": runs[:, 3]})
+
+    bound_batches(masks.sparkSession)
+    return masks.select("image_id", "mask_height", "mask_width", "mask").mapInPandas(scan, f"image_id {kind}, y int, x int, length int")
+
+
+def overlapping_runs(runs: DataFrame, others: DataFrame) -> DataFrame:
+    """What two masks share, as runs: image_id, y, x, length. Runs meet by image and row, at most width / 2 of each."""
+    other = others.select("image_id", "y", F.col("x").alias("_x"), F.col("length").alias("_length"))
+    start, end = F.greatest("x", "_x"), F.least(F.col("x") + F.col("length"), F.col("_x") + F.col("_length"))
+    met = runs.select("image_id", "y", "x", "length").join(other, ["image_id", "y"]).where(start < end)
+    return met.select("image_id", "y", start.alias("x"), (end - start).alias("length"))
+
+
 def top_regions(regions: DataFrame, max_regions: int = MAX_REGIONS) -> DataFrame:
     """Strongest regions per image from one row per region.
 

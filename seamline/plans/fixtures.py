@@ -354,6 +354,22 @@ def anomaly_maps(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _side_masks(batches):
+    def draw(row) -> bytes:
+        mask = np.zeros((MAP_H, MAP_W), bool)
+        side = row.station_id % 6 + 2
+        mask[2 : MAP_H - 2, side : MAP_W - side] = True
+        return np.packbits(mask).tobytes()
+
+    return _in_parts(batches, ["image_id"], draw, "mask")
+
+
+def side_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """A packed mask per capture: a garment as wide as its station has it, away from the rims of the map."""
+    drawn = _capture_boxes(spark, folder).mapInPandas(_side_masks, "image_id long, mask binary")
+    return drawn.select("image_id", F.lit(MAP_H).alias("mask_height"), F.lit(MAP_W).alias("mask_width"), "mask")
+
+
 def _pictures(batches):
     def draw(row) -> bytes:
         side = row.station_id % 16 + 8

@@ -410,6 +410,17 @@ ranked AS (
   FROM stats WHERE area >= 20
 )"""
 
+# The same under a mask: a rectangle, from whose inside the edge is this far away.
+INSIDE = "x BETWEEN side AND 63 - side AND y BETWEEN 2 AND 33"
+REGIONS_MASKED = (
+    REGIONS.replace("discs AS (", "sides AS (SELECT image_id, station_id % 6 + 2 AS side FROM captures),\ndiscs AS (", 1)
+    .replace("WHERE pred_score >= 0.5 GROUP BY 1", f"JOIN sides USING (image_id) WHERE pred_score >= 0.5 AND {INSIDE} GROUP BY 1", 1)
+    .replace("WHERE v >= threshold::FLOAT", f"JOIN sides USING (image_id) WHERE v >= threshold::FLOAT AND {INSIDE}", 1)
+    .replace("100.0::DOUBLE AS", "median(greatest(0, least(x - side + 1, 64 - side - x, y - 1, 34 - y)))::DOUBLE AS", 1)
+    .replace("+ 0.10::DOUBLE,", "+ 0.10::DOUBLE * least(median_edge_distance / 18, 1),", 1)
+    .replace("FROM labelled JOIN numbered USING (image_id, first) JOIN pixels", "FROM labelled JOIN sides USING (image_id) JOIN numbered USING (image_id, first) JOIN pixels", 1)
+)
+
 SQL: dict[str, str] = {
     "verdict_from_boxes": f"WITH {CAPTURES},{BOXES},{VERDICTS} SELECT * FROM verdicts",
     "inspections": f"""{RECORDS} SELECT {SHOWN}, human_validation, confidence_kind, identity_identified,
@@ -549,6 +560,11 @@ FROM around a JOIN patches p USING (patch_id) JOIN bank s ON s.item_id = a.suppo
           median_edge_distance, round(0.55::DOUBLE * max_score + 0.35::DOUBLE * mean_score
             + 0.10::DOUBLE * least(median_edge_distance / 18.0::DOUBLE, 1.0::DOUBLE), 6) AS ranking_score FROM stats""",
     "localize_maps": f"{REGIONS} SELECT * EXCLUDE (rank) FROM ranked WHERE rank <= 2",
+    "localize_masked": f"{REGIONS_MASKED} SELECT * EXCLUDE (rank) REPLACE (round(median_edge_distance, 2) AS median_edge_distance) FROM ranked WHERE rank <= 2",
+    "filtered_masks": f"""{REGIONS_MASKED} SELECT image_id, l.y, count(*) AS pixels, min(l.x) AS first,
+        count(*) FILTER (l.x BETWEEN side AND 63 - side AND l.y BETWEEN 2 AND 33) AS inside
+        FROM labelled l JOIN numbered n USING (image_id, first) JOIN ranked r USING (image_id, component_no) JOIN sides USING (image_id)
+        WHERE rank <= 2 GROUP BY 1, 2""",
     "localization_report": f"""{REGIONS}
         SELECT g.image_id::VARCHAR AS image, round(pred_score, 6) AS pred_score, pred_score >= 0.5 AS has_anomaly,
           round(coalesce(threshold, 0), 6) AS threshold_used, CAST(rank IS NOT NULL AS INTEGER) AS region_count,

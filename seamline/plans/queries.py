@@ -432,6 +432,21 @@ def localization_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def localize_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions under a garment mask: thresholds from inside it, distances to its edge."""
+    found = localize.localize(X.anomaly_maps(spark, folder), X.side_masks(spark, folder), max_regions=2)
+    return localize.region_rows(found)
+
+
+def filtered_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of the kept regions, and those of them on the garment, by row of the picture."""
+    masks = X.side_masks(spark, folder)
+    kept = cut_lineage(localize.filtered_mask(localize.localize(X.anomaly_maps(spark, folder), masks, max_regions=2)))
+    inside = localize.overlapping_runs(kept, localize.mask_runs(masks)).groupBy("image_id", "y").agg(F.sum("length").alias("inside"))
+    rows = kept.groupBy("image_id", "y").agg(F.sum("length").alias("pixels"), F.min("x").alias("first"))
+    return rows.join(inside, ["image_id", "y"], "left").na.fill(0, ["inside"])
+
+
 # --- images -----------------------------------------------------------------------------------
 
 
@@ -587,6 +602,6 @@ QUERIES = {
         sessions_null_station, identify_blocks, identify_sparse_models, patch_knn_blocks, unit_vectors,
         crowded_matches, crowded_map, patch_knn_pivots, shaped_knn_pivots, shaped_knn_work,
         late_frames, stabilised_capture, capture_failures, coreset_union, label_round_trip,
-        registered_twice,
+        registered_twice, localize_masked, filtered_masks,
     )
 }
