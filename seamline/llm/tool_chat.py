@@ -38,8 +38,9 @@ def order(calls: DataFrame) -> DataFrame:
     Sorting the calls of a conversation by (order_major, order_minor, position) puts each behind all calls it
     depends on: order_major is the largest position among a call and what it needs, directly or not, and
     order_minor the number of steps from the call that has it. Calls that only depend on earlier ones, the
-    usual case, keep their position and need no round; each round follows one more link to a later call.
-    Calls in a cycle, or that need one, are flagged and keep their position. Dependencies that no call of the
+    usual case, keep their position and need no round; each round follows one more link to a later call, up to the
+    longest chain, or twice the number of raised calls of a conversation that holds a cycle.
+    Calls in a cycle, or that need one and do not come after it, are flagged and keep their position. Dependencies that no call of the
     conversation has, null ones included, are ignored. Of rows that repeat an identifier, the earliest counts.
     """
     spot = F.coalesce(F.col("position").cast("long"), F.lit(0))
@@ -54,25 +55,29 @@ def order(calls: DataFrame) -> DataFrame:
     raised = edges.where("needed_at >= at").groupBy("conv_id", "user").agg(F.max(F.struct(F.col("needed_at").alias("major"), F.lit(1).cast("long").alias("minor"))).alias("key"))
     moved = cut_lineage(raised)
     left = _size(moved)
-    bound, rounds = left[0] + 1, 0
     while left[0]:
+        # a chain without a cycle has no more steps than its conversation has raised calls; after twice as many rounds
+        # all calls of a cycle are beyond that, and nothing more is pushed
+        going = moved.join(_members(moved), "conv_id").where("key.minor <= 2 * members + 2")
         # what a raised call needs of its users: to come one step behind it, if they come before it now
         pushed = (
-            edges.join(moved.select("conv_id", F.col("user").alias("needed"), "key"), ["conv_id", "needed"])
+            edges.join(going.select("conv_id", F.col("user").alias("needed"), "key"), ["conv_id", "needed"])
             .where("key.major >= at")
             .select("conv_id", "user", F.struct(F.col("key.major").alias("major"), (F.col("key.minor") + 1).alias("minor")).alias("key"))
         )
         moved = cut_lineage(moved.unionByName(pushed).groupBy("conv_id", "user").agg(F.max("key").alias("key")))
-        now, rounds = _size(moved), rounds + 1
-        bound = max(bound, now[0] + 1)
-        if now == left or rounds > bound:
+        now = _size(moved)
+        if now == left:
             break
         left = now
-    # no chain without a cycle is longer than the number of raised calls
-    key = moved.select("conv_id", F.col("user").alias("call_id"), "key")
+    key = moved.join(_members(moved), "conv_id").select("conv_id", F.col("user").alias("call_id"), "key", (F.col("key.minor") > F.col("members")).alias("__turning"))
     placed = base.join(key, ["conv_id", "call_id"], "left")
-    cyclic = F.coalesce(F.col("key.minor") > F.lit(left[0]), F.lit(False))
-    return placed.withColumns({"cyclic": cyclic, "order_major": F.when(cyclic | F.col("key").isNull(), spot).otherwise(F.col("key.major")), "order_minor": F.when(cyclic | F.col("key").isNull(), F.lit(0)).otherwise(F.col("key.minor")).cast("long")}).drop("key")
+    cyclic = F.coalesce("__turning", F.lit(False))
+    return placed.withColumns({"cyclic": cyclic, "order_major": F.when(cyclic | F.col("key").isNull(), spot).otherwise(F.col("key.major")), "order_minor": F.when(cyclic | F.col("key").isNull(), F.lit(0)).otherwise(F.col("key.minor")).cast("long")}).drop("key", "__turning")
+
+
+def _members(moved: DataFrame) -> DataFrame:
+    return moved.groupBy("conv_id").agg(F.count("*").alias("members"))
 
 
 def _size(moved: DataFrame) -> tuple[int, int]:

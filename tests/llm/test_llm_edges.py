@@ -20,6 +20,7 @@ from seamline.llm.line_dedup import dedup_lines, digests
 from seamline.llm.ngram_join import SKETCH, choose_prefix, ngram_components
 from seamline.llm.perfect_hash import PerfectHash
 from seamline.llm.prefilter import maybe_in
+from seamline.session import cut_lineage
 
 MODEL = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
 RANKS = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -121,6 +122,18 @@ def test_line_dedup_of_many_rows_without_id(make):
     assert found == {(True, 1, 0), (False, 0, 0)}
 
 
+def test_a_cycle_costs_the_rounds_of_its_conversation(shipped, monkeypatch):
+    """Raised calls of other conversations add none."""
+    rows = [(c, "a", 0, ["b"]) for c in range(200)] + [(c, "b", 1, []) for c in range(200)]
+    rows += [(900, "x", 0, ["y"]), (900, "y", 1, ["x"]), (900, "z", 1, ["y"]), (900, "w", 3, [])]
+    cuts = []
+    monkeypatch.setattr(tool_chat, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    found = tool_chat.order(shipped.createDataFrame(rows, "conv_id long, call_id string, position long, depends_on array<string>")).collect()
+    assert {(r.conv_id, r.call_id) for r in found if r.cyclic} == {(900, "x"), (900, "y"), (900, "z")}
+    assert all((r.order_major, r.order_minor) == (1, int(r.call_id == "a")) for r in found if r.conv_id < 200)
+    assert len(cuts) < 16
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
     index = PerfectHash.load(PerfectHash.build(keys).dump())
