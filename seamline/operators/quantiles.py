@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seamline.operators.ordered import join_on, percentile_by_runs
 from seamline.session import cut_lineage
 
-#: Bins of a range, and open ranges that are broadcast at most (beyond that, values are sorted in runs).
-BINS, MOST_RANGES = 256, 50_000
+#: Bins of a range at least, bins of all ranges together that are aimed at (few ranges have finer bins), and open
+#: ranges that are broadcast at most (beyond that, values are sorted in runs).
+BINS, ALL_BINS, MOST_RANGES = 256, 1 << 20, 50_000
 
 
 def _half(name: str) -> Column:
@@ -42,13 +43,15 @@ def values_at_ranks(values: DataFrame, keys: Sequence[str], value: str, ranges:
     magnitudes = False
     while True:
         state = state.where("low < high")
-        if state.isEmpty():
+        left = state.count()
+        if not left:
             return done.select(*own, F.col("low").alias("value"))
         inside = join_on(narrow, F.broadcast(state), keys).where("_value BETWEEN low AND high")
+        bins = min(1 << 16, max(BINS, ALL_BINS // left))
         # every second round has bins by magnitude, which part values of very different sizes
         scale = _magnitude if magnitudes else _half
         share = F.try_divide(scale("_value") - scale("low"), scale("high") - scale("low"))
-        inner = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1))
+        inner = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
         binned = inside.withColumn("_bin", F.when(F.col("_value") == F.col("low"), -1).otherwise(inner))
         magnitudes = not magnitudes
         counts = binned.groupBy(*own, "rank", "below", "_bin").agg(
