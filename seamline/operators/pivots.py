@@ -1,9 +1,10 @@
 """Exact top-k neighbours that compare only the items a query can still need.
 
-Every item belongs to the pivot it is nearest to, and within a pivot to a ring of distances. Two bounds hold for
-all items of a pivot: the triangle inequality with the pivot's distances, and the distance to the plane half way
-between two pivots. A query visits pivots in order of their bound, a few more in every round, and stops when the
-next bound is beyond its k-th neighbour so far. Rings outside that reach are not visited either.
+Every item belongs to the pivot it is nearest to. Two bounds hold for all items of a pivot: the triangle inequality
+with the pivot's distances, and the distance to the plane half way between two pivots. Pivots that are near each other
+share a block of items, and there are few blocks. A query goes to the block of its nearest pivot first, and then once to
+each other block that holds a pivot within its k-th distance. Inside a block the items of a pivot lie in rings of like
+distance, and a ring is compared only with the queries whose bound is within their k-th distance by then.
 
 Vectors that lie in all directions alike (random ones of many dimensions) are about equally far from every pivot:
 nothing can be left out there, and ``nearest`` does the same work in one round.
@@ -17,15 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from seamline.operators.nearest import BLOCK_BYTES, COSINE, EUCLIDEAN, RESULT, matrix, meeting
+from seamline.operators.nearest import COSINE, EUCLIDEAN, TILE_ITEMS, TILE_QUERIES, Kept, block_number, matrix
 from seamline.session import bound_batches, cut_lineage, spread
 
-#: Pivots at most, sampled items for each of them, and pivots visited after the first in round r: GROWTH ** r.
-MOST_PIVOTS, SAMPLED, GROWTH = 256, 16, 4
+#: Pivots at most, and sampled items for each of them.
+MOST_PIVOTS, SAMPLED = 256, 16
 #: Rounding errors of distances, in parts of the vectors' lengths, and of squared distances of unit vectors.
 SLACK, UNIT_SLACK = 1e-6, 1e-5
 
 
+FOUND = "query_id long, item_id long, score double"
+
+
 def farthest_points(vectors: np.ndarray, wanted: int) -> tuple[np.ndarray, float]:
     """Positions of ``wanted`` rows, each the farthest from those before, from row 0 on, and the distance within
     which they cover all rows."""
@@ -91,36 +95,97 @@ def bounds(distances: np.ndarray, points: np.ndarray, low: np.ndarray, high: np.
     return np.maximum(np.maximum(ring, plane), 0)
 
 
-def _visits(pivots, cells: np.ndarray, width: int, unit: bool, start: int, end: int):
-    """The visits of a round: the pivots at places ``start`` to ``end`` in the order of their bounds, as far as a
-    query reaches, with the first and last ring. ``cells``: low, high and rings of each pivot."""
+def _slack(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return SLACK * (1 + np.linalg.norm(vectors, axis=1) + np.linalg.norm(points, axis=1).max())
+
+
+def _visits(pivots, low: np.ndarray, high: np.ndarray, held: np.ndarray, width: int, unit: bool, first: bool):
+    """The blocks that queries go to: the one of the nearest pivot, or the others within reach.
+
+    ``low``, ``high``: of the items of each pivot to it; ``held``: which blocks (columns) hold items of a pivot."""
 
     def run(batches):
-        points, (low, high, rings) = pivots.value, cells
-        wide = np.where(high > low, high - low, 1.0) / np.maximum(rings, 1)
-        for batch in batches:
-            vectors = matrix(batch, "query_id", width)
-            _check_units(batch, "query_id", vectors, unit)
-            reach = batch.column(batch.schema.names.index("reach")).to_numpy(zero_copy_only=False)
-            slack = SLACK * (1 + np.linalg.norm(vectors, axis=1) + np.linalg.norm(points, axis=1).max())
-            distances = _distances(vectors, points)
-            least = bounds(distances, points, low, high)
-            order = np.argsort(least, axis=1, kind="stable")[:, start:end]
-            row = np.repeat(np.arange(len(vectors)), order.shape[1])
-            pivot = order.ravel()
-            near = (least[row, pivot] <= reach[row] + slack[row]) & (rings[pivot] > 0)
-            row, pivot = row[near], pivot[near]
-            at, far = distances[row, pivot], (reach + slack)[row]
-            last = rings[pivot] - 1
-            first_ring = np.clip(np.floor((at - far - low[pivot]) / wide[pivot]), 0, last).astype(np.int32)
-            last_ring = np.clip(np.floor((at + far - low[pivot]) / wide[pivot]), 0, last).astype(np.int32)
-            chosen = batch.select(["query_id", "embedding"]).take(pa.array(row))
-            new = [pa.array(pivot.astype(np.int32)), pa.array(first_ring), pa.array(last_ring), pa.array(at), pa.array(far)]
-            yield pa.record_batch([*chosen.columns, *new], names=[*chosen.schema.names, "pivot", "first_ring", "last_ring", "at", "far"])
+        points, full = pivots.value, held.any(axis=1)
+        for whole in batches:
+            for at in range(0, len(whole), TILE_QUERIES):
+                batch = whole.slice(at, TILE_QUERIES)
+                vectors = matrix(batch, "query_id", width)
+                _check_units(batch, "query_id", vectors, unit)
+                reach = batch.column(batch.schema.names.index("reach")).to_numpy(zero_copy_only=False)
+                least = np.where(full, bounds(_distances(vectors, points), points, low, high), np.inf)
+                home = held[least.argmin(axis=1)].argmax(axis=1)
+                within = (least <= (reach + _slack(vectors, points))[:, None]) & full
+                blocks = within @ held
+                blocks[np.arange(len(home)), home] = False
+                asked = [[block] for block in home] if first else [np.flatnonzero(row) for row in blocks]
+                new = pa.array(asked, pa.list_(pa.int32()))
+                yield pa.record_batch([*batch.columns, new], names=[*batch.schema.names, "blocks"])
 
     return run
 
 
+def _meeting(pivots, low: np.ndarray, high: np.ndarray, width: int, k: int, metric: str, skip_self: bool, ring_rows: int):
+    """What a task does with queries and the items of a block: the neighbours found, and in a row without a query the
+    number of pairs compared."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        compared = 0
+        if len(left) and len(right):
+            points, unit = pivots.value, metric == COSINE
+            right = right.sort_by([("pivot", "ascending"), ("away", "ascending"), ("item_id", "ascending")])
+            items, item_ids = matrix(right, "item_id", width), right["item_id"].to_numpy()
+            squares, own, away = (items**2).sum(axis=1), right["pivot"].to_numpy(), right["away"].to_numpy()
+            cells = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            starts = np.concatenate([np.arange(a, b, ring_rows) for a, b in zip(cells, [*cells[1:], len(own)])])
+            ends = np.r_[starts[1:], len(own)]
+            pivot, inner, outer = own[starts], away[starts], away[ends - 1]
+            queries, reach = matrix(left, "query_id", width), left["reach"].to_numpy()
+            order = np.argsort(_nearest_pivot(queries, points), kind="stable")  # queries of one pivot together
+            for at in range(0, len(order), TILE_QUERIES):
+                rows = order[at : at + TILE_QUERIES]
+                kept = Kept(left["query_id"].to_numpy()[rows], queries[rows], k, metric, skip_self)
+                slack, to = _slack(queries[rows], points), _distances(queries[rows], points)
+                far = reach[rows] + slack
+                kept.within = far**2 / 2 - 1 if unit else far
+                least = np.maximum(bounds(to, points, low, high)[:, pivot], np.maximum(to[:, pivot] - outer, inner - to[:, pivot]))
+                for ring in np.argsort(least.mean(axis=0), kind="stable"):
+                    worst = kept.costs[:, -1]
+                    worst = np.sqrt(np.maximum(0, 2 + 2 * worst) + UNIT_SLACK) if unit else worst
+                    asking = np.flatnonzero(least[:, ring] <= np.minimum(worst + slack, far))
+                    if len(asking):
+                        part = slice(starts[ring], ends[ring])
+                        compared += len(asking) * int(ends[ring] - starts[ring])
+                        kept.offer(item_ids[part], items[part], squares[part], asking)
+                for column, values in zip(out, kept.found()):
+                    column.append(values)
+        query, item, score = (np.concatenate(v) if v else np.array([], np.int64) for v in out)
+        count = pa.array([None], pa.int64())
+        return pa.table({
+            "query_id": pa.chunked_array([pa.array(query, pa.int64()), count]),
+            "item_id": pa.chunked_array([pa.array(item, pa.int64()), count]),
+            "score": pa.chunked_array([pa.array(score, pa.float64()), pa.array([float(compared)])]),
+        })
+
+    return meet
+
+
+def _nearest_pivot(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The number of the pivot each vector is nearest to."""
+    tiles = [_distances(vectors[at : at + TILE_QUERIES], points).argmin(axis=1) for at in range(0, len(vectors), TILE_QUERIES)]
+    return np.concatenate(tiles)
+
+
+def chain(points: np.ndarray) -> np.ndarray:
+    """Positions of the points in an order in which each is followed by the nearest one left."""
+    order, left = [0], np.ones(len(points), bool)
+    gaps = _distances(points, points)
+    while len(order) < len(points):
+        left[order[-1]] = False
+        order.append(int(np.where(left, gaps[order[-1]], np.inf).argmin()))
+    return np.asarray(order)
+
+
 def choose_pivots(items: DataFrame, count: int, width: int) -> np.ndarray:
     """``count`` far points of a sample of 16 times as many items: those with the smallest hash of their id."""
     sample = items.select("item_id", "embedding").orderBy(F.xxhash64("item_id"), "item_id").limit(count * SAMPLED).toArrow()
@@ -151,52 +216,52 @@ class Search:
         without groups; cosines ask for unit vectors. A query without any item has no row.
 
         ``pivots``: the square root of the number of items unless given, 256 at most; they come from a sample of 16
-        items for each, which changes what is left out, never the result. ``block_rows``: items in a block of a ring.
+        items for each, which changes what is left out, never the result. ``block_rows``: items in a ring; there is a
+        block for every so many items too, but no more than ``nearest`` has.
         """
         self.spark, self.k, self.unit = queries.sparkSession, k, metric == COSINE
         bound_batches(self.spark)
         self.queries, items = queries.select("query_id", "embedding"), items.select("item_id", "embedding")
         size = items.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-        self.width, self.args = size["d"] or 1, (k, metric, False, skip_self)
-        self.block_rows = block_rows or max(1, BLOCK_BYTES // (8 * self.width))
-        self.compared, self.pairs = 0, size["n"] * self.queries.count()
-        self.rows = self.spark.createDataFrame([], RESULT).drop("grp")
+        self.width, self.args = size["d"] or 1, (k, metric, skip_self)
+        self.block_rows = block_rows or TILE_ITEMS
+        self.asked = self.queries.count()
+        self.compared, self.pairs = 0, size["n"] * self.asked
+        self.rows = self.spark.createDataFrame([], FOUND)
         if size["n"]:
-            self._place(items, min(pivots or math.isqrt(size["n"]), MOST_PIVOTS))
+            self._place(items, size["n"], min(pivots or math.isqrt(size["n"]), MOST_PIVOTS))
             self._search()
 
-    def _place(self, items: DataFrame, count: int) -> None:
+    def _place(self, items: DataFrame, total: int, count: int) -> None:
         points = choose_pivots(items, count, self.width)
-        self.points, self.sent = points, self.spark.sparkContext.broadcast(points)  # at most 256 vectors
+        points = points[chain(points)]
+        self.sent = self.spark.sparkContext.broadcast(points)  # at most 256 vectors
         schema = _wider(items, pivot=T.IntegerType(), away=T.DoubleType())
         placed = cut_lineage(items.mapInArrow(_placed(self.sent, self.width, self.unit), schema))
         found = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()
-        low, high, rings = np.zeros(len(points)), np.zeros(len(points)), np.zeros(len(points), np.int64)
+        self.low, self.high, sizes = np.zeros(len(points)), np.zeros(len(points)), np.zeros(len(points), np.int64)
         for row in found:
-            low[row["pivot"]], high[row["pivot"]] = row["low"], row["high"]
-            rings[row["pivot"]] = -(-row["n"] // self.block_rows)
-        self.cells = low, high, rings
-        kinds = [(k, float(low[k]), float(high[k] - low[k]) or 1.0, int(rings[k])) for k in range(len(points))]
-        known = F.broadcast(self.spark.createDataFrame(kinds, "pivot int, low double, span double, rings int"))
-        ring = F.least(F.col("rings") - 1, F.floor((F.col("away") - F.col("low")) / F.col("span") * F.col("rings"))).cast("int")
-        self.items = placed.join(known, "pivot").select("item_id", "embedding", "pivot", "away", ring.alias("ring"))
-        limits = [F.count("*").alias("n"), F.min("away").alias("inner"), F.max("away").alias("outer")]
-        self.rings = cut_lineage(self.items.groupBy("pivot", "ring").agg(*limits))
+            self.low[row["pivot"]], self.high[row["pivot"]], sizes[row["pivot"]] = row["low"], row["high"], row["n"]
+        # pivots one after the other along the chain, cut into blocks of equal size wherever a cut falls
+        blocks = block_number(total, self.block_rows, self.width)
+        rows, offsets = -(-total // blocks), np.cumsum(sizes) - sizes
+        self.held = np.zeros((len(points), blocks), bool)
+        for pivot in np.flatnonzero(sizes):
+            self.held[pivot, offsets[pivot] // rows : (offsets[pivot] + sizes[pivot] - 1) // rows + 1] = True
+        known = [(int(p), int(offsets[p]), int(sizes[p])) for p in np.flatnonzero(sizes)]
+        place = F.col("offset") + F.pmod(F.xxhash64("item_id"), F.col("n"))
+        joined = placed.join(F.broadcast(self.spark.createDataFrame(known, "pivot int, offset long, n long")), "pivot")
+        self.items = joined.select("item_id", "embedding", "pivot", "away", F.floor(place / rows).cast("int").alias("block"))
 
     def _search(self) -> None:
-        state = self.queries.withColumn("reach", F.lit(float("inf")))
-        best, start, width = None, 0, 1
-        while start < len(self.points):
-            found = self._round(state, start, start + width)
-            if found is None:
-                break
-            best = self._best(found if best is None else best.unionByName(found))
-            start, width = start + width, width * GROWTH
-            ends = best.groupBy("query_id").agg(F.count("*").alias("n"), self._farthest().alias("end"))
-            reach = F.when(F.col("n") >= self.k, F.col("end")).otherwise(float("inf"))
-            state = self.queries.join(ends, "query_id", "left").select("query_id", "embedding", reach.alias("reach"))
-        if best is not None:
-            self.rows = best
+        first = self._round(self.queries.withColumn("reach", F.lit(float("inf"))), True)
+        ends = first.groupBy("query_id").agg(F.count("*").alias("n"), self._farthest().alias("end"))
+        reach = F.when(F.col("n") >= self.k, F.col("end")).otherwise(float("inf"))
+        state = self.queries.join(ends, "query_id", "left").select("query_id", "embedding", reach.alias("reach"))
+        found = first.unionByName(self._round(state, False))
+        order = F.desc("score") if self.unit else F.asc("score")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))
+        self.rows = found.withColumn("_rank", rank).filter(F.col("_rank") <= self.k).drop("_rank")
 
     def _farthest(self):
         """The distance of the worst of some neighbours."""
@@ -204,38 +269,22 @@ class Search:
             return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")) + UNIT_SLACK)
         return F.max("score")
 
-    def _best(self, found: DataFrame) -> DataFrame:
-        order = F.desc("score") if self.unit else F.asc("score")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))
-        return cut_lineage(found.withColumn("_rank", rank).filter(F.col("_rank") <= self.k).drop("_rank"))
-
-    def _round(self, state: DataFrame, start: int, end: int) -> DataFrame | None:
-        """What the next visits find; nothing if there are none, as later bounds are not smaller."""
-        whole, real = T.IntegerType(), T.DoubleType()
-        schema = _wider(self.queries, pivot=whole, first_ring=whole, last_ring=whole, at=real, far=real)
-        visits = state.mapInArrow(_visits(self.sent, self.cells, self.width, self.unit, start, end), schema)
-        visits = visits.withColumn("ring", F.explode(F.sequence("first_ring", "last_ring")))
-        reached = (F.col("at") - F.col("far") <= F.col("outer")) & (F.col("at") + F.col("far") >= F.col("inner"))
-        visits = cut_lineage(visits.join(self.rings, ["pivot", "ring"]).where(reached).select("query_id", "embedding", "pivot", "ring"))
-        # blocks of a ring, and blocks of the queries that visit it
-        asked = visits.groupBy("pivot", "ring").agg(F.count("*").alias("times")).join(self.rings, ["pivot", "ring"])
-        plan = cut_lineage(asked.select(
-            "pivot", "ring", F.ceil(F.col("n") / self.block_rows).cast("int").alias("slices"),
-            F.ceil(F.col("times") / self.block_rows).cast("int").alias("parts"), (F.col("n") * F.col("times")).alias("work"),
-        ))
-        work = plan.agg(F.sum("work")).first()[0]
-        if not work:
-            return None
-        self.compared += work
-        plan = plan.drop("work")
-        every = {name: F.explode(F.sequence(F.lit(0), F.col(name) - 1)) for name in ("slices", "parts")}
-        left = visits.join(plan, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-        left = left.withColumn("slice", every["slices"]).withColumn("grp", F.lit(""))
-        right = self.items.join(plan, ["pivot", "ring"]).withColumn("slice", F.pmod(F.xxhash64("item_id"), F.col("slices")).cast("int"))
-        right = right.withColumn("part", every["parts"]).withColumn("grp", F.lit(""))
-        key = ["pivot", "ring", "slice", "part"]
-        sides = [spread(side.select(*[F.col(c).alias(c) for c in [*key, name, "grp", "embedding"]]), *key).groupBy(*key) for side, name in ((left, "query_id"), (right, "item_id"))]
-        return sides[0].cogroup(sides[1]).applyInArrow(meeting(self.width, self.args), RESULT).drop("grp")
+    def _round(self, state: DataFrame, first: bool) -> DataFrame:
+        """What queries find in the blocks they go to. Queries of a block are cut into parts, its items go to each."""
+        visits = _visits(self.sent, self.low, self.high, self.held, self.width, self.unit, first)
+        schema = _wider(self.queries, reach=T.DoubleType(), blocks=T.ArrayType(T.IntegerType()))
+        left = cut_lineage(state.mapInArrow(visits, schema)).withColumn("block", F.explode("blocks")).drop("blocks")
+        part_rows = -(-self.asked // block_number(self.asked, self.block_rows, self.width)) or 1
+        parts = F.broadcast(left.groupBy("block").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts")))
+        left = left.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        right = self.items.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        key = ["block", "part"]
+        sides = [(left, ["query_id", "embedding", "reach"]), (right, ["item_id", "embedding", "pivot", "away"])]
+        sides = [spread(side.select(*[F.col(c).alias(c) for c in [*key, *names]]), *key).groupBy(*key) for side, names in sides]
+        meet = _meeting(self.sent, self.low, self.high, self.width, *self.args, self.block_rows)
+        found = cut_lineage(sides[0].cogroup(sides[1]).applyInArrow(meet, FOUND))
+        self.compared += int(found.where("query_id is null").agg(F.sum("score")).first()[0] or 0)
+        return found.where("query_id is not null")
 
 
 def nearest_by_pivots(queries: DataFrame, items: DataFrame, k: int, metric: str = EUCLIDEAN, **options) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from seamline.operators import anomaly
+from seamline.operators import anomaly, pivots as module
 from seamline.operators.nearest import COSINE, EUCLIDEAN, nearest
 from seamline.operators.pivots import Search, bounds, farthest_points, nearest_by_pivots
 
@@ -103,3 +103,17 @@ def test_union_of_nothing_and_of_one_point(spark):
     same = frame(spark, np.ones((50, 2)), "item_id")
     assert anomaly.coreset_union(same, 0.2, block_rows=16).count() == 1
     assert anomaly.coreset_union(same.limit(0), 0.2).count() == 0
+
+
+@pytest.mark.parametrize("metric", [EUCLIDEAN, COSINE])
+def test_a_query_goes_to_few_blocks(spark, metric, monkeypatch):
+    """Vectors in all directions, where nothing can be left out: with rings of one row a query visited 400 of them."""
+    sent, spread = [], module.spread
+    monkeypatch.setattr(module, "spread", lambda df, *keys: sent.append(df) or spread(df, *keys))
+    vectors = np.random.default_rng(9).normal(size=(400, 30))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    items, queries = frame(spark, vectors, "item_id"), frame(spark, vectors[:150], "query_id")
+    search = Search(queries, items, 5, metric, skip_self=True, block_rows=1)
+    assert rows_of(search.rows) == rows_of(nearest(queries, items, 5, metric, skip_self=True))
+    assert sum(df.count() for df in sent[0::2]) <= 10 * 150 and all(df.count() <= 10 * 400 for df in sent[1::2])
+    assert 0 < search.compared <= search.pairs
