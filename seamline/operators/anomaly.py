@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.functions.hashing import hash_bucket
 from seamline.functions.scores import IMAGE_THRESHOLD, first_score, has_anomaly
 from seamline.functions.vectors import euclidean
 from seamline.operators.nearest import EUCLIDEAN, nearest
@@ -28,7 +29,8 @@ def coreset(
 
     The selection is sequential, so it runs inside hash blocks of about ``block_rows``; small banks are one
     block. Each block is covered by its own selection, so the bank is covered within the largest of the
-    blocks' radii, and no task holds more than a block. Each block gives its rounded share, one row at least.
+    blocks' radii, and no task holds more than a block. The block of an item is the hash bucket (``hash_bucket``) of
+    ``<seed>:<item_id>``; it starts with its smallest id, and the smaller id wins among equally far ones. Each block gives its rounded share, one row at least.
     """
     blocks = block_count(bank.count(), block_rows)
 
@@ -38,7 +40,7 @@ def coreset(
         vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         return rows.iloc[np.sort(farthest_points(vectors, wanted)[0])][["item_id", "embedding"]]
 
-    block = F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(blocks)).alias("block")
+    block = hash_bucket(F.concat_ws(":", F.lit(seed), F.col("item_id").cast("string")), blocks).alias("block")
     grouped = spread(bank.select("item_id", "embedding", block), "block").groupBy("block")
     return grouped.applyInPandas(pick, "item_id long, embedding array<float>")
 
