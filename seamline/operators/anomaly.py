@@ -78,17 +78,49 @@ def coreset_union(
 
     grouped = spread(sliced.select("item_id", "embedding", "pivot", "slice"), "pivot", "slice").groupBy("pivot", "slice")
     gaps = cut_lineage(grouped.applyInPandas(ordered, f"{kinds}, gap double, first boolean"))
-    others = gaps.where("NOT first AND gap > 0").withColumn("every", F.lit(1))
+    others = gaps.where("NOT first AND gap > 0")
     count = others.count()
     left = min(count, wanted - gaps.where("first").count())
     if left <= 0:
         return gaps.where("first").drop("first")
-    ends = others.groupBy("every").agg(F.min("gap").alias("low"), F.max("gap").alias("high"))
-    rank = F.lit(count - left).cast("long")
-    least = values_at_ranks(others, ["every"], "gap", ends.select("every", F.lit(0).alias("which"), rank.alias("rank"), "low", "high")).first()["value"]
+    least = _nth_largest(others, "gap", count, left)
     return gaps.where(F.col("first") | (F.col("gap") >= least)).where("first OR gap > 0").drop("first")
 
 
+def _nth_largest(rows: DataFrame, value: str, count: int, n: int) -> float:
+    """The ``n``-th largest of ``count`` values, without sorting them."""
+    known = rows.withColumn("every", F.lit(1))
+    ends = known.groupBy("every").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    ranges = ends.select("every", F.lit(0).alias("which"), F.lit(count - n).cast("long").alias("rank"), "low", "high")
+    return values_at_ranks(known, ["every"], value, ranges).first()["value"]
+
+
+def least_cover_radius(bank: DataFrame, size: int, **blocking) -> float:
+    """What no choice of ``size`` bank items can cover the bank more closely than.
+
+    An item that is not chosen is no nearer to a chosen one than to its nearest neighbour, and of the ``size + 1``
+    items with the farthest neighbours one is not chosen. Equal vectors count once; 0 if all others can be chosen.
+    """
+    points = cut_lineage(bank.groupBy("embedding").agg(F.min("item_id").alias("item_id")).select("item_id", "embedding"))
+    count = points.count()
+    if count <= max(size, 1):
+        return 0.0
+    gaps = patch_distances(points.withColumnRenamed("item_id", "patch_id"), points, skip_self=True, **blocking)
+    return _nth_largest(cut_lineage(gaps.select("distance")), "distance", count, size + 1)
+
+
+def covers_within(bank: DataFrame, chosen: DataFrame, factor: float, ratio: float = BANK_RATIO, **blocking) -> bool:
+    """Whether ``chosen`` covers the bank within ``factor`` times the radius of a ``coreset`` picked in one block.
+
+    That pick is one task with the whole bank, and quadratic. It is made only if the bound on every choice of that size
+    leaves the answer open.
+    """
+    radius, wanted = cover_radius(bank, chosen, **blocking), max(1, round(ratio * bank.count()))
+    if radius is None or radius <= factor * least_cover_radius(bank, wanted, **blocking):
+        return True
+    return radius <= factor * cover_radius(bank, coreset(bank, ratio, block_rows=1 << 62), **blocking)
+
+
 def cover_radius(bank: DataFrame, chosen: DataFrame, **blocking) -> float | None:
     """The largest distance of a bank item to the nearest chosen one; null for an empty bank."""
     patches = bank.select(F.col("item_id").alias("patch_id"), "embedding")
