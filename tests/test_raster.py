@@ -1,3 +1,5 @@
+import sys
+
 import numpy as np
 import pytest
 
@@ -194,3 +196,27 @@ def test_garment_mask():
 def test_orientation(orientation, expected):
     pixels = np.array([[1, 2, 3], [4, 5, 6]])
     assert raster.upright(pixels, orientation).tolist() == expected
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+@pytest.mark.parametrize("kind", ["noise", "comb", "spiral"])
+def test_label_of_many_runs_takes_few_steps(kind, diagonal):
+    """Nothing is called once for each run."""
+    side = 160 if kind == "noise" else 60
+    mask = np.random.default_rng(1).random((side, side)) < 0.5
+    if kind == "comb":
+        mask = np.arange(side) % 2 + np.zeros((side, 1)) == 0
+        mask[-1] = True
+    if kind == "spiral":
+        ring = np.minimum.reduce(np.meshgrid(np.minimum(np.arange(side), side - 1 - np.arange(side)), np.minimum(np.arange(side), side - 1 - np.arange(side))))
+        mask = ring % 2 == 0
+        mask[np.arange(1, side // 2, 2) + 1, np.arange(1, side // 2, 2)] = True
+    called = []
+    sys.settrace(lambda frame, event, arg: called.append(frame.f_code.co_name) if frame.f_code.co_filename == raster.__file__ else None)
+    try:
+        labels, count = raster.label(mask, diagonal)
+    finally:
+        sys.settrace(None)
+    assert called == ["label"]
+    expected, number = brute_labels(mask, diagonal)
+    assert count == number and (labels == expected).all()
