@@ -68,11 +68,14 @@ def prepare_images(
         if turned:
             pixels = raster.upright(pixels, int(row.orientation))
         boxed = raster.boxed(pixels, size, background)
+        bgr = np.empty_like(boxed)  # far faster than bytes of a reversed view
+        for channel in range(3):
+            bgr[:, :, channel] = boxed[:, :, 2 - channel]
         return {
             "height": size,
             "width": size,
             "nChannels": 3,
-            "data": boxed[:, :, ::-1].tobytes(),
+            "data": bgr.tobytes(),
             "mean_level": float(boxed.mean()),
         }
 
