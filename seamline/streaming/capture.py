@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any, NamedTuple
 
@@ -12,7 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from seamline.operators.capture_rule import CaptureRule, StationState
 
 STATE = "baseline binary, last_us long, pending_us long, pending binary, seen_us long, error string"
-FRAME = "ts_us long, frame_seq long, ts timestamp, readable boolean, signal binary, error string"
+#: Frames of a station that arrived together, as one value: a value for each frame costs far more than the frame.
+FRAMES = "frames binary"
 OUTPUT = "station_id long, frame_seq long, ts timestamp, trigger_us long, error string"
 
 
@@ -31,7 +33,7 @@ class MotionCapture(StatefulProcessor):
 
     def captured(self, key, frames: Iterable, ordered: bool = False) -> pd.DataFrame:
         """Captures among frames in time order; with ``ordered`` none of them is late, whatever its time."""
-        state = StationState(*self.state.get()) if self.state.exists() else StationState()
+        state = StationState(*(self.state.get() or ()))
         captures = []
         for frame in frames:
             trigger = state.pending_us
@@ -57,7 +59,7 @@ class OrderedCapture(MotionCapture):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.waiting = handle.getListState("waiting", FRAME)
+        self.waiting = handle.getListState("waiting", FRAMES)
 
     def _await(self, ts_us: int) -> None:
         self.handle.registerTimer(-(-ts_us // 1000) + 1)
@@ -65,13 +67,15 @@ class OrderedCapture(MotionCapture):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frames in rows:
-            frames = frames[frames["frame_seq"].notna()]  # a row without a number only tells the time
-            if len(frames):
-                kept = [
-                    (int(f.ts_us), int(f.frame_seq), f.ts.to_pydatetime(), bool(f.readable), None if f.signal is None else bytes(f.signal), f.error)
-                    for f in frames.itertuples(index=False)
-                ]
-                self.waiting.appendList(kept)
+            columns = [frames[name] for name in WaitingFrame._fields]
+            # a row without a number only tells the time
+            kept = [
+                (int(ts_us), int(seq), ts.to_pydatetime(), bool(readable), None if signal is None else bytes(signal), error)
+                for ts_us, seq, ts, readable, signal, error in zip(*columns, strict=True)
+                if not pd.isna(seq)
+            ]
+            if kept:
+                self.waiting.appendValue((pickle.dumps(kept),))
                 earliest = min(frame[0] for frame in kept)
                 first = earliest if first is None else min(first, earliest)
         if first is not None:
@@ -80,17 +84,20 @@ class OrderedCapture(MotionCapture):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        frames = [WaitingFrame(*frame) for frame in self.waiting.get()]
+        frames = [WaitingFrame(*frame) for chunk in self.waiting.get() for frame in pickle.loads(bytes(chunk[0]))]
         # a frame that was delivered again counts once
         ready = {(frame.ts_us, frame.frame_seq): frame for frame in frames if frame.ts_us <= passed}
         later = [frame for frame in frames if frame.ts_us > passed]
         if not ready:
             return
-        self.waiting.clear()
         if later:
-            self.waiting.put([tuple(frame) for frame in later])
+            self.waiting.put([(pickle.dumps([tuple(frame) for frame in later]),)])
             self._await(min(frame.ts_us for frame in later))
-        yield self.captured(key, [ready[at] for at in sorted(ready)], ordered=True)
+        else:
+            self.waiting.clear()
+        captures = self.captured(key, [ready[at] for at in sorted(ready)], ordered=True)
+        if len(captures):
+            yield captures
 
 
 class WaitingFrame(NamedTuple):
