@@ -152,7 +152,8 @@ def image_scores(
     farthest = F.max_by(
         F.struct("patch_id", "item_id", "distance"), F.struct(F.col("distance"), -F.col("patch_id"))
     )
-    worst = located.groupBy("image_id").agg(farthest.alias("w")).select("image_id", "w.*")
+    # written out, as the second search and the join after it would each make the first search again
+    worst = cut_lineage(located.groupBy("image_id").agg(farthest.alias("w")).select("image_id", "w.*"))
     matched = worst.select(F.col("item_id").alias("query_id")).distinct()
     anchors = matched.join(
         bank.select(F.col("item_id").alias("query_id"), "embedding"), "query_id"
