@@ -572,20 +572,18 @@ FROM around a JOIN patches p USING (patch_id) JOIN bank s ON s.item_id = a.suppo
             'area': area, 'mean_score': mean_score, 'max_score': max_score,
             'median_edge_distance': median_edge_distance, 'ranking_score': ranking_score}}])::VARCHAR END AS regions
         FROM gate g LEFT JOIN levels USING (image_id) LEFT JOIN ranked r ON r.image_id = g.image_id AND rank = 1""",
-    # the smallest id starts a block, and among equally far items the smaller id is next
-    "coreset": """WITH RECURSIVE size AS (SELECT ceil(count(*) / 4096.0)::BIGINT AS blocks FROM embeddings WHERE label < 8),
-        placed AS (
-          SELECT vec_id AS item_id, embedding::DOUBLE[] AS e, ('0x' || substr(md5('42:' || vec_id), 1, 8))::UBIGINT::BIGINT % blocks AS block
-          FROM embeddings, size WHERE label < 8
+    # the smallest id is first, and among equally far items the smaller id is next
+    "coreset": """WITH RECURSIVE bank AS (
+          SELECT vec_id AS item_id, embedding::DOUBLE[] AS e, greatest(1, round_even(0.1 * count(*) OVER (), 0)) AS wanted
+          FROM embeddings WHERE label < 8
         ),
-        bank AS (SELECT *, greatest(1, round_even(0.1 * count(*) OVER (PARTITION BY block), 0)) AS wanted FROM placed),
         fold AS (
-          SELECT 1 AS step, block, b.item_id, b.e, list_distance(b.e, f.e) AS gap, f.item_id AS picked, wanted
-          FROM bank b JOIN (SELECT block, min(item_id) AS item_id, arg_min(e, item_id) AS e FROM bank GROUP BY block) f USING (block)
+          SELECT 1 AS step, b.item_id, b.e, list_distance(b.e, f.e) AS gap, f.item_id AS picked, wanted
+          FROM bank b, (SELECT item_id, e FROM bank ORDER BY item_id LIMIT 1) f
           UNION ALL
-          SELECT step + 1, block, item_id, e, least(gap, list_distance(e, far_e)), far_id, wanted
+          SELECT step + 1, item_id, e, least(gap, list_distance(e, far_e)), far_id, wanted
           FROM (SELECT *, first_value(item_id) OVER w AS far_id, first_value(e) OVER w AS far_e
-                FROM fold WINDOW w AS (PARTITION BY block ORDER BY gap DESC, item_id))
+                FROM fold WINDOW w AS (ORDER BY gap DESC, item_id))
           WHERE step < wanted
         )
         SELECT DISTINCT picked AS item_id FROM fold""",

@@ -22,6 +22,7 @@ from seamline.operators import (
     localize,
     records,
 )
+from seamline.operators.farthest import farthest_items
 from seamline.operators.nearest import EUCLIDEAN, nearest
 from seamline.operators.pivots import Search, nearest_by_pivots
 from seamline.operators.capture_rule import CaptureRule
@@ -379,7 +380,7 @@ def patch_map(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coreset(spark: SparkSession, folder: str) -> DataFrame:
-    return anomaly.coreset(X.nominal_bank(spark, folder)).select("item_id")
+    return farthest_items(X.nominal_bank(spark, folder), anomaly.BANK_RATIO).select("item_id")
 
 
 def coreset_union(spark: SparkSession, folder: str) -> DataFrame:
