@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from seamline import schema as S
 from seamline.functions import raster
 from seamline.functions.geometry import DEFAULT_ROI, roi_bounds, zone
 from seamline.functions.scores import heuristic_confidence, heuristic_min_area
 from seamline.functions.vectors import l2_normalise
-from seamline.operators.ordered import ordered_runs, with_history
+from seamline.operators.ordered import RUN, ordered_runs
 from seamline.session import bound_batches, cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -189,20 +192,84 @@ def motion_pixels(before: pd.Series, after: pd.Series) -> pd.Series:
     )
 
 
+PLACE = "_place"
+
+
+def _same(a, b) -> bool:
+    """Whether two keys are one: nulls are, and numbers that are none."""
+    return a == b or (a != a and b != b)
+
+
+def _changes(station: str, kept: list[str]):
+    """Frames of a run, in order, with their changed pixels; ``head`` and ``tail`` are the signals at its two ends."""
+
+    def scan(batches):
+        before, last, waiting = None, -1, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = batch.column(PLACE).to_numpy()
+            if places[0] <= last or (np.diff(places) <= 0).any():
+                raise ValueError("the frames of a run are no longer in order")
+            last, changed, heads = places[-1], [], [None] * len(places)
+            for at, (key, signal) in enumerate(zip(batch.column(station).to_pylist(), batch.column("signal").to_pylist())):
+                if before is None:
+                    heads[at] = signal
+                follows = before is not None and _same(before[0], key)
+                changed.append(changed_pixels(before[1], signal) if follows else None)
+                before = key, signal
+            if waiting:
+                yield _with_tail(waiting, None)
+            waiting = {name: batch.column(name) for name in kept}
+            waiting |= {"changed_pixels": pa.array(changed, pa.int64()), "head": pa.array(heads, pa.binary())}
+        if waiting:
+            yield _with_tail(waiting, before[1])
+
+    return scan
+
+
+def _with_tail(columns: dict, tail: bytes | None) -> pa.RecordBatch:
+    tails = [None] * (len(columns["head"]) - 1) + [tail]
+    return pa.RecordBatch.from_pydict({**columns, "tail": pa.array(tails, pa.binary())})
+
+
 def frame_motion(
-    frames: DataFrame, station: str, ts_us: str, unique: str, roi=DEFAULT_ROI, runs: int | None = None
+    frames: DataFrame,
+    station: str,
+    ts_us: str,
+    unique: str,
+    roi=DEFAULT_ROI,
+    runs: int | None = None,
+    pixels: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Pixels changed since the frame before at the same station; null for a station's first frame.
 
-    Unreadable frames are skipped. Only the blurred regions are shuffled, and they are written out
-    first: range partitioning looks at its input twice, which must not repeat the pixel work.
+    Unreadable frames are skipped. ``pixels`` adds the fields of Spark's image struct to frames that only say where
+    their picture comes from; it must keep all columns and the order of the rows. The frames are then put in order as they are and each
+    picture is made in its place, once; signals are written at the two ends of a run only. Without it the frames bring
+    their pixels along: only the blurred regions are shuffled, and they are written out first, since range partitioning
+    looks at its input twice, which must not repeat the pixel work.
     """
-    keys, order = [station], [ts_us, unique]
-    signals = frame_signals(frames, [station, *order], roi).filter(F.col("error").isNull()).drop("error")
-    ordered = ordered_runs(cut_lineage(signals), keys, order, runs)
-    lagged = with_history(ordered, keys, order, ["signal"], "before")
-    changed = motion_pixels(F.col("before.signal"), F.col("signal"))
-    return lagged.select(station, *order, changed.alias("changed_pixels"))
+    keys = [station, ts_us, unique]
+
+    def readable(images: DataFrame, names: list[str]) -> DataFrame:
+        return frame_signals(images, names, roi).filter(F.col("error").isNull()).drop("error")
+
+    rows = frames if pixels else cut_lineage(readable(frames, keys))
+    ordered = ordered_runs(rows, [station], [ts_us, unique], runs).sortWithinPartitions(*keys)
+    placed = ordered.withColumn(PLACE, F.monotonically_increasing_id())
+    signals = readable(pixels(placed), [*keys, RUN, PLACE]) if pixels else placed
+    kept = [f for f in signals.schema if f.name in (*keys, RUN)]
+    ends = [T.StructField("changed_pixels", T.LongType()), T.StructField("head", T.BinaryType()), T.StructField("tail", T.BinaryType())]
+    found = cut_lineage(signals.mapInArrow(_changes(station, [f.name for f in kept]), T.StructType([*kept, *ends])))
+    # the frame before the first one of a run is the last one of the run before, if their station is the same
+    heads = found.where("head IS NOT NULL").select(*keys, RUN, "head")
+    before = heads.select(RUN, F.lag(RUN).over(Window.orderBy(RUN)).alias("_run_before"))
+    tails = found.where("tail IS NOT NULL").select(F.col(RUN).alias("_run_before"), F.col(station).alias("_tail_of"), "tail")
+    linked = heads.join(before, RUN).join(tails, "_run_before", "left")
+    tail = F.when(F.col(station).eqNullSafe(F.col("_tail_of")), F.col("tail"))
+    crossing = linked.select(*keys, motion_pixels(tail, F.col("head")).alias("changed_pixels"))
+    return found.where("head IS NULL").select(*keys, "changed_pixels").unionByName(crossing)
 
 
 def model_inputs(images: DataFrame, keys: list[str], side: int = 224) -> DataFrame:

@@ -464,8 +464,8 @@ def heuristic_detect(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def frame_motion(spark: SparkSession, folder: str) -> DataFrame:
-    frames = X.pictures(spark, folder).withColumn("ts_us", F.unix_micros(F.col("captured_at").cast("timestamp")))
-    found = images.frame_motion(frames, "station_id", "ts_us", "image_id")
+    frames = X.picture_rows(spark, folder).withColumn("ts_us", F.unix_micros(F.col("captured_at").cast("timestamp")))
+    found = images.frame_motion(frames, "station_id", "ts_us", "image_id", pixels=X.drawn)
     return found.select("image_id", "station_id", "changed_pixels")
 
 
